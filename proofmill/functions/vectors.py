@@ -11,14 +11,33 @@ def dot(a: Column, b: Column) -> Column:
                        F.lit(0.0), lambda s, x: s + x)
 
 
+def each_with(a: Column, scalar: Column, fn) -> Column:
+    """fn(element, scalar) per element; the scalar is computed once per array, not once per element."""
+    return F.zip_with(a, F.array_repeat(scalar, F.size(a)), fn)
+
+
+def mean(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double")) / F.size(a)
+
+
+def variance(a: Column) -> Column:
+    """Population variance."""
+    squares = each_with(a, mean(a), lambda x, m: (x.cast("double") - m) * (x.cast("double") - m))
+    return F.aggregate(squares, F.lit(0.0), lambda s, x: s + x) / F.size(a)
+
+
+def standardised(a: Column) -> Column:
+    """Zero mean and unit length: dot products are Pearson's r, and distance^2 = 2 - 2r."""
+    return unit(each_with(a, mean(a), lambda x, m: x.cast("double") - m))
+
+
 def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
 def unit(a: Column) -> Column:
     """Unit length; near-zero vectors stay as they are."""
-    size = norm(a)
-    return F.when(size > 1e-6, F.transform(a, lambda x: x.cast("double") / size)).otherwise(a.cast("array<double>"))
+    return each_with(a, norm(a), lambda x, n: x.cast("double") / F.when(n > 1e-6, n).otherwise(1.0))
 
 
 def squared_distance(a: Column, b: Column) -> Column:

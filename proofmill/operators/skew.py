@@ -97,6 +97,21 @@ class Sequenced:
             out = out.withColumn(new, F.col(f"__p.{old}"))
         return out.drop("__p", "__b", "__c_p")
 
+    def fill_next(self, columns: Mapping[str, str]) -> DataFrame:
+        """Add `new -> old`: the first non-null value of `old` at or after each row of the key."""
+        frame = self.local.rowsBetween(W.currentRow, W.unboundedFollowing)
+        out = self.df
+        for new, old in columns.items():
+            out = out.withColumn(new, F.first(old, ignorenulls=True).over(frame))
+        if not self.single:
+            pos = F.struct(*[F.col(c) for c in self.order])
+            carried = {new: F.min_by(F.col(old), F.when(F.col(old).isNotNull(), pos)) for new, old in columns.items()}
+            later = self.edges.rowsBetween(1, W.unboundedFollowing)
+            out = self._carry(out, carried, {n: F.first(f"__e_{n}", ignorenulls=True).over(later) for n in columns})
+            for new in columns:
+                out = out.withColumn(new, F.coalesce(new, f"__c_{new}"))
+        return out.drop("__b", *[f"__c_{n}" for n in columns])
+
     def ordinal(self, name: str = "ordinal") -> DataFrame:
         """1-based position inside the key."""
         out = self.df.withColumn(name, F.row_number().over(self.local).cast("long"))

@@ -193,8 +193,8 @@ STAND_IN_WORDS = ("license", "copyright", "http", "email", "and the", "eaux")
 
 
 @query("f09_keyword_flag", f"""
-select lang, count(*) as docs, count_if(regexp_matches(lower(text), '{"|".join(EDITORS)}')) as editor_docs,
-  count_if(regexp_matches(lower(text), '{"|".join(STAND_IN_WORDS)}')) as word_docs from documents group by all""")
+select lang, count(*) as docs, count(*) filter (where regexp_matches(lower(text), '{"|".join(EDITORS)}')) as editor_docs,
+  count(*) filter (where regexp_matches(lower(text), '{"|".join(STAND_IN_WORDS)}')) as word_docs from documents group by all""")
 def keyword_flag(spark, d):
     t = F.col("text")
     return load(spark, d, "documents").groupBy("lang").agg(
