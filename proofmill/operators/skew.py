@@ -30,6 +30,8 @@ def numeric(col: Column, dtype: T.DataType) -> Column:
         return F.unix_micros(col.cast("timestamp")).cast("double")
     if isinstance(dtype, T.DateType):
         return F.unix_date(col).cast("double")
+    if isinstance(dtype, T.StringType):  # first six bytes: strings compare by bytes
+        return F.conv(F.rpad(F.substring(F.hex(col), 1, 12), 12, "0"), 16, 10).cast("double")
     return col.cast("double")
 
 

@@ -201,13 +201,7 @@ with e as (select o_custkey as case_id, 'evidence' as kind, o_orderkey::varchar
   union all select o_custkey, 'finding', concat('P-', o_orderkey) from orders where o_orderstatus = 'P')
 select *, row_number() over (partition by case_id, kind order by entry) as ordinal from e""")
 def case_manifest(spark, d):
-    parts = case_parts(spark, d)
-    # strings do not bucket: order numerically spread first, then by the entry text
-    out = None
-    for kind, df in parts.items():
-        part = U.manifest_rows({kind: df}, "case_id", "entry")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return U.manifest_rows(case_parts(spark, d), "case_id", "entry")
 
 
 @query("a41_case_rules", """
