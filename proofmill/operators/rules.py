@@ -203,3 +203,130 @@ def assess(items: DataFrame, obs: DataFrame, strong_items: DataFrame | None = No
     ], "ELEVATED_FORENSIC_CONCERN")
     return out.select("item_id", F.coalesce("observations", F.lit(0)).cast("long").alias("observations"),
                       n.cast("long").alias("families"), level.alias("level"))
+
+
+# ---- findings ------------------------------------------------------------
+
+# Finding rules (id, type). Severity and condition are in `findings`.
+FINDING_TYPES = {
+    "CORR-META-001": "CORRELATED_OBSERVATION", "CORR-COMP-002": "CORRELATED_OBSERVATION", "CORR-NOISE-003": "CORRELATED_OBSERVATION",
+    "CORR-CLONE-004": "CORRELATED_OBSERVATION", "CORR-CONFLICT-005": "CONFLICT_DETECTED", "CORR-CONFLICT-005-META-EMPTY": "CONFLICT_DETECTED",
+}
+
+
+def findings(items: DataFrame, states: DataFrame) -> DataFrame:
+    """All rules over one row per item: (item_id, rule_id, finding_type, severity, support).
+
+    items: item_id, lossless (boolean). states: item_id and, per modality, a
+    struct (completed, flagged, count, ref) of its analysis, NULL when not run.
+    Every rule reads the same row, so the six rules cost one pass, not six.
+    """
+    meta, ela, noise, dct, clone = (F.col(m) for m in ("METADATA", "ELA", "NOISE", "JPEG_DCT", "COPY_MOVE"))
+    joined = items.join(states, "item_id", "left")
+
+    def on(c: Column, flag: str) -> Column:
+        return F.coalesce(c[flag], F.lit(False))
+
+    def hit(rule: str, cond: Column, severity: Column | str, *support: Column) -> Column:
+        sev = severity if isinstance(severity, Column) else F.lit(severity)
+        refs = F.array_compact(F.array(*[c["ref"] for c in support])) if support else F.array().cast("array<string>")
+        return F.when(cond, F.struct(F.lit(rule).alias("rule_id"), F.lit(FINDING_TYPES[rule]).alias("finding_type"), sev.alias("severity"),
+                                     F.concat_ws(",", refs).alias("support")))
+    hits = F.array(
+        hit("CORR-META-001", on(meta, "flagged"), "REVIEW_REQUIRED", meta, dct),
+        hit("CORR-COMP-002", on(ela, "completed") & (on(ela, "flagged") | on(dct, "completed")), "CORRELATED_OBSERVATION", ela, dct),
+        hit("CORR-NOISE-003", on(noise, "completed"), "OBSERVATION", noise),
+        hit("CORR-CLONE-004", on(clone, "completed"), F.when(clone["count"] > 5, "REVIEW_REQUIRED").otherwise("OBSERVATION"), clone),
+        hit("CORR-CONFLICT-005", F.col("lossless"), "INCONCLUSIVE"),
+        hit("CORR-CONFLICT-005-META-EMPTY", on(meta, "completed") & ~on(meta, "flagged") & (meta["count"] == 0), "OBSERVATION", meta),
+    )
+    return joined.select("item_id", F.explode(F.array_compact(hits)).alias("f")).select("item_id", "f.*")
+
+
+# Which operation an engine speaks about.
+ENGINE_OPERATION = {
+    "ADJPEG": "JPEG_REENCODING", "NADJPEG": "JPEG_REENCODING", "JPEG_GHOST": "JPEG_REENCODING", "JPEG_QT": "JPEG_REENCODING",
+    "JPEG_STRUCTURE": "JPEG_REENCODING", "JPEG_HUFFMAN": "JPEG_REENCODING", "JPEG_DCT": "JPEG_REENCODING",
+    "ELA": "RECOMPRESSION_DIFFERENCE", "RESAMPLING": "RESIZING_OR_RESAMPLING", "BLOCKING_ARTIFACT": "BLOCK_BOUNDARY_PATTERN",
+}
+ELEVATED_DIRECTIONS = ("anomalous", "elevated", "high", "positive", "inconsistent")
+
+
+def processing_signals(analyses: DataFrame) -> DataFrame:
+    """Operation and indicator of every completed analysis with a known engine.
+
+    analyses: item_id, analysis_id, engine, status, direction, document (JSON text).
+    """
+    from ..functions.jsonx import any_flag
+    from ..functions.text import canonical_key
+    table = F.create_map(*[F.lit(x) for pair in ENGINE_OPERATION.items() for x in pair])
+    rows = analyses.where(F.lower("status").isin("completed", "complete")) \
+        .withColumn("operation", F.element_at(table, canonical_key(F.col("engine")))).where("operation is not null")
+    candidate = F.coalesce(F.lower(F.trim("direction")).isin(*ELEVATED_DIRECTIONS), F.lit(False)) | any_flag(F.col("document"))
+    regions = F.coalesce(F.get_json_object("document", "$.candidate_region_count").try_cast("long") > 0, F.lit(False))
+    candidate = candidate | ((F.col("operation") == "RESIZING_OR_RESAMPLING") & regions)
+    return rows.select("item_id", "analysis_id", "engine", "operation", candidate.alias("candidate"))
+
+
+def processing_sequences(signals: DataFrame) -> DataFrame:
+    """Candidate operation sequences per item from the operations indicated on it."""
+    has = signals.groupBy("item_id").agg(
+        F.max(F.col("candidate") & (F.col("operation") == "JPEG_REENCODING")).alias("jpeg"),
+        F.max(F.col("candidate") & (F.col("operation") == "RESIZING_OR_RESAMPLING")).alias("resize"), F.count(F.lit(1)).alias("signals"))
+    steps = (F.when(F.col("jpeg") & F.col("resize"), F.array(F.lit("RESIZING_OR_RESAMPLING>JPEG_REENCODING"), F.lit("JPEG_REENCODING>RESIZING_OR_RESAMPLING")))
+             .when(F.col("jpeg"), F.array(F.lit("UNOBSERVED_PRIOR_HISTORY>JPEG_REENCODING")))
+             .when(F.col("resize"), F.array(F.lit("UNOBSERVED_PRIOR_HISTORY>RESIZING_OR_RESAMPLING>UNOBSERVED_LATER_HISTORY")))
+             .otherwise(F.array(F.lit("NONE"))))
+    ordering = F.when(F.col("jpeg") & F.col("resize"), "POSSIBLE_NOT_ESTABLISHED").when(F.col("jpeg") | F.col("resize"), "PARTIAL_HISTORY_ONLY").otherwise("NONE")
+    return has.select("item_id", "signals", F.explode(steps).alias("sequence"), ordering.alias("ordering_status"))
+
+
+def next_steps(cases: DataFrame, coverage_rows: DataFrame) -> DataFrame:
+    """Recommendation rows per case.
+
+    cases: case_id, unreviewed, items, cross_findings; coverage_rows: case_id, modality, pending, percentage.
+    """
+    def row(df: DataFrame, cond: Column, priority: Column | str, action: Column) -> DataFrame:
+        p = priority if isinstance(priority, Column) else F.lit(priority)
+        return df.where(cond).select("case_id", p.alias("priority"), action.alias("action"))
+
+    review = row(cases, F.col("unreviewed") > 0, "HIGH", F.concat(F.lit("REVIEW "), F.col("unreviewed").cast("string")))
+    batch = row(coverage_rows, F.col("pending") > 0, F.when(F.col("percentage") > 50, "MEDIUM").otherwise("HIGH"),
+                F.concat(F.lit("RUN "), "modality", F.lit(" ON "), F.col("pending").cast("string")))
+    cross = row(cases, (F.col("items") >= 2) & (F.col("cross_findings") == 0), "MEDIUM", F.lit("CROSS_ITEM_CORRELATION"))
+    custody = row(cases, F.lit(True), "LOW", F.lit("REVERIFY_CUSTODY"))
+    return review.unionByName(batch).unionByName(cross).unionByName(custody)
+
+
+# ---- normalisation --------------------------------------------------------
+
+class MeasureSpec(NamedTuple):
+    """One modality: where its number is, which threshold counts, and what each side is called."""
+
+    modality: str
+    paths: tuple[str, ...]
+    threshold: float
+    at_or_above: str
+    below: str
+
+
+def normalise(analyses: DataFrame, specs: Sequence[MeasureSpec]) -> tuple[DataFrame, DataFrame]:
+    """(observations, rejected rows) from JSON result documents by a declarative path map.
+
+    analyses: item_id, analysis_id, modality, document. A document without a
+    readable number goes to the reject table instead of failing the job.
+    """
+    from ..functions.jsonx import path_double, path_text
+    value, raw, direction, known = F.lit(None).cast("double"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(False)
+    for s in specs:
+        mine = F.col("modality") == s.modality
+        number = path_double(F.col("document"), s.paths)
+        value = F.when(mine, number).otherwise(value)
+        raw = F.when(mine, path_text(F.col("document"), s.paths)).otherwise(raw)
+        direction = F.when(mine, F.when(number >= s.threshold, s.at_or_above).otherwise(s.below)).otherwise(direction)
+        known = known | mine
+    read = analyses.withColumn("normalized_value", value).withColumn("raw_value", raw).withColumn("direction", direction).withColumn("known", known)
+    good = read.where("known and normalized_value is not null").select("item_id", "analysis_id", "modality", "raw_value", "normalized_value", "direction")
+    reason = F.when(~F.col("known"), "UNKNOWN_MODALITY").when(F.try_parse_json("document").isNull(), "UNPARSABLE").otherwise("NO_VALUE")
+    bad = read.where("not known or normalized_value is null").select("item_id", "analysis_id", "modality", reason.alias("reason"))
+    return good, bad
