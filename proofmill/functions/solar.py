@@ -1,65 +1,49 @@
-"""Solar position by the published NOAA formulas, as native column expressions."""
+"""Solar position by the published NOAA formulas, as staged native columns."""
 
 from __future__ import annotations
 
-from typing import NamedTuple
-
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-class SunPosition(NamedTuple):
-    elevation: Column
-    azimuth: Column
-    shadow_azimuth: Column
-    declination: Column
-    equation_of_time: Column
-
-
-def sun_position(lat: Column, lon: Column, ts: Column) -> SunPosition:
-    """Degrees (equation of time in minutes) for a UTC timestamp without zone."""
-    sin, cos, rad, deg = F.sin, F.cos, F.radians, F.degrees
-    day_minutes = F.hour(ts) * 60.0 + F.minute(ts) + F.floor(F.second(ts)) / 60.0
-    # Julian date: 2440587.5 is 1970-01-01; the rest counts whole days and the day fraction.
-    julian = F.datediff(ts, F.lit("1970-01-01").cast("date")) + 2440587.5 + day_minutes / 1440.0
-    t = (julian - 2451545.0) / 36525.0
-
-    mean_longitude = F.pmod(280.46646 + t * (36000.76983 + 0.0003032 * t), F.lit(360.0))
-    anomaly = rad(F.pmod(357.52911 + t * (35999.05029 - 0.0001537 * t), F.lit(360.0)))
-    eccentricity = 0.016708634 - t * (0.000042037 + 0.0000001267 * t)
-    centre = (
-        sin(anomaly) * (1.914602 - t * (0.004817 + 0.000014 * t))
-        + sin(2 * anomaly) * (0.019993 - 0.000101 * t)
-        + sin(3 * anomaly) * 0.000289
-    )
-    node = rad(125.04 - 1934.136 * t)
-    longitude = rad(mean_longitude + centre - 0.00569 - 0.00478 * sin(node))
-    mean_obliquity = 23 + (26 + (21.448 - t * (46.815 + t * (0.00059 - t * 0.001813))) / 60.0) / 60.0
-    obliquity = rad(mean_obliquity + 0.00256 * cos(node))
-    declination = F.asin(sin(obliquity) * sin(longitude))
-
-    y = F.pow(F.tan(obliquity / 2.0), 2)
-    l0 = rad(mean_longitude)
-    eot = 4.0 * deg(
-        y * sin(2 * l0) - 2 * eccentricity * sin(anomaly)
-        + 4 * eccentricity * y * sin(anomaly) * cos(2 * l0)
-        - 0.5 * y * y * sin(4 * l0) - 1.25 * eccentricity * eccentricity * sin(2 * anomaly)
-    )
-
-    solar_minutes = F.pmod(day_minutes + eot + 4.0 * lon, F.lit(1440.0))
-    hour_angle = solar_minutes / 4.0 - 180.0
-    latitude = rad(lat)
-    cos_zenith = F.least(F.greatest(
-        sin(latitude) * sin(declination) + cos(latitude) * cos(declination) * cos(rad(hour_angle)),
-        F.lit(-1.0)), F.lit(1.0))
-    zenith = F.acos(cos_zenith)
-    elevation = 90.0 - deg(zenith)
-
-    spread = cos(latitude) * sin(zenith)
-    bearing = F.least(F.greatest((sin(latitude) * cos(zenith) - sin(declination)) / spread, F.lit(-1.0)), F.lit(1.0))
-    east = 180.0 - deg(F.acos(bearing))
-    azimuth = (
-        F.when(F.abs(spread) <= 0.0001, F.when(lat > 0, 180.0).otherwise(0.0))
-        .when(hour_angle > 0, 360.0 - east).otherwise(east)
-    )
-    return SunPosition(elevation, azimuth, F.pmod(azimuth + 180.0, F.lit(360.0)), deg(declination), eot)
+def _clip1(c: Column) -> Column:
+    return F.least(F.greatest(c, F.lit(-1.0)), F.lit(1.0))
+
+
+def with_sun_position(df: DataFrame, lat: str, lon: str, ts: str) -> DataFrame:
+    """Add elevation, azimuth, shadow_azimuth, declination (degrees) and eot (minutes) for UTC times.
+
+    Shared terms become columns of their own stage, so each is computed once
+    instead of being repeated inside one huge expression.
+    """
+    sin, cos, rad, deg, c = F.sin, F.cos, F.radians, F.degrees, F.col
+    when = c(ts)
+    out = df.withColumn("__min", F.hour(when) * 60.0 + F.minute(when) + F.floor(F.second(when)) / 60.0)
+    # Julian centuries since 2000; 2440587.5 is the Julian date of 1970-01-01
+    julian = F.datediff(when, F.lit("1970-01-01").cast("date")) + 2440587.5 + c("__min") / 1440.0
+    out = out.withColumn("__t", (julian - 2451545.0) / 36525.0)
+    t = c("__t")
+    out = out.withColumns({
+        "__l0": F.pmod(280.46646 + t * (36000.76983 + 0.0003032 * t), F.lit(360.0)),
+        "__m": rad(F.pmod(357.52911 + t * (35999.05029 - 0.0001537 * t), F.lit(360.0))),
+        "__e": 0.016708634 - t * (0.000042037 + 0.0000001267 * t),
+        "__node": rad(125.04 - 1934.136 * t),
+    })
+    m, e, node = c("__m"), c("__e"), c("__node")
+    centre = (sin(m) * (1.914602 - t * (0.004817 + 0.000014 * t)) + sin(2 * m) * (0.019993 - 0.000101 * t) + sin(3 * m) * 0.000289)
+    obliquity = 23 + (26 + (21.448 - t * (46.815 + t * (0.00059 - t * 0.001813))) / 60.0) / 60.0 + 0.00256 * cos(node)
+    out = out.withColumns({"__lon": rad(c("__l0") + centre - 0.00569 - 0.00478 * sin(node)), "__obl": rad(obliquity)})
+    out = out.withColumns({"__dec": F.asin(sin("__obl") * sin("__lon")), "__y": F.pow(F.tan(c("__obl") / 2.0), 2), "__l": rad("__l0")})
+    y, l0 = c("__y"), c("__l")
+    out = out.withColumn("eot", 4.0 * deg(
+        y * sin(2 * l0) - 2 * e * sin(m) + 4 * e * y * sin(m) * cos(2 * l0) - 0.5 * y * y * sin(4 * l0) - 1.25 * e * e * sin(2 * m)))
+    out = out.withColumn("__ha", F.pmod(c("__min") + c("eot") + 4.0 * c(lon), F.lit(1440.0)) / 4.0 - 180.0).withColumn("__lat", rad(lat))
+    out = out.withColumn("__z", F.acos(_clip1(sin("__lat") * sin("__dec") + cos("__lat") * cos("__dec") * cos(rad("__ha")))))
+    out = out.withColumn("__spread", cos("__lat") * sin("__z"))
+    out = out.withColumn("__east", F.when(F.abs("__spread") > 0.0001, 180.0 - deg(F.acos(
+        _clip1((sin("__lat") * cos("__z") - sin("__dec")) / c("__spread"))))))
+    azimuth = (F.when(c("__east").isNull(), F.when(c(lat) > 0, 180.0).otherwise(0.0))
+               .when(c("__ha") > 0, 360.0 - c("__east")).otherwise(c("__east")))
+    out = out.withColumns({"elevation": 90.0 - deg("__z"), "azimuth": azimuth, "declination": deg("__dec")})
+    out = out.withColumn("shadow_azimuth", F.pmod(c("azimuth") + 180.0, F.lit(360.0)))
+    return out.drop(*[n for n in out.columns if n.startswith("__")])
