@@ -6,6 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def row_count() -> Column:
+    return F.count(F.lit(1))
+
+
 def clip(col: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(col, F.lit(low)), F.lit(high))
 

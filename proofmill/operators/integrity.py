@@ -11,13 +11,13 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numeric import row_count
 from ..functions.text import GENESIS_HASH, canonical_json, is_sha256
 from ..sources.sinks import digest_sums, digest_text
 from .skew import Sequenced
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need no copy of this package
 
-N = F.count(F.lit(1))
 
 
 def chain_text(df: DataFrame) -> DataFrame:
@@ -86,9 +86,9 @@ def chain_status(events: DataFrame, violations: DataFrame) -> DataFrame:
     """Per case: NOT_PRESENT, PARTIAL, BROKEN or VERIFIED, with its head."""
     full = F.col("sequence_number").isNotNull() & F.col("previous_hash").isNotNull() & F.col("event_hash").isNotNull()
     one = events.groupBy("case_id").agg(
-        N.alias("events"), F.count_if(full).alias("__full"), F.max("sequence_number").alias("head_sequence"),
+        row_count().alias("events"), F.count_if(full).alias("__full"), F.max("sequence_number").alias("head_sequence"),
         F.max_by("event_hash", "sequence_number").alias("head_hash"))
-    bad = violations.groupBy("case_id").agg(N.alias("violations"))
+    bad = violations.groupBy("case_id").agg(row_count().alias("violations"))
     status = (F.when(F.col("__full") == 0, "NOT_PRESENT").when(F.col("__full") < F.col("events"), "PARTIAL")
               .when(F.col("violations") > 0, "BROKEN").otherwise("VERIFIED"))
     return one.join(bad, "case_id", "left").withColumn("violations", F.coalesce("violations", F.lit(0)).cast("long")) \
@@ -105,7 +105,7 @@ def custody_check(items: DataFrame, stored: DataFrame, key: str) -> DataFrame:
 
 def replay_verdict(cases: DataFrame, checked: DataFrame, case: str) -> DataFrame:
     """VERIFIED, EMPTY_CASE or INTEGRITY_VIOLATION per case with counts."""
-    c = checked.groupBy(case).agg(N.alias("items"), F.count_if("intact").alias("intact_items"))
+    c = checked.groupBy(case).agg(row_count().alias("items"), F.count_if("intact").alias("intact_items"))
     j = cases.join(c, case, "left").fillna(0, ["items", "intact_items"])
     return j.withColumn("verdict", F.when(F.col("items") == 0, "EMPTY_CASE").when(F.col("items") == F.col("intact_items"), "VERIFIED")
                         .otherwise("INTEGRITY_VIOLATION"))
@@ -119,15 +119,15 @@ def validate(df: DataFrame, key: str, rules: Mapping[str, Column], unique: Seque
     hits = F.array_compact(F.array(*[F.when(F.coalesce(cond, F.lit(True)), name) for name, cond in rules.items()]))
     out = df.select(F.col(key).alias("key"), F.explode(hits).alias("rule"))
     for c in unique:
-        repeated = df.groupBy(c).agg(N.alias("__n")).where("__n > 1").select(c)
+        repeated = df.groupBy(c).agg(row_count().alias("__n")).where("__n > 1").select(c)
         out = out.unionByName(df.join(repeated, c, "left_semi").select(F.col(key).alias("key"), F.lit(f"DUPLICATE_{c.upper()}").alias("rule")))
     return out
 
 
 def verdict(df: DataFrame, errors: DataFrame) -> DataFrame:
     """One row: rows checked, rows with errors, errors, VALID or INVALID."""
-    total = df.agg(N.alias("rows"))
-    bad = errors.agg(F.countDistinct("key").alias("bad_rows"), N.alias("errors"))
+    total = df.agg(row_count().alias("rows"))
+    bad = errors.agg(F.countDistinct("key").alias("bad_rows"), row_count().alias("errors"))
     return total.join(F.broadcast(bad)).withColumn("status", F.when(F.col("errors") == 0, "VALID").otherwise("INVALID"))
 
 
@@ -184,7 +184,7 @@ def outstanding_work(items: DataFrame, modalities: Sequence[str], existing: Data
 def run_fingerprint(results: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Order-free digest of (item, engine, status) rows per key."""
     row = F.sha2(F.concat_ws("|", F.col("item").cast("string"), F.col("engine").cast("string"), "status"), 256)
-    return results.groupBy(*keys).agg(N.alias("rows"), *digest_sums(row)).select(*keys, "rows", digest_text(F.col("rows")).alias("fingerprint"))
+    return results.groupBy(*keys).agg(row_count().alias("rows"), *digest_sums(row)).select(*keys, "rows", digest_text(F.col("rows")).alias("fingerprint"))
 
 
 def repeatability(first: DataFrame, second: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -193,7 +193,7 @@ def repeatability(first: DataFrame, second: DataFrame, keys: Sequence[str]) -> D
     b = second.withColumnRenamed("status", "__b")
     same = F.coalesce(F.col("__a") == F.col("__b"), F.lit(False))
     return a.join(b, list(keys), "full_outer").groupBy("engine").agg(
-        N.alias("compared"), F.count_if(same).alias("matching"), F.avg(same.cast("double")).alias("match_rate"))
+        row_count().alias("compared"), F.count_if(same).alias("matching"), F.avg(same.cast("double")).alias("match_rate"))
 
 
 # Allowed status changes of a finding.

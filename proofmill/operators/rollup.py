@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numeric import row_count
 from .skew import Sequenced, quantiles
 
-N = F.count(F.lit(1))
 
 
 def case_overview(cases: DataFrame, items: DataFrame, analyses: DataFrame) -> DataFrame:
@@ -20,10 +20,10 @@ def case_overview(cases: DataFrame, items: DataFrame, analyses: DataFrame) -> Da
     the items, so no join carries raw child rows.
     """
     per_item = analyses.groupBy("item_id").agg(
-        N.alias("analyses"), F.count_if(F.col("status") == "COMPLETED").alias("completed"),
+        row_count().alias("analyses"), F.count_if(F.col("status") == "COMPLETED").alias("completed"),
         F.count_if(F.col("status") == "FAILED").alias("failed"), F.max("at").alias("last_analysis"))
     per_case = items.join(per_item, "item_id", "left").groupBy("case_id").agg(
-        N.alias("items"), F.sum("analyses").alias("analyses"), F.sum("completed").alias("completed"), F.sum("failed").alias("failed"),
+        row_count().alias("items"), F.sum("analyses").alias("analyses"), F.sum("completed").alias("completed"), F.sum("failed").alias("failed"),
         F.count_if(F.col("status") == "RUNNING").alias("running"), F.count_if(F.col("status") == "PENDING").alias("pending"),
         F.max_by("status", F.struct("at", "item_id")).alias("latest_status"),
         F.greatest(F.max("at"), F.max("last_analysis")).alias("__last"))
@@ -37,7 +37,7 @@ def batch_progress(jobs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Counts by state and percent finished (100 when there is nothing to do)."""
     s = F.upper(F.coalesce("status", F.lit("QUEUED")))
     names = ("QUEUED", "RUNNING", "COMPLETED", "FAILED")
-    out = jobs.groupBy(*keys).agg(N.alias("total"), *[F.count_if(s == n).alias(n.lower()) for n in names])
+    out = jobs.groupBy(*keys).agg(row_count().alias("total"), *[F.count_if(s == n).alias(n.lower()) for n in names])
     done = (F.col("completed") + F.col("failed")) / F.col("total") * 100.0
     return out.withColumn("progress", F.when(F.col("total") == 0, 100.0).otherwise(F.bround(done, 1)))
 
@@ -70,7 +70,7 @@ def scorecard(results: DataFrame, keys: Sequence[str]) -> DataFrame:
     """
     s = F.col("status")
     base = results.groupBy(*keys).agg(
-        N.alias("total"), F.count_if(s == "COMPLETED").alias("applied"), F.count_if(s == "NOT_APPLICABLE").alias("not_applicable"),
+        row_count().alias("total"), F.count_if(s == "COMPLETED").alias("applied"), F.count_if(s == "NOT_APPLICABLE").alias("not_applicable"),
         F.count_if(s == "FAILED").alias("failed"), F.avg("runtime").alias("runtime_mean"), F.stddev_pop("runtime").alias("runtime_std"),
         F.min("runtime").alias("runtime_min"), F.max("runtime").alias("runtime_max"), F.avg("iou").alias("mean_iou"))
     q = quantiles(results, keys, "runtime", {"runtime_p50": 0.5, "runtime_p95": 0.95})
@@ -81,7 +81,7 @@ def scorecard(results: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def label_cube(results: DataFrame, engine: str, label: str) -> DataFrame:
     """Counts by engine and truth label with all subtotals."""
-    out = results.cube(engine, label).agg(N.alias("total"), F.count_if(F.col("status") == "COMPLETED").alias("applied"),
+    out = results.cube(engine, label).agg(row_count().alias("total"), F.count_if(F.col("status") == "COMPLETED").alias("applied"),
                                           F.count_if(F.col("status") == "FAILED").alias("failed"))
     return out.select(F.coalesce(F.col(engine).cast("string"), F.lit("ALL")).alias("engine"), F.coalesce(label, F.lit("ALL")).alias("label"),
                       "total", "applied", "failed")
@@ -93,7 +93,7 @@ def drift(base: DataFrame, changed: DataFrame, keys: Sequence[str], by: Sequence
     pairs = changed.select(*keys, F.col(value).alias("__c")).join(b, list(keys))
     gap = F.abs(F.col("__c") - F.col("__b"))
     rel = F.when(F.abs("__b") > 1e-9, gap / F.abs("__b") * 100.0)
-    return pairs.groupBy(*by).agg(N.alias("pairs"), F.avg(gap).alias("mean_absolute_change"), F.avg(rel).alias("mean_relative_change_pct"))
+    return pairs.groupBy(*by).agg(row_count().alias("pairs"), F.avg(gap).alias("mean_absolute_change"), F.avg(rel).alias("mean_relative_change_pct"))
 
 
 def separation(scores: DataFrame, threshold: float = 50.0, gap: float = 15.0) -> DataFrame:
@@ -122,7 +122,7 @@ def manifest_rows(parts: dict[str, DataFrame], case: str, key: str) -> DataFrame
 
 def first_seen(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Distinct keys with the order value of their first occurrence."""
-    return df.groupBy(*keys).agg(F.min(F.struct(*order)).alias("first_seen"), N.alias("seen"))
+    return df.groupBy(*keys).agg(F.min(F.struct(*order)).alias("first_seen"), row_count().alias("seen"))
 
 
 def region_summary(regions: DataFrame, layers: Sequence[str], statuses: DataFrame) -> DataFrame:
@@ -131,7 +131,7 @@ def region_summary(regions: DataFrame, layers: Sequence[str], statuses: DataFram
     regions: item, layer, intensity; statuses: item, layer, status (AVAILABLE / INAPPLICABLE).
     Items come from `statuses`; layers without a status are NOT_RUN.
     """
-    counted = regions.groupBy("item", "layer").agg(N.alias("n"), F.max("intensity").alias("peak"))
+    counted = regions.groupBy("item", "layer").agg(row_count().alias("n"), F.max("intensity").alias("peak"))
     items = statuses.select("item").distinct()
     grid = items.select("item", F.explode(F.array(*[F.lit(x) for x in layers])).alias("layer"))
     out = grid.join(statuses, ["item", "layer"], "left").join(counted, ["item", "layer"], "left")
@@ -149,4 +149,4 @@ def density_grid(regions: DataFrame, size: int, layers: Sequence[str]) -> DataFr
         return F.floor(F.least(F.greatest(F.col(c), F.lit(0.0)), F.lit(0.999999)) * size).cast("int")
     placed = regions.withColumn("row", cell("y")).withColumn("col", cell("x"))
     return placed.groupBy("row", "col").agg(
-        N.alias("total"), *[F.count_if(F.col("layer") == x).alias(f"n_{x}") for x in layers], F.min("id").alias("sample_id"))
+        row_count().alias("total"), *[F.count_if(F.col("layer") == x).alias(f"n_{x}") for x in layers], F.min("id").alias("sample_id"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import jsonx
 from ..functions import text as X
+from ..functions.numeric import row_count
 from ..operators import integrity as G
 from ..operators import matching as M
 from ..session import cut
@@ -14,7 +15,6 @@ from .common import MODALITIES
 from .registry import query, r
 from .stats_q import rounded
 
-COUNT = F.count(F.lit(1))
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 CHAIN_SQL = """p as (select event_id as id, user_id as case_id, row_number() over (partition by user_id order by ts, event_id) as seq,
@@ -87,7 +87,7 @@ def custody_items(spark, d):
 @query("i03_custody_cases", f"""with {CUSTODY_SQL} select case_id, count(*) as items, bool_and(status = 'VERIFIED_INTACT') as all_intact, count(*) filter (where status = 'FILE_MISSING') as missing,
   count(*) filter (where status = 'TAMPER_OR_BITROT_DETECTED') as tampered from cu group by 1""")
 def custody_cases(spark, d):
-    return custody_rows(spark, d).groupBy("case_id").agg(COUNT.alias("items"), F.bool_and("intact").alias("all_intact"), F.count_if(F.col("status") == "FILE_MISSING").alias("missing"),
+    return custody_rows(spark, d).groupBy("case_id").agg(row_count().alias("items"), F.bool_and("intact").alias("all_intact"), F.count_if(F.col("status") == "FILE_MISSING").alias("missing"),
                                                          F.count_if(F.col("status") == "TAMPER_OR_BITROT_DETECTED").alias("tampered"))
 
 
@@ -170,7 +170,7 @@ def intake_validation(spark, d):
     case = F.when(F.col("source") == "src7", " Closed ").otherwise("OPEN")
     docs = load(spark, d, "documents").select("doc_id", "lang", "source", "n_chars")
     reason = G.intake_reason(ext, declared, actual, F.col("n_chars"), F.col("n_chars") * 100, case, 9000, 600_000)
-    return docs.groupBy(reason.alias("reason")).agg(COUNT.alias("n"), F.sum("n_chars").alias("bytes"))
+    return docs.groupBy(reason.alias("reason")).agg(row_count().alias("n"), F.sum("n_chars").alias("bytes"))
 
 
 REQ_SQL = """rq as (select event_id, user_id, event_type, ts, sha256(concat('{"case_id":"', user_id, '","case_title":null,"file_sha256":"', sha256((cast(json_extract_string(props, '$.k') as integer) % 3)::varchar),
@@ -213,7 +213,7 @@ def orphans(spark, d):
         "nation.region": (n.withColumn("n_nationkey", F.col("n_nationkey").cast("long")).withColumn("n_regionkey", F.col("n_regionkey").cast("long")), "n_nationkey", "n_regionkey",
                           load(spark, d, "region").where("r_regionkey <> 2"), "r_regionkey"),
     })
-    return bad.groupBy("fk").agg(COUNT.alias("orphans"))
+    return bad.groupBy("fk").agg(row_count().alias("orphans"))
 
 
 def run_rows(spark, d, second=False):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes, vectors as V
 from ..functions import text as X
+from ..functions.numeric import row_count
 from ..operators import matching as M
 from ..operators import rules as R
 from ..operators import similarity as S
@@ -14,7 +15,6 @@ from ..sources import load
 from .common import OBS_DUCK, observations
 from .registry import query
 
-N = F.count(F.lit(1))
 
 
 @query("j01_fk_rollout", """
@@ -23,7 +23,7 @@ select o.o_orderkey, c.c_name, count(l.l_orderkey) as analyses, count(*) filter
 from orders o left join customer c on o_custkey = c_custkey left join lineitem l on l_orderkey = o_orderkey group by all""")
 def fk_rollout(spark, d):
     child = load(spark, d, "lineitem").groupBy("l_orderkey").agg(
-        N.alias("analyses"), F.count_if(F.col("l_returnflag") == "R").alias("completed"),
+        row_count().alias("analyses"), F.count_if(F.col("l_returnflag") == "R").alias("completed"),
         F.countDistinct("l_suppkey").alias("engines"), F.sum("l_quantity").alias("total"))
     orders, customer = load(spark, d, "orders"), load(spark, d, "customer")
     out = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"), "left") \
@@ -72,8 +72,9 @@ def document_signatures(spark, d):
         F.sqrt(V.variance(c)).alias("texture"))
 
 
-def near_documents(spark, d, hot=5_000):
-    reps = S.collapse(document_signatures(spark, d).where("texture >= 8"), "doc_id", ["h", "aspect"])
+def near_documents(spark, d, hot=5_000, signatures=None):
+    sig = document_signatures(spark, d).where("texture >= 8") if signatures is None else signatures
+    reps = S.collapse(sig, "doc_id", ["h", "aspect"])
     pairs = S.hamming_pairs(reps, "doc_id", "h", ["aspect", "copies"], max_dist=3, hot=hot)
     return pairs.where(boxes.aspect_delta(F.col("aspect_a"), F.col("aspect_b")) <= 0.015) \
         .select("item_a", "item_b", "distance", "copies_a", "copies_b", F.lit("POSSIBLE_DERIVATIVE").alias("relation_kind"))
@@ -109,7 +110,7 @@ select kind, count(*) as n, sum(l_orderkey)::bigint as key_sum from (select l_or
 def match_class(spark, d):
     kind = M.classify_match((F.col("l_returnflag") == "R") & (F.col("l_quantity") == 50), F.col("l_quantity"), F.col("l_discount") * 5,
                             F.col("l_linenumber"), F.col("l_tax") / 4, F.col("l_extendedprice") / 1000)
-    return load(spark, d, "lineitem").groupBy(F.coalesce(kind, F.lit("NONE")).alias("kind")).agg(N.alias("n"), F.sum("l_orderkey").alias("key_sum"))
+    return load(spark, d, "lineitem").groupBy(F.coalesce(kind, F.lit("NONE")).alias("kind")).agg(row_count().alias("n"), F.sum("l_orderkey").alias("key_sum"))
 
 
 CLUSTER_SQL = """with c as (select p_brand, p_type, p_size, count(*) as members, min(p_partkey) as first_member, max(p_partkey) as last_member
@@ -165,7 +166,7 @@ def mutual_nearest(spark, d):
     sets = items.select("set").distinct()
     pairs = sets.select(F.col("set").alias("set_a"), F.lit(0).alias("case")).join(
         sets.select(F.col("set").alias("set_b"), F.lit(0).alias("case")), "case").where("set_a < set_b").drop("case")
-    shared = S.mutual_nearest(items, pairs, 26).groupBy("set_a", "set_b").agg(N.alias("shared")).where("shared > 8")
+    shared = S.mutual_nearest(items, pairs, 26).groupBy("set_a", "set_b").agg(row_count().alias("shared")).where("shared > 8")
     return shared.withColumn("confidence", F.when(F.col("shared") > 20, "ELEVATED").otherwise("MODERATE"))
 
 
@@ -306,7 +307,7 @@ def remap_q(spark, d):
     k = F.col("o_orderkey")
     linked = orders.select("o_orderkey", F.array(k + 1, k, F.lit(-1).cast("long"), k - 1).alias("links"))
     parents = M.remap(M.remap_array(linked, "o_orderkey", "links", mapping), "o_orderkey", mapping)
-    children = M.remap(lines.groupBy("l_orderkey").agg(N.alias("n")), "l_orderkey", mapping)
+    children = M.remap(lines.groupBy("l_orderkey").agg(row_count().alias("n")), "l_orderkey", mapping)
     return parents.select(F.lit("order").alias("entity"), F.col("o_orderkey").alias("new_id"), F.concat_ws(",", "links").alias("links"), F.lit(1).cast("long").alias("n")) \
         .unionByName(children.select(F.lit("line").alias("entity"), F.col("l_orderkey").alias("new_id"), F.lit(None).cast("string").alias("links"), "n"))
 
@@ -370,7 +371,7 @@ select a.p_partkey as item_a, b.p_partkey as item_b, a.p_brand = b.p_brand as sa
 from p a join p b on b.p_partkey = a.p_partkey + 1""")
 def record_diff(spark, d):
     """Every part beside the next one."""
-    lines = load(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(N.alias("n"))
+    lines = load(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(row_count().alias("n"))
     p = load(spark, d, "part").join(lines, "p_partkey", "left").select(
         "p_partkey", F.struct(F.col("p_brand").alias("brand"), F.col("p_type").alias("type"), F.col("p_name").alias("name"), F.col("p_size").alias("size"),
                               F.col("p_retailprice").alias("price"), F.coalesce("n", F.lit(0)).alias("n_lines")).alias("r"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vectors as V
+from ..functions.numeric import row_count
 from ..operators import rollup as U
 from ..sources import load
 from ..sources.sinks import digest_sums, digest_text
@@ -14,7 +15,6 @@ from .joins_q import label_means
 from .registry import query, r
 from .stats_q import rounded
 
-N = F.count(F.lit(1))
 
 
 @query("a01_case_overview", """
@@ -109,7 +109,7 @@ def stratification(spark, d):
     p = load(spark, d, "part").select(
         F.col("p_type").alias("format"), F.when(size < 10, "UNDER_1MP").when(size <= 30, "1_TO_5MP").otherwise("OVER_5MP").alias("band"),
         F.when(F.col("p_retailprice").isNull(), "UNKNOWN").when(F.col("p_brand") == "Brand#1", "NOT_PROVIDED").otherwise("KNOWN").alias("history"))
-    out = p.groupingSets([[F.col("format")], [F.col("band")], [F.col("history")]], "format", "band", "history").agg(N.alias("n"))
+    out = p.groupingSets([[F.col("format")], [F.col("band")], [F.col("history")]], "format", "band", "history").agg(row_count().alias("n"))
     return out.select(*[F.coalesce(c, F.lit("-")).alias(c) for c in ("format", "band", "history")], "n")
 
 
@@ -119,7 +119,7 @@ select lang, count(*) as negatives, count(*) filter (where n_chars >= 2000) as a
 def false_alarms(spark, d):
     j = load(spark, d, "documents").select("doc_id", "lang", "source", "n_chars").join(load(spark, d, "labels"), "doc_id").where("toxic = 0")
     alarm, named = F.col("n_chars") >= 2000, F.contains(F.lower("source"), F.lit("1"))
-    return j.groupBy("lang").agg(N.alias("negatives"), F.count_if(alarm).alias("alarms"), F.count_if(alarm & named).alias("alarms_with_keyword"),
+    return j.groupBy("lang").agg(row_count().alias("negatives"), F.count_if(alarm).alias("alarms"), F.count_if(alarm & named).alias("alarms_with_keyword"),
                                  F.count_if(alarm & ~named).alias("alarms_other"))
 
 
@@ -219,7 +219,7 @@ select o_orderkey as item_id, concat('{"item":', o_orderkey, ',"status":"', o_or
 def provenance_tree(spark, d):
     """One JSON document per item; children enter as counts and bounds, their rows stay rows (a41)."""
     child = load(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
-        N.alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("art"), F.min("l_linenumber").alias("lo"), F.max("l_linenumber").alias("hi"))
+        row_count().alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("art"), F.min("l_linenumber").alias("lo"), F.max("l_linenumber").alias("hi"))
     o = load(spark, d, "orders").join(child, "o_orderkey", "left")
     lines = F.when(F.col("lo").isNull(), F.array().cast("array<int>")).otherwise(F.array("lo", "hi"))
     tree = F.to_json(F.struct(
@@ -237,7 +237,7 @@ def report_payload(spark, d):
     for kind, df in case_parts(spark, d).items():
         rows = df.select("case_id", F.sha2(F.concat_ws(":", F.lit(kind), "entry"), 256).alias("h"))
         manifest = rows if manifest is None else manifest.unionByName(rows)
-    digest = manifest.groupBy("case_id").agg(N.alias("entries"), *digest_sums(F.col("h"))).select("case_id", "entries", digest_text(F.col("entries")).alias("digest"))
+    digest = manifest.groupBy("case_id").agg(row_count().alias("entries"), *digest_sums(F.col("h"))).select("case_id", "entries", digest_text(F.col("entries")).alias("digest"))
     j = overview.join(progress, "case_id", "left").join(digest, "case_id", "left")
     payload = F.to_json(F.struct(
         F.struct("items", "analyses", overview["completed"].alias("done"), "latest_status").alias("summary"),
@@ -247,7 +247,7 @@ def report_payload(spark, d):
 
 @query("a44_duplicate_census", "select sha256(text) as digest, count(*) as copies, min(doc_id) as first_id from documents group by 1 having count(*) > 1")
 def duplicate_census(spark, d):
-    return load(spark, d, "documents").groupBy(F.sha2("text", 256).alias("digest")).agg(N.alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1")
+    return load(spark, d, "documents").groupBy(F.sha2("text", 256).alias("digest")).agg(row_count().alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1")
 
 
 @query("a45_response_checks", """
@@ -257,4 +257,4 @@ def response_checks(spark, d):
     li = load(spark, d, "lineitem")
     consistent = (F.col("l_discount") * 3 >= 0.15) == (F.col("l_linestatus") == "F")
     return li.groupBy((F.col("l_suppkey") % 23).alias("engine")).agg(
-        N.alias("n"), F.count_if(consistent).alias("response_consistent"), F.count_if(F.abs(F.col("l_quantity") - 25) <= 15).alias("within_expected_scale"))
+        row_count().alias("n"), F.count_if(consistent).alias("response_consistent"), F.count_if(F.abs(F.col("l_quantity") - 25) <= 15).alias("within_expected_scale"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
+from ..functions.numeric import row_count
 from ..operators import measures as M
 from ..operators import rules as R
 from ..sources import load
@@ -13,7 +14,6 @@ from .joins_q import LATEST_SQL, RELATIONS_SQL, latest
 from .registry import query, r
 from .stats_q import rounded
 
-COUNT = F.count(F.lit(1))
 
 FAMILY_SQL = f"""f as (select o_orderkey as item_id, count(x.item_id) as observations,
   coalesce(bool_or(act and modality in ('ELA', 'JPEG_DCT')), false) as comp, coalesce(bool_or(act and modality = 'NOISE'), false) as res,
@@ -36,7 +36,7 @@ def assessed(spark, d, strong=None):
 def family_assessment(spark, d):
     """Items, active families and share per concern level (no rule of the table is of high strength)."""
     strong = R.relations(latest(spark, d)).where(F.col("strength").isin(*R.STRONG))
-    levels = assessed(spark, d, strong).groupBy("level").agg(COUNT.alias("items"), F.sum("families").alias("families"))
+    levels = assessed(spark, d, strong).groupBy("level").agg(row_count().alias("items"), F.sum("families").alias("families"))
     total = levels.agg(F.sum("items").alias("all_items"))  # one row
     return levels.join(F.broadcast(total)).select("level", "items", "families", F.round(F.col("items") / F.col("all_items"), 6).alias("share"))
 
@@ -99,7 +99,7 @@ def signals(spark, d):
 
 @query("a37_processing_signals", f"with {SIGNALS_SQL} select operation, candidate, count(*) as n, sum(analysis_id)::bigint as id_sum from t group by 1, 2")
 def processing_signals(spark, d):
-    return signals(spark, d).groupBy("operation", "candidate").agg(COUNT.alias("n"), F.sum("analysis_id").alias("id_sum"))
+    return signals(spark, d).groupBy("operation", "candidate").agg(row_count().alias("n"), F.sum("analysis_id").alias("id_sum"))
 
 
 @query("a37_processing_sequences", f"""with {SIGNALS_SQL}, h as (select item_id, count(*) as signals, bool_or(candidate and operation = 'JPEG_REENCODING') as j, bool_or(candidate and operation = 'RESIZING_OR_RESAMPLING') as z from t group by 1)
@@ -119,7 +119,7 @@ select case_id, 'MEDIUM', 'CROSS_ITEM_CORRELATION' from c where items >= 2 and c
 def next_steps(spark, d):
     orders = load(spark, d, "orders")
     cases = orders.groupBy(F.col("o_custkey").alias("case_id")).agg(
-        COUNT.alias("items"), F.count_if(F.col("o_orderstatus").isin("O", "P")).alias("unreviewed"), F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("cross_findings"))
+        row_count().alias("items"), F.count_if(F.col("o_orderstatus").isin("O", "P")).alias("unreviewed"), F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("cross_findings"))
     done = observations(spark, d).where("l_returnflag = 'R'").groupBy("item_id").agg(*[F.max(F.col("modality") == m).cast("long").alias(m) for m in MODALITIES])
     per_case = orders.select(F.col("o_orderkey").alias("item_id"), F.col("o_custkey").alias("case_id")).join(done, "item_id") \
         .groupBy("case_id").agg(*[F.sum(m).alias(m) for m in MODALITIES])
@@ -141,7 +141,7 @@ def measure_registry(spark, d):
                            lambda df: df.select("item_id", F.lit("db").alias("metric_name"), N.full_scale_db(F.col("p_retailprice") / 1000).alias("normalized_value")),
                            lambda: F.col("p_size") >= 10))
     items = load(spark, d, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_type").alias("format"), "p_size", "p_retailprice")
-    return reg.run(items).groupBy("engine", "metric_name").agg(COUNT.alias("n"), F.round(F.sum("normalized_value"), 4).alias("total"))
+    return reg.run(items).groupBy("engine", "metric_name").agg(row_count().alias("n"), F.round(F.sum("normalized_value"), 4).alias("total"))
 
 
 @query("x02_custom_measure", f"select user_id, count(*) as n, {r('sum(value)', 4)} as total, {r('max(value)', 4)} as peak from events group by 1")
@@ -188,7 +188,7 @@ select event_type as modality, case when event_type in ('error', 'signup') then
 from e where event_type in ('error', 'signup') or (event_type = 'click' and k % 5 = 0) or (event_type = 'purchase' and k % 7 = 0) group by 1, 2""")
 def rejected_documents(spark, d):
     _, bad = R.normalise(documents_of(spark, d), SPECS)
-    return bad.groupBy("modality", "reason").agg(COUNT.alias("n"))
+    return bad.groupBy("modality", "reason").agg(row_count().alias("n"))
 
 
 @query("x04_metric_expressions", f"""with c as (select l_suppkey, count(*) filter (where l_returnflag = 'R' and l_linestatus = 'F') as tp, count(*) filter (where l_returnflag = 'R' and l_linestatus = 'O') as fp,

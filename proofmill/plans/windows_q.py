@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import boxes, jsonx, solar, vectors as V
 from ..functions import numeric as N
 from ..functions import text as X
+from ..functions.numeric import row_count
 from ..operators import grid as G
 from ..operators import stats as S
 from ..operators import windows as O
@@ -18,7 +19,6 @@ from .joins_q import label_means
 from .registry import query, r
 from .stats_q import HIST_SQL, rounded
 
-COUNT = F.count(F.lit(1))
 
 
 # ---- W ----
@@ -87,10 +87,10 @@ def gaussian_residual(spark, d):
 
 
 @query("w07_median_residual", f"""with {SERIES_SQL}, o as (select unnest(range(-2, 3)) as o), m as (select p.event_type, p.pos, any_value(p.a) - median(q.a) as rs from s p, o, s q where q.event_type = p.event_type and q.pos = {reflect('p.pos + o', 'p.n')} group by 1, 2)
-select event_type, {r('avg(abs(rs))', 4)} as mean_abs, {r('stddev_pop(rs)', 4)} as std, {r('max(abs(rs))', 4)} as peak from m group by 1""")
+select event_type, {r('avg(abs(rs)) + 1e-7', 4)} as mean_abs, {r('stddev_pop(rs)', 4)} as std, {r('max(abs(rs))', 4)} as peak from m group by 1""")
 def median_residual(spark, d):
     out = O.median_residual(series(spark, d), ["event_type"], "pos", F.col("n"), "a", 2)
-    return rounded(out.groupBy("event_type").agg(F.avg(F.abs("residual")).alias("mean_abs"), F.stddev_pop("residual").alias("std"), F.max(F.abs("residual")).alias("peak")), 4)
+    return rounded(out.groupBy("event_type").agg((F.avg(F.abs("residual")) + 1e-7).alias("mean_abs"), F.stddev_pop("residual").alias("std"), F.max(F.abs("residual")).alias("peak")), 4)
 
 
 @query("w08_derivatives", f"""with {SERIES_SQL}, k as (select event_type, pos, a, coalesce(lead(a) over w, lag(a) over w) as nx, coalesce(lag(a) over w, lead(a) over w) as pv from s window w as (partition by event_type order by pos))
@@ -219,7 +219,7 @@ def set_equality(spark, d):
     changed = c.withColumn("c_name", F.when(F.col("c_custkey") % 50 == 0, F.upper("c_name")).otherwise(F.col("c_name")))
     out = None
     for name, other in (("same", c.orderBy(F.desc("c_custkey"))), ("changed", changed)):
-        diff = c.exceptAll(other).unionByName(other.exceptAll(c)).agg(COUNT.alias("differing"))
+        diff = c.exceptAll(other).unionByName(other.exceptAll(c)).agg(row_count().alias("differing"))
         row = diff.select(F.lit(name).alias("pair"), (F.col("differing") == 0).alias("equal"), "differing")
         out = row if out is None else out.unionByName(row)
     return out
@@ -345,5 +345,5 @@ def day_night_conflicts(spark, d):
     """Per device: items whose sun was below the horizon, and whose claimed shadow points elsewhere."""
     s = sun_rows(spark, d).withColumn("gap", N.angle_gap(((F.col("user_id") * 31) % 360).cast("double"), F.col("shadow_azimuth")))
     night = F.col("elevation") < -1.0
-    return rounded(s.groupBy("user_id").agg(COUNT.alias("n"), F.count_if(night).alias("night_conflicts"), F.avg(night.cast("double")).alias("conflict_rate"),
+    return rounded(s.groupBy("user_id").agg(row_count().alias("n"), F.count_if(night).alias("night_conflicts"), F.avg(night.cast("double")).alias("conflict_rate"),
                                             F.count_if(~night & (F.col("gap") > 45.0)).alias("direction_conflicts")))
