@@ -106,24 +106,26 @@ def layers(nodes: DataFrame, edges: DataFrame, order: Mapping[str, int] | None =
     state = cut(nodes.select("id", F.coalesce(F.element_at(kinds, F.col("type")), F.lit(99)).alias("kind"), "label")
                 .join(indeg, "id", "left").select("id", "kind", "label", F.coalesce("open", F.lit(0)).alias("open"), F.lit(0).alias("layer")))
     done: list[DataFrame] = []
-    while not state.isEmpty():
-        ready = state.where("open = 0")
-        broke = ready.isEmpty()
-        if broke:
-            comp = components(links, "source", "target")
-            pick = state.join(comp.withColumnRenamed("node", "id"), "id").groupBy("component") \
+    while True:
+        left, free = state.agg(row_count(), F.count_if(F.col("open") == 0)).first()
+        if not left:
+            break
+        if free:
+            ready = state.where("open = 0")
+        else:
+            among = induced(links, state)
+            pick = state.join(components(among, "source", "target").withColumnRenamed("node", "id"), "id").groupBy("component") \
                 .agg(F.min(F.struct("open", "kind", "label", "id")).alias("m")).select("m.id")
-            ready = state.join(pick, "id", "left_semi")
-        ready = cut(ready.select("id", "layer", F.lit(broke).alias("broke_cycle")))
+            ready = cut(state.join(pick, "id", "left_semi"))
+        ready = ready.select("id", "layer", F.lit(not free).alias("broke_cycle"))
         done.append(ready)
         gone = ready.select(F.col("id").alias("source"), "layer")
         pushed = links.join(gone, "source").groupBy(F.col("target").alias("id")).agg(row_count().alias("less"), (F.max("layer") + 1).alias("down"))
-        rest = state.join(ready.select("id"), "id", "left_anti").join(pushed, "id", "left")
-        state = cut(rest.select("id", "kind", "label", (F.col("open") - F.coalesce("less", F.lit(0))).alias("open"),
-                                F.greatest("layer", F.coalesce("down", F.lit(0))).alias("layer")))
-        ids = ready.select("id")
-        links = cut(links.join(ids.withColumnRenamed("id", "source"), "source", "left_anti")
-                    .join(ids.withColumnRenamed("id", "target"), "target", "left_anti"))
+        rest = state.join(ready.select("id"), "id", "left_anti") if not free else state.where("open <> 0")
+        state = cut(rest.join(pushed, "id", "left").select(
+            "id", "kind", "label", (F.col("open") - F.coalesce("less", F.lit(0))).alias("open"), F.greatest("layer", F.coalesce("down", F.lit(0))).alias("layer")))
+        if len(done) % 8 == 0:  # released sources are not needed again
+            links = cut(links.join(state.select(F.col("id").alias("source")), "source", "left_semi"))
     return union(done) if done else nodes.select("id", F.lit(0).alias("layer"), F.lit(False).alias("broke_cycle"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import sys
 from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import row_count
 from ..functions.text import GENESIS_HASH, canonical_json, is_sha256
+from ..session import cut, fresh_dir
 from ..sources.sinks import digest_sums, digest_text
 from .skew import Sequenced
 
@@ -40,33 +42,54 @@ def event_hash(previous: Column, sequence: Column) -> Column:
     return F.sha2(F.concat("__head", previous, "__mid", sequence.cast("string"), "__tail"), 256)
 
 
-def build_chain(df: DataFrame, order: Sequence[str]) -> DataFrame:
+CHAIN_SEGMENT = 2_000_000
+
+
+def build_chain(df: DataFrame, order: Sequence[str], segment: int = CHAIN_SEGMENT) -> DataFrame:
     """Number the events of every case and link them by hash: (case_id, id, sequence_number, previous_hash, event_hash).
 
-    Each hash needs the one before it, so a case is sequential by definition.
-    Its rows are streamed in order through one task that keeps only the last
-    hash; nothing is gathered, and all text is prepared before the shuffle.
+    Each hash needs the one before it, so only the linking of one case is
+    sequential; texts and sequence numbers are made in parallel. Rows stream
+    through tasks that keep one hash. A case longer than `segment` is linked
+    segment by segment, each written before the next starts from its head, so
+    no task ever holds a whole long case and a lost executor costs one segment.
     """
-    ready = chain_text(df).select("case_id", "id", *[c for c in order if c not in ("case_id", "id")], "__head", "__mid", "__tail")
-    placed = ready.repartition("case_id").sortWithinPartitions("case_id", *order).select("case_id", "id", "__head", "__mid", "__tail")
     kind = df.schema["case_id"].dataType.simpleString()
+    schema = f"case_id {kind}, id long, sequence_number long, previous_hash string, event_hash string"
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        case, seq, prev = None, 0, GENESIS_HASH
+        case, prev = None, GENESIS_HASH
         for pdf in batches:
-            seqs, prevs, hashes = [], [], []
-            for c, head, mid, tail in zip(pdf["case_id"], pdf["__head"], pdf["__mid"], pdf["__tail"]):
+            prevs, hashes = [], []
+            for c, seq, start, head, mid, tail in zip(*[pdf[n] for n in ("case_id", "seq", "start", "head", "mid", "tail")]):
                 if c != case:
-                    case, seq, prev = c, 0, GENESIS_HASH
-                seq += 1
-                digest = hashlib.sha256(f"{head}{prev}{mid}{seq}{tail}".encode()).hexdigest()
-                seqs.append(seq)
+                    case, prev = c, start
                 prevs.append(prev)
-                hashes.append(digest)
-                prev = digest
-            yield pd.DataFrame({"case_id": pdf["case_id"], "id": pdf["id"], "sequence_number": seqs, "previous_hash": prevs, "event_hash": hashes})
-
-    return placed.mapInPandas(link, f"case_id {kind}, id long, sequence_number long, previous_hash string, event_hash string")
+                prev = hashlib.sha256(f"{head}{prev}{mid}{seq}{tail}".encode()).hexdigest()
+                hashes.append(prev)
+            yield pd.DataFrame({"case_id": pdf["case_id"], "id": pdf["id"], "sequence_number": pdf["seq"], "previous_hash": prevs, "event_hash": hashes})
+
+    def linked(part: DataFrame) -> DataFrame:
+        return part.repartition("case_id").sortWithinPartitions("case_id", "seq") \
+            .select("case_id", "id", "seq", "start", "head", "mid", "tail").mapInPandas(link, schema)
+
+    text = chain_text(df).select("case_id", "id", *[c for c in order if c not in ("case_id", "id")], *[F.col(f"__{c}").alias(c) for c in ("head", "mid", "tail")])
+    ready = Sequenced(text, ["case_id"], order).ordinal("seq").withColumn("start", F.lit(GENESIS_HASH))
+    longest = df.groupBy("case_id").agg(row_count().alias("n")).agg(F.max("n")).first()[0] or 0
+    if longest <= segment:
+        return linked(ready)
+    path = fresh_dir(df.sparkSession, "chain")
+    ready = ready.withColumn("part", F.floor((F.col("seq") - 1) / segment))
+    ready.write.partitionBy("part").parquet(path)
+    stored = df.sparkSession.read.schema(ready.schema).parquet(path)
+    parts, heads = [], None
+    for i in range(-(-longest // segment)):
+        part = stored.where(F.col("part") == i)
+        if heads is not None:
+            part = part.drop("start").join(heads, "case_id")
+        parts.append(cut(linked(part)))
+        heads = parts[-1].where(F.col("sequence_number") == (i + 1) * segment).select("case_id", F.col("event_hash").alias("start"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def verify_chain(events: DataFrame) -> DataFrame:

@@ -27,18 +27,18 @@ ch as (select case_id, id, seq, repeat('0', 64) as prev, sha256(concat(head, rep
 def audit_rows(spark, d):
     return load(spark, d, "events").select(
         F.col("event_id").alias("id"), F.col("user_id").alias("case_id"), F.lit(None).cast("string").alias("evidence_id"), "event_type",
-        F.date_format("ts", ISO).alias("timestamp"), F.lit("system").alias("actor"), F.col("props").alias("safe_metadata"))
+        F.date_format("ts", ISO).alias("timestamp"), F.lit("system").alias("actor"), F.col("props").alias("safe_metadata"), "ts")
 
 
 def chained(spark, d):
     """The audit events of every user with their chain, written once so that checks read a table."""
     rows = audit_rows(spark, d)
-    return rows, cut(G.build_chain(rows, ["timestamp", "id"]).join(rows, ["case_id", "id"]))
+    return rows, cut(G.build_chain(rows, ["ts", "id"]).join(rows, ["case_id", "id"]))
 
 
 @query("i01_chain_build", f"with recursive {CHAIN_SQL} select case_id, id, seq as sequence_number, prev as previous_hash, hash as event_hash from ch")
 def chain_build(spark, d):
-    return G.build_chain(audit_rows(spark, d), ["timestamp", "id"])
+    return G.build_chain(audit_rows(spark, d), ["ts", "id"])
 
 
 TAMPER_SQL = f"""{CHAIN_SQL}, tm as (select ch.case_id, ch.id, ch.seq, case when ch.id % 103 = 0 then repeat('f', 64) else ch.prev end as prev, ch.hash,
