@@ -177,12 +177,16 @@ REQ_SQL = """rq as (select event_id, user_id, event_type, ts, sha256(concat('{"c
   '","intake_context":', case when event_type = 'view' then '{}' else concat('{"kind":"', event_type, '"}') end, '}')) as fp from events)"""
 
 
-def intake_requests(spark, d):
+def requests_of(e):
+    """Events as upload requests with their fingerprint; the same for a table and a stream."""
     k = F.get_json_object("props", "$.k").cast("int") % 3
-    e = load(spark, d, "events")
     kind = F.when(F.col("event_type") == "view", "   ").otherwise(F.concat(F.lit(" "), "event_type"))
     fp = G.request_fingerprint(F.upper(F.sha2(k.cast("string"), 256)), F.col("user_id").cast("string"), F.lit(" "), {"kind": kind, "note": F.lit(None).cast("string")})
-    return e.select("event_id", "user_id", "event_type", "ts", fp.alias("fp"))
+    return e.select("event_id", "user_id", "event_type", *[c for c in ("ts", "ts_us") if c in e.columns], fp.alias("fp"))
+
+
+def intake_requests(spark, d):
+    return requests_of(load(spark, d, "events"))
 
 
 @query("i08_idempotent_intake", f"""with {REQ_SQL}, f as (select user_id, event_type, arg_min(fp, (ts, event_id)) as fp, arg_min(event_id, (ts, event_id)) as first_id from rq group by 1, 2)
@@ -253,9 +257,13 @@ STATE_SQL = "case event_type " + " ".join(f"when '{k}' then '{v}'" for k, v in S
 ALLOWED_SQL = ", ".join(f"('{a}', '{b}')" for a, bs in G.TRANSITIONS.items() for b in bs)
 
 
-def states(spark, d):
+def states_of(e):
     table = F.create_map(*[F.lit(x) for kv in STATES.items() for x in kv])
-    return load(spark, d, "events").select("event_id", "user_id", "ts", F.element_at(table, F.col("event_type")).alias("status"))
+    return e.select("event_id", "user_id", *[c for c in ("ts", "ts_us") if c in e.columns], F.element_at(table, F.col("event_type")).alias("status"))
+
+
+def states(spark, d):
+    return states_of(load(spark, d, "events"))
 
 
 @query("i12_bad_transitions", f"""with s as (select event_id, user_id, {STATE_SQL} as status, lag({STATE_SQL}) over (partition by user_id order by ts, event_id) as old_status from events)
