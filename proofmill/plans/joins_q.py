@@ -75,7 +75,8 @@ def document_signatures(spark, d):
 def near_documents(spark, d, hot=5_000, signatures=None):
     sig = document_signatures(spark, d).where("texture >= 8") if signatures is None else signatures
     reps = S.collapse(sig, "doc_id", ["h", "aspect"])
-    pairs = S.hamming_pairs(reps, "doc_id", "h", ["aspect", "copies"], max_dist=3, hot=hot)
+    reps = reps.withColumn("aspect_band", S.ratio_band(F.col("aspect"), 0.015))
+    pairs = S.hamming_pairs(reps, "doc_id", "h", ["aspect", "copies"], max_dist=3, hot=hot, band="aspect_band")
     return pairs.where(boxes.aspect_delta(F.col("aspect_a"), F.col("aspect_b")) <= 0.015) \
         .select("item_a", "item_b", "distance", "copies_a", "copies_b", F.lit("POSSIBLE_DERIVATIVE").alias("relation_kind"))
 
