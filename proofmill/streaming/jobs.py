@@ -120,7 +120,7 @@ def observation_log(stream: DataFrame, path: str) -> StreamingQuery:
     return stream.writeStream.format("json").option("path", path).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
 
 
-def replacing_sink(stream: DataFrame, path: str, keys: Sequence[str]) -> StreamingQuery:
+def replacing_sink(stream: DataFrame, path: str, keys: Sequence[str], state: str | None = None) -> StreamingQuery:
     """Each micro-batch replaces the partitions it brings."""
     return stream.writeStream.foreachBatch(lambda batch, _: replace_partitions(batch, path, keys)) \
-        .option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
+        .option("checkpointLocation", state or f"{path}-state").trigger(availableNow=True).start()
