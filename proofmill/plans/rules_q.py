@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions import numeric as N
 from ..functions.numeric import row_count
@@ -37,8 +38,8 @@ def family_assessment(spark, d):
     """Items, active families and share per concern level (no rule of the table is of high strength)."""
     strong = R.relations(latest(spark, d)).where(F.col("strength").isin(*R.STRONG))
     levels = assessed(spark, d, strong).groupBy("level").agg(row_count().alias("items"), F.sum("families").alias("families"))
-    total = levels.agg(F.sum("items").alias("all_items"))  # one row
-    return levels.join(F.broadcast(total)).select("level", "items", "families", F.round(F.col("items") / F.col("all_items"), 6).alias("share"))
+    every = F.sum("items").over(W.partitionBy())  # over at most five levels, not over items
+    return levels.select("level", "items", "families", F.round(F.col("items") / every, 6).alias("share"))
 
 
 @query("a35_strong_assessment", f"""with {FAMILY_SQL}, st as (select distinct item_id from ({OBS_DUCK}) where modality = 'COPY_MOVE' and l_tax >= 0.08)
