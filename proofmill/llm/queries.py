@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from ..sources import load
 from .containment import containment_search
 from .license_scan import license_scan
+from .near_duplicates import near_duplicates
 from .personal_data import KINDS, personal_data
 from .quality_rules import quality_rules
+from .repeated_passages import repeated_passages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,3 +59,16 @@ def op8_containment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("reference_id"), F.col("text").alias("reference_text"))
     return containment_search(intake(spark, sf_dir), items).select(F.col("evidence_id").alias("doc_id"), F.col("reference_id").alias("item_id"),
                                                                    "n_shingles", "n_shared", "containment")
+
+
+@query
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(intake(spark, sf_dir), shingle=2).withColumnRenamed("evidence_id", "doc_id")
+
+
+@query
+def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    length = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return repeated_passages(intake(spark, sf_dir)).select(
+        F.col("evidence_id").alias("doc_id"), "n_bytes", length.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept_bytes", 256).alias("kept_sha256"))
