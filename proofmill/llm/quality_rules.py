@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import math
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut
 from .common import BLANKS, let, pieces, shingle_hashes, steps, whole_text
+from .sketch import merged, quantile_sketch, sketch_quantiles
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
@@ -72,35 +71,6 @@ def quality_measures(evidence: DataFrame, text_col: str = "intake_notes", window
         "duplicate_line_share": share("n_dup_lines", "n_lines"), "repeat_share": share("n_repeat_words", "n_words")})
 
 
-def quantile_sketch(measures: DataFrame, groups: list[str], accuracy: float = 0.01) -> DataFrame:
-    """Mergeable quantile sketches: rows (groups, measure, bucket, n).
-
-    Buckets grow by a fixed ratio, so a quantile is known within `accuracy` of
-    its value; two sketches merge by adding the counts of equal buckets. At
-    most a few hundred rows per group, counted before the shuffle, and the
-    same rows in whatever order the data come.
-    """
-    ratio = math.log((1 + accuracy) / (1 - accuracy))
-    bucket = lambda v: F.when(v > 0, F.ceil(F.log(v) / ratio).cast("int"))
-    long = measures.select(*groups, F.explode(F.array(*[F.struct(F.lit(r.measure).alias("measure"), bucket(F.col(r.measure)).alias("bucket")) for r in RULES])).alias("m"))
-    return long.groupBy(*groups, "m.measure", "m.bucket").agg(F.count(F.lit(1)).alias("n"))
-
-
-def merged(sketch: DataFrame, groups: list[str]) -> DataFrame:
-    """The sketch of a coarser grouping."""
-    return sketch.groupBy(*groups, "measure", "bucket").agg(F.sum("n").alias("n"))
-
-
-def sketch_quantiles(sketch: DataFrame, groups: list[str], shares: dict[str, float], accuracy: float = 0.01) -> DataFrame:
-    """One row per group and measure: total and the value at each share (the bucket's middle; 0 for the bucket of zeros)."""
-    ratio = math.log((1 + accuracy) / (1 - accuracy))
-    by = W.partitionBy(*groups, "measure")
-    value = F.coalesce(F.exp((F.col("bucket") - 0.5) * ratio), F.lit(0.0))
-    run = sketch.withColumns({"run": F.sum("n").over(by.orderBy(F.col("bucket").asc_nulls_first())), "total": F.sum("n").over(by), "value": value})
-    return run.groupBy(*groups, "measure").agg(F.max("total").alias("total"), *[
-        F.min(F.when(F.col("run") >= F.ceil(F.col("total") * s), F.col("value"))).alias(name) for name, s in shares.items()])
-
-
 def quality_thresholds(measures: DataFrame, language_col: str = "language", source_col: str = "source_platform", reach: float = 6.0,
                        least_group: int = 200) -> DataFrame:
     """Fences per (language, platform), one row each: q25 - reach * spread and q75 + reach * spread.
@@ -111,7 +81,7 @@ def quality_thresholds(measures: DataFrame, language_col: str = "language", sour
     Texts that fail the fixed base rules do not count. Nulls are a group like any other.
     """
     key = {"__lang": F.coalesce(F.col(language_col), F.lit("")), "__from": F.coalesce(F.col(source_col), F.lit(""))}
-    fine = quantile_sketch(measures.where("not base_failed").select(*[v.alias(k) for k, v in key.items()], *[r.measure for r in RULES]), list(key))
+    fine = quantile_sketch(measures.where("not base_failed").select(*[v.alias(k) for k, v in key.items()], *[r.measure for r in RULES]), list(key), [r.measure for r in RULES])
     fine = cut(fine)
     shares = {"q25": 0.25, "q75": 0.75}
     named = lambda df, p: df.select(*[c for c in df.columns if c not in ("total", "q25", "q75")], *[F.col(c).alias(f"{p}_{c}") for c in ("total", "q25", "q75")])

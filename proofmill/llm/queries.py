@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from ..sources import load
 from .containment import containment_search
+from .context_tree import context_tree_scores
 from .license_scan import license_scan
+from .mixing import layout_topic, mixture, token_count
 from .near_duplicates import near_duplicates
 from .personal_data import KINDS, personal_data
 from .quality_rules import quality_rules
 from .repeated_passages import repeated_passages
+from .toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -72,3 +75,22 @@ def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(intake(spark, sf_dir)).select(
         F.col("evidence_id").alias("doc_id"), "n_bytes", length.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
         F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = load(spark, sf_dir, "labels").select(F.col("doc_id").alias("evidence_id"), "toxic")
+    return toxicity(intake(spark, sf_dir), labels).withColumnRenamed("evidence_id", "doc_id")
+
+
+@query
+def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("intake_notes")
+    records = intake(spark, sf_dir).select("evidence_id", "source_platform", "language", layout_topic(text).alias("topic"), token_count(text).alias("n_tokens"))
+    return mixture(records).select(F.col("evidence_id").alias("doc_id"), F.col("source_platform").alias("source"), F.col("language").alias("lang"), "topic",
+                                   "n_tokens", "weight", "probability", "sampled")
+
+
+@query
+def op6_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree_scores(intake(spark, sf_dir)).withColumnRenamed("evidence_id", "doc_id")
