@@ -17,6 +17,7 @@ from .personal_data import KINDS, personal_data
 from .quality_rules import quality_rules
 from .repeated_passages import repeated_passages
 from .toxicity import toxicity
+from .trusted_text import trusted_text_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -94,3 +95,9 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_tree_scores(intake(spark, sf_dir)).withColumnRenamed("evidence_id", "doc_id")
+
+
+@query
+def op9_trusted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = load(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("evidence_id"))
+    return trusted_text_quality(intake(spark, sf_dir), trusted).withColumnsRenamed({"evidence_id": "doc_id", "language": "lang"})
