@@ -11,6 +11,9 @@ from ..session import cut
 from .common import BLANKS, pieces, sized, whole_text
 
 
+MOST = 1e6
+
+
 def token_count(text: Column) -> Column:
     return F.size(pieces(whole_text(text), BLANKS)).cast("long")
 
@@ -35,77 +38,79 @@ def _lookup(values: Mapping[str, float], key: Column) -> Column:
 
 
 def _factors(cells: DataFrame, language: Mapping[str, float], topic: Mapping[str, float], rounds: int, close: float) -> tuple[DataFrame, dict[str, float], dict[str, float]]:
-    """Raking: (platform, a, cells), language factors, topic factors, so that a * b * c * tokens meets all three margins.
+    """Raking: (platform, a), language factors b and topic factors c. A cell's probability is a * b * c, one at most.
 
     cells has one row per platform with its tokens by language and topic, so
-    the platform step is inside the row; the other two steps need one number
-    per language or topic, added up in a Spark aggregate.
+    the platform step is inside the row: its factor grows until the platform's
+    expected tokens are right, or all of them are taken. The other two steps
+    need one number per language or topic, added up in a Spark aggregate.
     """
     b, c = dict.fromkeys(language, 1.0), dict.fromkeys(topic, 1.0)
 
     def placed() -> DataFrame:
-        weighted = F.transform("cells", lambda x: F.struct(x["l"].alias("l"), x["t"].alias("t"), x["n"].alias("n"), (x["n"] * _lookup(b, x["l"]) * _lookup(c, x["t"])).alias("w")))
-        rows = cells.withColumn("cells", weighted)
-        return rows.withColumn("a", F.col("want") / F.aggregate("cells", F.lit(0.0), lambda s, x: s + x["w"]))
+        rows = cells.withColumn("cells", F.transform("cells", lambda x: F.struct(x["l"].alias("l"), x["t"].alias("t"), x["n"].alias("n"),
+                                                                                 (_lookup(b, x["l"]) * _lookup(c, x["t"])).alias("f"))))
+        taken = lambda a: F.aggregate("cells", F.lit(0.0), lambda s, x: s + x["n"] * F.least(F.lit(1.0), a * x["f"]))
+        first = F.col("want") / F.aggregate("cells", F.lit(0.0), lambda s, x: s + x["n"] * x["f"])
+        return rows.withColumn("a", F.aggregate(F.sequence(F.lit(1), F.lit(40)), first, lambda a, _: F.least(F.lit(MOST), a * F.col("want") / taken(a))))
 
-    def margin(kind: str) -> dict[str, float]:
+    def margin(kind: str) -> dict[str, tuple[float, float]]:
         cell = placed().select("a", F.explode("cells").alias("x"))
-        # rounded to 12 digits of a share: the same sum in whatever order the rows come
-        share = F.round(F.col("a") * F.col("x.w"), 14).cast("decimal(30,14)")
-        return {r["k"]: float(r["s"]) for r in cell.groupBy(F.col(f"x.{kind}").alias("k")).agg(F.sum(share).alias("s")).collect()}
+        # decimals: the same sum in whatever order the rows come
+        share = (F.col("x.n") * F.least(F.lit(1.0), F.col("a") * F.col("x.f"))).cast("decimal(30,14)")
+        found = cell.groupBy(F.col(f"x.{kind}").alias("k")).agg(F.sum(share).alias("s"), F.sum(F.col("x.n").cast("decimal(30,14)")).alias("n")).collect()
+        return {r["k"]: (float(r["s"]), float(r["n"])) for r in found}
 
     for _ in range(rounds):
         off = 0.0
         for kind, factor, want in (("l", b, language), ("t", c, topic)):
-            have = margin(kind)
-            for k, w in want.items():
-                if have.get(k):
-                    off = max(off, abs(have[k] / w - 1))
-                    factor[k] *= w / have[k]
+            for k, (have, most) in margin(kind).items():
+                if have > 0 and not (want[k] > have and have > (1 - 1e-9) * most):  # all of it is taken: more is not to be had
+                    off = max(off, abs(have / want[k] - 1))
+                    factor[k] = min(MOST, factor[k] * want[k] / have)
         if off < close:
             break
-    return placed().select("platform", "a", "cells"), b, c
+    return placed().select("platform", "a"), b, c
 
 
 def mixture(evidence: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, id_col: str = "evidence_id", source_col: str = "source_platform",
-            language_col: str = "language", topic_col: str = "topic", tokens_col: str = "n_tokens", temper: float = 0.7, rounds: int = 50,
-            close: float = 1e-6, seed: int = 7) -> DataFrame:
+            language_col: str = "language", topic_col: str = "topic", tokens_col: str = "n_tokens", share: float = 0.3, temper: float = 0.7, rounds: int = 50,
+            close: float = 1e-4, seed: int = 7) -> DataFrame:
     """The input with weight, probability and sampled, so that the sampled tokens follow three target margins.
 
     targets names wanted shares by column ({column: {value: share}}); values
     without one keep their share of tokens raised to `temper`, which lifts
     small platforms and flattens a large one. Token sums per (platform,
-    language, topic) are raked to the margins; weight is the factor of a
-    cell's tokens, probability the weight over the largest weight, so nothing
-    needs repeating and the expected margins are exact. A record is sampled
-    if a hash of its id falls below its probability: the same records on
-    every run, for any partitioning.
-
-    Margins that no weights can meet (cells without tokens) are met as
-    closely as `rounds` allow. Nulls of the three columns count as ''. Null
-    or zero tokens: a record adds nothing and takes the weight of its cell;
-    a platform, language or topic without any token has weight 0. Rows with
-    one id fall together. Extra columns pass through.
+    language, topic) are raked until the expected sample, `share` of all
+    tokens, meets the margins within `close` or `rounds` have passed. A
+    record's weight is the product of its three factors, its probability the
+    weight, at most 1: a value with fewer tokens than its target asks for is
+    taken whole. A record is sampled if a hash of its id falls below its
+    probability: the same records on every run, for any partitioning.
+
+    Nulls of the three columns count as ''. Null or zero tokens: a record
+    adds nothing and takes the weight of its cell; a platform, language or
+    topic without any token has weight 0. Rows with one id fall together.
+    Extra columns pass through; weight, probability and sampled are replaced.
     """
     targets = targets or {}
     key = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (source_col, language_col, topic_col)}
     n = F.coalesce(F.col(tokens_col), F.lit(0)).cast("double")
     counted = cut(evidence.groupBy(key[source_col].alias("platform"), key[language_col].alias("l"), key[topic_col].alias("t")).agg(F.sum(n).alias("n")).where("n > 0"))
     of = lambda c: {r[0]: r[1] for r in counted.groupBy(c).agg(F.sum("n")).collect()}
-    language, topic = _target(targets.get(language_col), of("l"), temper), _target(targets.get(topic_col), of("t"), temper)
-    platforms = counted.groupBy("platform").agg(F.sum("n").alias("n"), F.collect_list(F.struct("l", "t", "n")).alias("cells"))  # languages x topics at most
-    total = sum(of("l").values()) or 1.0
+    by_language, by_topic = of("l"), of("t")
+    total = sum(by_language.values()) or 1.0
+    language, topic = _target(targets.get(language_col), by_language, temper), _target(targets.get(topic_col), by_topic, temper)
+    # tokens as shares of the wanted sample, so that every margin sums to 1
+    platforms = counted.groupBy("platform").agg(F.sum("n").alias("n"), F.collect_list(F.struct("l", "t", (F.col("n") / F.lit(total * share)).alias("n"))).alias("cells"))
     wanted = _lookup(dict(targets.get(source_col, {})), F.col("platform"))
     raw = cut(platforms.withColumn("raw", F.coalesce(wanted, F.pow(F.col("n") / total, F.lit(temper)))))
     scale = raw.agg(F.sum(F.col("raw").cast("decimal(30,14)"))).first()[0] or 1
     cells = cut(raw.select("platform", F.array_sort("cells").alias("cells"), (F.col("raw") / F.lit(float(scale))).alias("want")))
     fitted, b, c = _factors(cells, language, topic, rounds, close)
-    fitted = cut(fitted)
-    each = fitted.select("a", F.explode("cells").alias("x")).select((F.col("a") * F.col("x.w") / F.col("x.n")).alias("weight"))
-    top = each.agg(F.max("weight")).first()[0] or 1.0
     factors, _ = sized(fitted.select(F.col("platform").alias("__platform"), F.col("a").alias("__a")))
     u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), 11) / F.lit(float(1 << 53))
-    weight = F.coalesce(F.col("__a") * _lookup(b, key[language_col]) * _lookup(c, key[topic_col]), F.lit(0.0)) / F.lit(top)
+    weight = F.coalesce(F.col("__a") * _lookup(b, key[language_col]) * _lookup(c, key[topic_col]), F.lit(0.0))
     out = evidence.withColumn("__platform", key[source_col]).join(factors, "__platform", "left")
-    return out.withColumns({"weight": weight * F.lit(top) * F.lit(total), "probability": F.least(F.lit(1.0), weight)}) \
+    return out.withColumn("weight", weight).withColumn("probability", F.least(F.lit(1.0), F.col("weight"))) \
         .withColumn("sampled", u < F.col("probability")).drop("__platform", "__a")
