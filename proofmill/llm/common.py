@@ -88,3 +88,23 @@ def sized(df: DataFrame, most_rows: int = 200_000) -> tuple[DataFrame, bool]:
     written = cut(df)
     small = written.limit(most_rows + 1).count() <= most_rows
     return (F.broadcast(written), True) if small else (written, False)
+
+
+FILTER_BITS = 1 << 26
+
+
+def bit_filter(keys: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """A bitmap of the remainders of k1: (bucket, bitmap), at most `bits` / 8 bytes in all, 8 MB as it is."""
+    place = F.pmod("k1", F.lit(bits))
+    return cut(keys.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bitmap")))
+
+
+def may_hold(rows: DataFrame, bitmap: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """`rows` with __may: whether k1 may be among the filter's keys. True for every key in it, so a join behind the filter loses nothing."""
+    place = F.pmod("k1", F.lit(bits))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("bitmap", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    known = F.broadcast(bitmap.withColumnRenamed("bucket", "__bucket"))
+    found = rows.withColumn("__bucket", F.bitmap_bucket_number(place)).join(known, "__bucket", "left")
+    hit = F.coalesce(F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1, F.lit(False))
+    return found.withColumn("__may", hit).drop("__bucket", "bitmap")

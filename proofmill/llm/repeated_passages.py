@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from .bytehash import Rolling, batches, mix
-from .common import keyed
+from .common import bit_filter, keyed, may_hold, whole_text
 
-TRIGGER = 24
+TRIGGER, BLOCK = 24, 25
 
 
 def _lowest(keys: np.ndarray, width: int) -> np.ndarray:
@@ -69,23 +69,43 @@ def _parsed(width: int):
             for first, texts in batches(pdf["text"].tolist()):
                 if (found := phrases(texts, width)) is not None:
                     doc, a, b, t, core, content = found
-                    yield pd.DataFrame({"k1": k1[first + doc], "k2": k2[first + doc], "a": a.astype(np.int32), "b": b.astype(np.int32), "t": t.astype(np.int32),
-                                        "core": core, "content": content})
+                    yield pd.DataFrame({"k1": k1[first + doc], "k2": k2[first + doc], "place": a << 24 | (b - a) << 12 | (t - a), "core": core, "content": content})
     return run
 
 
-def _windows(width: int):
+def _opened(width: int, block: int):
+    """Hashes of what all windows of a block of `block` starts have in common, for every block of every opened phrase."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            for _, row in pdf.iterrows():
-                if not len(row["a"]):
-                    continue
-                rolling = Rolling(np.frombuffer(row["text"].encode(), np.uint8))
-                a, b = np.asarray(row["a"], np.int64), np.asarray(row["b"], np.int64)
-                n = b - a + 1
-                at = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                yield pd.DataFrame({"k1": row["k1"], "k2": row["k2"], "single": np.repeat(np.asarray(row["single"], bool), n), "at": at.astype(np.int32),
-                                    "core": np.repeat(np.asarray(row["core"], np.int64), n), "hash": rolling.slices(at, at + width).view(np.int64)})
+            for row in pdf.itertuples():
+                rolling = Rolling(np.frombuffer(row.text.encode(), np.uint8))
+                place = np.asarray(row.place, np.int64)
+                a, last, t = place >> 24, place >> 12 & 0xFFF, place & 0xFFF
+                lo, hi = (t - last) // block, t // block  # blocks of t - start
+                n = hi - lo + 1
+                which = np.repeat(np.arange(len(a)), n)
+                q = lo[which] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                at = a[which] + t[which]
+                yield pd.DataFrame({"k1": row.k1, "k2": row.k2, "place": place[which], "core": np.asarray(row.core, np.int64)[which], "single": np.asarray(row.single, bool)[which],
+                                    "block": q.astype(np.int32), "hash": rolling.slices(at - q * block, at + width - (q + 1) * block).view(np.int64)})
+    return run
+
+
+def _windows(width: int, block: int):
+    """Hashes of all windows of the blocks that are still in question."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for row in pdf.itertuples():
+                rolling = Rolling(np.frombuffer(row.text.encode(), np.uint8))
+                place, q = np.asarray(row.place, np.int64), np.asarray(row.block, np.int64)
+                a, last, t = place >> 24, place >> 12 & 0xFFF, place & 0xFFF
+                lo, hi = np.maximum(t - last, q * block), np.minimum(t, (q + 1) * block - 1)
+                n = hi - lo + 1
+                which = np.repeat(np.arange(len(a)), n)
+                back = lo[which] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                at = a[which] + t[which] - back
+                yield pd.DataFrame({"k1": row.k1, "k2": row.k2, "single": np.asarray(row.single, bool)[which], "at": at,
+                                    "core": np.asarray(row.core, np.int64)[which], "hash": rolling.slices(at, at + width).view(np.int64)})
     return run
 
 
@@ -117,9 +137,11 @@ def repeated_passages(evidence: DataFrame, id_col: str = "evidence_id", text_col
     same trigger, so only dictionary phrases with the same core can share
     one. A phrase that occurs twice is repeated throughout, whatever its
     number of copies. Only phrases that occur once but share their core with
-    another are opened: one window hash per start, counted over the
-    dictionary. What a full suffix order of dictionary and parse would tell
-    beyond this (the order of unequal strings) is not needed and not built.
+    another are opened: first by blocks of starts, then one window hash per
+    start, counted over the dictionary. What a full suffix order of
+    dictionary and parse would tell beyond this (the order of unequal
+    strings) is not needed and not built. Texts are shuffled only where a
+    bitmap of bounded size says that they may have such a phrase.
 
     Returns one row per input row: `id_col`, n_bytes, removed
     (array of start, end in bytes, maximal runs), kept_bytes (binary, as a
@@ -131,23 +153,37 @@ def repeated_passages(evidence: DataFrame, id_col: str = "evidence_id", text_col
     docs = keyed(evidence.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text")
     id_type = docs.schema["id"].dataType
     long = docs.where(F.octet_length("text") >= width).select("k1", "k2", "text")
-    parse = cut(long.mapInPandas(_parsed(width), "k1 long, k2 long, a int, b int, t int, core long, content long"))
-    entries = parse.groupBy("core", "content").agg(F.count(F.lit(1)).alias("copies"))
-    cores = entries.groupBy("core").agg(F.sum("copies").alias("total"), F.count(F.lit(1)).alias("kinds")).where("total > 1")
-    dictionary = entries.join(cores, "core").select("core", "content", "copies", "kinds")
-    shared = cut(parse.join(dictionary, ["core", "content"]))  # phrases that share their core, with copies and kinds
-    whole = shared.where("copies > 1").select("k1", "k2", F.col("a").alias("from"), (F.col("b") + width).alias("to")).distinct()
-
-    # one place of every dictionary phrase whose core has several phrases
-    one = shared.where("kinds > 1").groupBy("core", "content", "copies").agg(F.min(F.struct("k1", "k2", "a", "b")).alias("x")) \
-        .select("x.*", "core", (F.col("copies") == 1).alias("single"))
-    opened = one.groupBy("k1", "k2").agg(*[F.collect_list(c).alias(c) for c in ("a", "b", "core", "single")])  # bounded by the text's length
-    texts = long.join(opened, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
-    windows = cut(texts.mapInPandas(_windows(width), "k1 long, k2 long, single boolean, at int, core long, hash long"))
+    parse = cut(long.mapInPandas(_parsed(width), "k1 long, k2 long, place long, core long, content long"))
+    # a core that several phrases have, and whether these differ
+    cores = parse.groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("c1"), F.max("content").alias("c2")).where("n > 1") \
+        .select("core", (F.col("c1") != F.col("c2")).alias("differ"))
+    shared = cut(parse.join(cores, "core"))
+    differ = shared.where("differ")
+    dictionary = cut(differ.groupBy("core", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("k1", "k2", "place")).alias("x")))
+    a, last = F.shiftright("place", 24), F.shiftright("place", 12).bitwiseAND(0xFFF)
+    repeated = shared.where("not differ").select("k1", "k2", "place").unionByName(
+        differ.join(dictionary.where("copies > 1").select("core", "content"), ["core", "content"], "left_semi").select("k1", "k2", "place"))
+    whole = repeated.select("k1", "k2", a.alias("from"), (a + last + width).alias("to")).distinct()
+
+    # one place of every dictionary phrase whose core has several phrases: blocks of starts first, then the starts of blocks that agree
+    listed = lambda df, *cols: df.groupBy("k1", "k2").agg(*[F.collect_list(c).alias(c) for c in cols])  # noqa: E731  bounded by the text's length
+    one = dictionary.select("x.*", "core", (F.col("copies") == 1).alias("single"))
+    near = may_hold(long, bit_filter(one)).where("__may").drop("__may")
+    texts = cut(near.join(listed(one, "place", "core", "single"), ["k1", "k2"]).dropDuplicates(["k1", "k2"]))
+    blocks = cut(texts.mapInPandas(_opened(width, BLOCK), "k1 long, k2 long, place long, core long, single boolean, block int, hash long"))
+    alike = blocks.groupBy("core", "block", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core", "block", "hash")
+    open_ = listed(blocks.join(alike, ["core", "block", "hash"], "left_semi"), "place", "core", "single", "block")
+    windows = cut(texts.select("k1", "k2", "text").join(open_, ["k1", "k2"]).mapInPandas(
+        _windows(width, BLOCK), "k1 long, k2 long, single boolean, at long, core long, hash long"))
     twice = windows.groupBy("core", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core", "hash")
-    parts = windows.where("single").join(twice, ["core", "hash"]).select("k1", "k2", F.col("at").alias("from"), (F.col("at") + width).alias("to"))
-
-    gone = whole.unionByName(parts).groupBy("k1", "k2").agg(F.collect_list("from").alias("froms"), F.collect_list("to").alias("tos"))
-    named = docs.withColumn("id", F.col("id").cast("string")).join(gone, ["k1", "k2"], "left").select("id", "text", "froms", "tos")
-    out = named.mapInPandas(_without, "id string, n_bytes long, removed array<struct<start:long,end:long>>, kept_bytes binary")
-    return out.select(F.col("id").cast(id_type).alias(id_col), "n_bytes", "removed", "kept_bytes")
+    parts = windows.where("single").join(twice, ["core", "hash"], "left_semi").select("k1", "k2", F.col("at").alias("from"), (F.col("at") + width).alias("to"))
+
+    spans = cut(whole.unionByName(parts))
+    gone = spans.groupBy("k1", "k2").agg(F.collect_list("from").alias("froms"), F.collect_list("to").alias("tos"))
+    marked = may_hold(docs.withColumn("id", F.col("id").cast("string")), bit_filter(spans))
+    cuts = marked.where("__may").join(gone, ["k1", "k2"], "left").select("id", "text", "froms", "tos")
+    made = cuts.mapInPandas(_without, "id string, n_bytes long, removed array<struct<start:long,end:long>>, kept_bytes binary")
+    text = whole_text(F.col("text"))
+    same = marked.where("not __may").select("id", F.octet_length(text).cast("long").alias("n_bytes"),
+                                            F.array().cast("array<struct<start:bigint,end:bigint>>").alias("removed"), text.cast("binary").alias("kept_bytes"))
+    return made.unionByName(same).select(F.col("id").cast(id_type).alias(id_col), "n_bytes", "removed", "kept_bytes")
