@@ -14,7 +14,7 @@ from ..session import cut
 from .bytehash import _LOWER, batches, word_hashes
 from .common import whole_text
 
-DEPTH = 3
+DEPTH = 4
 CHUNK_BYTES = 16 << 20
 WORD, GRAM = 0, 1
 END = 1  # key of the end token among word hashes
@@ -23,9 +23,10 @@ END = 1  # key of the end token among word hashes
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(codes, counts): for every byte and the end of each text, the byte with the DEPTH bytes before it; 0 stands before and behind a text."""
     buf = _LOWER[np.frombuffer(b"".join(b"\0" * DEPTH + t + b"\0" for t in texts), np.uint8)]
-    code = np.zeros(len(buf) - DEPTH, np.uint32)
+    code = np.zeros(len(buf) - DEPTH, np.int64)
     for k in range(DEPTH + 1):
-        code = (code << np.uint32(8)) | buf[k:len(buf) - DEPTH + k]
+        code <<= 8
+        code |= buf[k:len(buf) - DEPTH + k]
     sizes = np.array([len(t) for t in texts])
     inside = np.ones(len(buf), bool)
     ends = np.cumsum(sizes + DEPTH + 1)
@@ -51,15 +52,16 @@ def _tallied(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in frames:
         for chunk, part in pdf.groupby("chunk", sort=False):
             learn = part["learn"].to_numpy(bool)
-            for first, texts in batches(part["text"].tolist(), 8 << 20):
+            for first, texts in batches(part["text"].tolist(), 2_000_000):
                 words, n_words = word_hashes(texts)
                 codes, n_codes = grams(texts)
                 mine = learn[first:first + len(texts)]
                 ends = np.full(len(texts), END, np.int64)
-                for kind, keys, owner in ((WORD, np.concatenate((words.view(np.int64), ends)), np.concatenate((np.repeat(mine, n_words), mine))),
-                                          (GRAM, codes.astype(np.int64), np.repeat(mine, n_codes))):
-                    key, inverse = np.unique(keys, return_inverse=True)
-                    yield pd.DataFrame({"chunk": chunk, "kind": kind, "key": key, "n": np.bincount(inverse, owner, len(key)).astype(np.int64)})
+                for kind, keys, used in ((WORD, np.concatenate((words.view(np.int64), ends)), np.concatenate((np.repeat(mine, n_words), mine))),
+                                         (GRAM, codes, np.repeat(mine, n_codes))):
+                    key, n = np.unique(keys[used], return_counts=True)
+                    other = np.unique(keys[~used])
+                    yield pd.DataFrame({"chunk": chunk, "kind": kind, "key": np.concatenate((key, other)), "n": np.concatenate((n, np.zeros(len(other), np.int64)))})
 
 
 def log_gamma(x: Column) -> Column:
@@ -117,6 +119,7 @@ def gram_scores(keys: DataFrame, levels: list[DataFrame]) -> DataFrame:
     rows = _bits(keys.select("key"))
     for depth, nodes in enumerate(levels):
         named = nodes.select(F.col("c").alias(f"c{depth}"), "u", F.col("share").alias(f"s{depth}"), F.col("p").alias(f"p{depth}"))
+        named = F.broadcast(named) if depth < 2 else named  # at most 255 nodes in each of 256 contexts
         rows = rows.withColumn(f"c{depth}", _context(depth)).join(named, [f"c{depth}", "u"], "left")
     p = F.lit(0.5)
     for depth in range(DEPTH, -1, -1):
@@ -129,20 +132,20 @@ def gram_scores(keys: DataFrame, levels: list[DataFrame]) -> DataFrame:
 def _scored(total: int, distinct: int):
     below = total + 0.1 * (distinct + 1)
 
-    def look(table: pd.DataFrame, keys: np.ndarray) -> np.ndarray:
-        have = table["key"].to_numpy()
-        order = np.argsort(have)
-        return table["value"].to_numpy()[order][np.searchsorted(have[order], keys)]
+    def look(table: pd.DataFrame, kind: int):
+        mine = table[table["kind"] == kind].sort_values("key")
+        have, values = mine["key"].to_numpy(), mine["value"].to_numpy()
+        return lambda keys: values[np.searchsorted(have, keys)]
 
     def run(part: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-        word, gram = table[table["kind"] == WORD], table[table["kind"] == GRAM]
+        word, gram = look(table, WORD), look(table, GRAM)
         ids, out = part["id"].to_numpy(), []
         for first, texts in batches(part["text"].tolist()):
             words, n_words = word_hashes(texts)
             owner = np.repeat(np.arange(len(texts)), n_words)
-            c, end = look(word, words.view(np.int64)), look(word, np.array([END]))[0]
+            c, end = word(words.view(np.int64)), word(np.array([END]))[0]
             codes, n_codes = grams(texts)
-            score = np.add.reduceat(look(gram, codes.astype(np.int64)), np.cumsum(n_codes) - n_codes)
+            score = np.add.reduceat(gram(codes), np.cumsum(n_codes) - n_codes)
             base = np.bincount(owner, np.log10((c + 0.1) / below), len(texts)) + np.log10((end + 0.1) / below)
             known = np.bincount(owner, c > 0, len(texts)) + (end > 0)
             out.append(pd.DataFrame({"id": ids[first:first + len(texts)], "held_out": ~part["learn"].to_numpy(bool)[first:first + len(texts)], "n_tokens": n_words + 1,
@@ -155,7 +158,7 @@ def context_tree_scores(evidence: DataFrame, id_col: str = "evidence_id", text_c
     """Context-tree-weighting score of every record, learnt from the records whose crc32(id as text) mod `folds` is not 0.
 
     Texts (A-Z lowered) are bytes and one end. A byte is eight binary
-    decisions; each has a tree of contexts of 0 to 3 bytes whose nodes hold
+    decisions; each has a tree of contexts of 0 to 4 bytes whose nodes hold
     Krichevsky-Trofimov counts, and the prediction mixes all depths by their
     posterior weights (no tuning). Counts are gathered over all training
     texts as distinct keys per chunk of text, added up by key; scores return
