@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
 
 import numpy as np
 
@@ -24,12 +23,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 BYTE_VALUES = mix(np.arange(1, 257, dtype=U))
 
 
-@lru_cache(maxsize=2)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    n = 1 << bits
-    up, down = np.full(n, _BASE, U), np.full(n, _INVERSE, U)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, U)
+    out[0] = 1
+    return np.cumprod(out)
 
 
 class Rolling:
@@ -37,9 +34,9 @@ class Rolling:
 
     def __init__(self, buf: np.ndarray):
         n = len(buf)
-        up, self.down = _powers(max(21, int(n + 1).bit_length()))
+        self.down = _powers(_INVERSE, n + 1)
         self.sums = np.zeros(n + 1, U)
-        np.cumsum(BYTE_VALUES[buf] * up[:n], out=self.sums[1:])
+        np.cumsum(BYTE_VALUES[buf] * _powers(_BASE, n + 1)[:n], out=self.sums[1:])
 
     def slices(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(U))
