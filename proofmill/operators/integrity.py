@@ -12,6 +12,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joins import null_safe_join
 from ..functions.numeric import row_count
 from ..functions.text import GENESIS_HASH, canonical_json, is_sha256
 from ..session import cut, fresh_dir
@@ -86,7 +87,7 @@ def build_chain(df: DataFrame, order: Sequence[str], segment: int = CHAIN_SEGMEN
     for i in range(-(-longest // segment)):
         part = stored.where(F.col("part") == i)
         if heads is not None:
-            part = part.drop("start").join(heads, "case_id")
+            part = null_safe_join(part.drop("start"), heads, ["case_id"])
         parts.append(cut(linked(part)))
         heads = parts[-1].where(F.col("sequence_number") == (i + 1) * segment).select("case_id", F.col("event_hash").alias("start"))
     return reduce(DataFrame.unionByName, parts)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joins import null_safe_join
 from ..functions.numeric import row_count
 from .skew import Sequenced, quantiles
 
@@ -75,7 +76,7 @@ def scorecard(results: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.min("runtime").alias("runtime_min"), F.max("runtime").alias("runtime_max"), F.avg("iou").alias("mean_iou"))
     q = quantiles(results, keys, "runtime", {"runtime_p50": 0.5, "runtime_p95": 0.95})
     tried = F.col("applied") + F.col("failed")
-    return base.join(q, list(keys)).withColumn("applicability_rate", F.try_divide(tried, F.col("total"))) \
+    return null_safe_join(base, q, list(keys), "left").withColumn("applicability_rate", F.try_divide(tried, F.col("total"))) \
         .withColumn("success_rate", F.try_divide(F.col("applied"), tried))
 
 

@@ -2,9 +2,11 @@
 
 A plain `Window.partitionBy(key)` puts every row of a key into one task; when
 one key holds a third of the corpus that task never ends. The operators here
-cut each key's order into buckets, work inside (key, bucket), and carry the
-bucket edges with a second, tiny window over one summary row per (key, bucket).
-Tables small enough for one bucket get the plain plan.
+range-partition keys and order together, so a hot key spreads over many
+partitions, work inside (key, partition), and carry the edges with a second,
+tiny window over one summary row per (key, partition). Tables small enough
+for one partition get the plain plan; both plans give equal rows, null keys
+included.
 """
 
 from __future__ import annotations
@@ -12,69 +14,34 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from ..functions.joins import null_safe_join
 from ..session import cut
 
 ROWS_PER_BUCKET = 4_000_000
-MAX_BUCKETS = 10_000
-
-
-def numeric(col: Column, dtype: T.DataType) -> Column:
-    """The order column as a double that keeps the order."""
-    if isinstance(dtype, (T.TimestampNTZType, T.TimestampType)):
-        return F.unix_micros(col.cast("timestamp")).cast("double")
-    if isinstance(dtype, T.DateType):
-        return F.unix_date(col).cast("double")
-    if isinstance(dtype, T.StringType):  # first six bytes: strings compare by bytes
-        return F.conv(F.rpad(F.substring(F.hex(col), 1, 12), 12, "0"), 16, 10).cast("double")
-    return col.cast("double")
-
-
-def split_points(df: DataFrame, column: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> list[float]:
-    """Inner cut points of `column` so that a bucket holds about `rows_per_bucket` rows.
-
-    One mergeable sketch over one pruned column; the answer has at most
-    MAX_BUCKETS numbers whatever the table size.
-    """
-    value = numeric(F.col(column), df.schema[column].dataType)
-    rows = df.count()
-    buckets = min(MAX_BUCKETS, math.ceil(rows / rows_per_bucket)) if rows else 1
-    if buckets <= 1:
-        return []
-    probs = [i / buckets for i in range(1, buckets)]
-    found = df.select(F.percentile_approx(value, probs, 20 * buckets)).first()[0] or []
-    return sorted({float(x) for x in found if x is not None and math.isfinite(x)})
-
-
-def with_bucket(df: DataFrame, column: str, splits: Sequence[float], name: str = "__b") -> DataFrame:
-    """Add the bucket number of `column`; equal values always share a bucket."""
-    if not splits:
-        return df.withColumn(name, F.lit(0.0))
-    edges = [-math.inf, *splits, math.inf]
-    raw = df.withColumn("__v", numeric(F.col(column), df.schema[column].dataType))
-    out = Bucketizer(splits=edges, inputCol="__v", outputCol=name, handleInvalid="keep").transform(raw)
-    # "keep" files NULL after the last bucket; NULL sorts first here.
-    return out.withColumn(name, F.when(F.col("__v").isNull(), -1.0).otherwise(F.col(name))).drop("__v")
 
 
 class Sequenced:
-    """Rows of every key in the total order `order`, cut into buckets.
+    """Rows of every key in the total order `order`, cut into buckets of about `rows_per_bucket` rows.
 
-    The first order column should spread (a time, a number); ties inside it are
-    broken by the later ones and stay in one bucket. Keys must not be null.
+    Buckets are range partitions over the keys and the whole order, whatever
+    its type and however long a common prefix its values share; ties of the
+    whole order share a bucket. `sizing` is a cheap table with as many rows.
     """
 
     def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str],
                  rows_per_bucket: int = ROWS_PER_BUCKET, sizing: DataFrame | None = None) -> None:
         self.keys, self.order = list(keys), list(order)
-        splits = split_points(df if sizing is None else sizing, self.order[0], rows_per_bucket)
-        self.single = not splits
-        self.df = with_bucket(df, self.order[0], splits)
+        buckets = math.ceil((df if sizing is None else sizing).count() / rows_per_bucket)
+        self.single = buckets <= 1
+        if self.single:
+            self.df = df.withColumn("__b", F.lit(0))
+        else:
+            ranged = df.repartitionByRange(buckets, *[F.col(c) for c in (*self.keys, *self.order)])
+            self.df = cut(ranged.withColumn("__b", F.spark_partition_id()))
         self.local = W.partitionBy(*self.keys, "__b").orderBy(*self.order)
         self.edges = W.partitionBy(*self.keys).orderBy("__b")
 
@@ -82,7 +49,7 @@ class Sequenced:
         """Join one summary row per (key, bucket) back; `pick` reads the carried column."""
         summary = self.df.groupBy(*self.keys, "__b").agg(*[c.alias(f"__e_{n}") for n, c in carried.items()])
         summary = summary.select(*self.keys, "__b", *[pick[n].alias(f"__c_{n}") for n in carried])
-        return out.join(summary, [*self.keys, "__b"], "left")
+        return null_safe_join(out, summary, [*self.keys, "__b"], "left")
 
     def shift(self, columns: Mapping[str, str], step: int = -1) -> DataFrame:
         """Add each `new -> old` column of the previous (-1) or next (+1) row of the key."""
@@ -172,19 +139,17 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str
     """
     keys = list(keys)
     rows = df.where(F.col(value).isNotNull()).withColumn(value, F.col(value).cast("double"))
-    base = df if sizing is None else sizing
-    splits = split_points(base.where(F.col(value).isNotNull()), value, rows_per_bucket)
-    if not splits:
-        return rows.groupBy(*keys).agg(*[F.percentile(value, float(p)).alias(n) for n, p in probs.items()])
+    base = (df if sizing is None else sizing).where(F.col(value).isNotNull())
+    if base.count() <= rows_per_bucket:
+        found = rows.groupBy(*keys).agg(F.percentile(value, F.array(*[F.lit(float(p)) for p in probs.values()])).alias("__q"))
+        return found.select(*keys, *[F.col("__q")[i].alias(n) for i, n in enumerate(probs)])
     counted = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
-    if keys:
-        ranked = Sequenced(counted, keys, [value], rows_per_bucket, sizing=base)
-    else:
+    if not keys:
         counted, keys = counted.withColumn("__all", F.lit(0)), ["__all"]
-        ranked = Sequenced(counted, keys, [value], rows_per_bucket, sizing=base)
+    ranked = Sequenced(counted, keys, [value], rows_per_bucket, sizing=base)
     covered = ranked.running_sum({"__hi": "__n"}).withColumn("__lo", F.col("__hi") - F.col("__n"))
     totals = counted.groupBy(*keys).agg(F.sum("__n").alias("__t"))
-    placed = covered.join(totals, keys)
+    placed = null_safe_join(covered, totals, keys)
     picks = []
     for name, p in probs.items():
         spot = (F.col("__t") - 1) * F.lit(float(p))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.joins import null_safe_join
 from ..functions.numeric import angle_gap, clip, wrap_degrees
 from .skew import ROWS_PER_BUCKET, quantiles
 
@@ -34,15 +35,15 @@ def describe_by(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[s
         return df.groupBy(*keys).agg(*moments, *sketch)
     base = df.groupBy(*keys).agg(*moments)
     exact = quantiles(df, keys, value, probs, rows_per_bucket)
-    return base.join(exact, list(keys), "left") if keys else base.join(exact)
+    return null_safe_join(base, exact, list(keys), "left")
 
 
 def robust_by(df: DataFrame, keys: Sequence[str], value: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """median, mad and the 1.4826-scaled mad per key (two rank selections, no per-key buffering)."""
     centre = quantiles(df, keys, value, {"median": 0.5}, rows_per_bucket)
-    dev = df.join(centre, list(keys)).withColumn("__d", F.abs(F.col(value) - F.col("median"))).select(*keys, "__d")
+    dev = null_safe_join(df, centre, list(keys)).withColumn("__d", F.abs(F.col(value) - F.col("median"))).select(*keys, "__d")
     mad = quantiles(dev, keys, "__d", {"mad": 0.5}, rows_per_bucket)
-    return centre.join(mad, list(keys)).withColumn("scale", 1.4826 * F.col("mad"))
+    return null_safe_join(centre, mad, list(keys)).withColumn("scale", 1.4826 * F.col("mad"))
 
 
 def bin_index(value: Column, low: Column | float, high: Column | float, bins: int) -> Column:
@@ -69,7 +70,7 @@ def with_shares(counted: DataFrame, keys: Sequence[str]) -> DataFrame:
 def trimmed_histogram(df: DataFrame, keys: Sequence[str], value: str, bins: int = 128, margin: float = 1.0) -> DataFrame:
     """Histogram over [p5 - margin, p95 + margin] of each key."""
     edges = quantiles(df, keys, value, {"p5": 0.05, "p95": 0.95})
-    placed = df.join(edges, list(keys)).withColumn(
+    placed = null_safe_join(df, edges, list(keys)).withColumn(
         "bin", bin_index(F.col(value), F.col("p5") - margin, F.col("p95") + margin, bins)).where("bin is not null")
     return with_shares(placed.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n")), keys)
 
@@ -118,7 +119,7 @@ def error_summary(df: DataFrame, keys: Sequence[str], a: str, b: str, gain: floa
     d = df.withColumn("diff", F.abs(F.col(a) - F.col(b)))
     base = describe_by(d, keys, "diff", {"median": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99})
     sat = d.groupBy(*keys).agg((F.avg((F.col("diff") * gain >= 255).cast("double")) * 100.0).alias("saturation_pct"))
-    return base.join(sat, list(keys))
+    return null_safe_join(base, sat, list(keys))
 
 
 def scaled(df: DataFrame, keys: Sequence[str], value: str, gain: float) -> DataFrame:
@@ -126,7 +127,7 @@ def scaled(df: DataFrame, keys: Sequence[str], value: str, gain: float) -> DataF
     edge = df.groupBy(*keys).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
     v = F.col(value)
     spread = F.col("__hi") - F.col("__lo")
-    return df.join(edge, list(keys)).withColumn(
+    return null_safe_join(df, edge, list(keys)).withColumn(
         "minmax", F.when(spread > 0, (v - F.col("__lo")) / spread * 255.0).otherwise(0.0)) \
         .withColumn("max_scaled", F.when(F.col("__hi") > 0, v / F.col("__hi") * 255.0).otherwise(0.0)) \
         .withColumn("gained", clip(v * gain, 0.0, 255.0)).drop("__lo", "__hi")
@@ -152,7 +153,7 @@ def circular(df: DataFrame, keys: Sequence[str], angle: str, divergence: float =
     rad = F.radians(angle)
     mean = df.groupBy(*keys).agg(wrap_degrees(F.degrees(F.atan2(F.avg(F.sin(rad)), F.avg(F.cos(rad))))).alias("mean_deg"))
     gap = angle_gap(F.col(angle), F.col("mean_deg"))
-    out = df.join(mean, list(keys)).groupBy(*keys).agg(
+    out = null_safe_join(df, mean, list(keys)).groupBy(*keys).agg(
         F.first("mean_deg").alias("mean_deg"), F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(gap * gap)).alias("spread_deg"),
         F.avg((gap > divergence).cast("double")).alias("divergent_share"))
     share = F.col("divergent_share")

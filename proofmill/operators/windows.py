@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.joins import null_safe_join
 from ..functions.numeric import robust_z
 from ..functions.text import epoch_us
 from ..functions.vectors import each_with, mean
@@ -117,7 +118,7 @@ def curve_minima(curve: DataFrame, keys: Sequence[str], x: str, y: str) -> DataF
     w = W.partitionBy(*keys).orderBy(x)
     marked = curve.withColumn("__min", (F.col(y) < F.lag(y).over(w)) & (F.col(y) < F.lead(y).over(w)))
     flags = marked.groupBy(*keys).agg(F.max(F.coalesce("__min", F.lit(False))).alias("__any"), F.min(F.struct(F.col(y), F.col(x))).alias("__low"))
-    out = marked.join(flags, list(keys))
+    out = null_safe_join(marked, flags, list(keys))
     pick = F.coalesce("__min", F.lit(False)) | (~F.col("__any") & (F.col(x) == F.col(f"__low.{x}")))
     return out.where(pick).select(*keys, x, y, F.col("__any").alias("is_local"))
 
@@ -126,13 +127,13 @@ def z_outliers(df: DataFrame, keys: Sequence[str], v: str, threshold: float) ->
     """Rows at least `threshold` deviations from their key's mean; flat keys have none."""
     stat = df.groupBy(*keys).agg(F.avg(v).alias("__m"), F.stddev_pop(v).alias("__s"))
     z = F.when(F.col("__s") > 1e-9, (F.col(v) - F.col("__m")) / F.col("__s")).otherwise(0.0)
-    return df.join(stat, list(keys)).withColumn("z", z).where(F.abs("z") >= threshold).drop("__m", "__s")
+    return null_safe_join(df, stat, list(keys)).withColumn("z", z).where(F.abs("z") >= threshold).drop("__m", "__s")
 
 
 def robust_outliers(df: DataFrame, keys: Sequence[str], v: str, threshold: float) -> DataFrame:
     """As z_outliers with median and scaled MAD."""
     stat = robust_by(df, keys, v).drop("scale")
-    return df.join(stat, list(keys)).withColumn("z", robust_z(F.col(v), F.col("median"), F.col("mad"))) \
+    return null_safe_join(df, stat, list(keys)).withColumn("z", robust_z(F.col(v), F.col("median"), F.col("mad"))) \
         .where(F.abs("z") >= threshold).drop("median", "mad")
 
 
@@ -141,4 +142,4 @@ def fence_outliers(df: DataFrame, keys: Sequence[str], v: str, below: float = 1.
     q = quantiles(df, keys, v, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
     iqr = F.greatest(F.col("q75") - F.col("q25"), F.lit(floor))
     side = F.when(F.col(v) < F.col("q50") - below * iqr, "LOW").when(F.col(v) > F.col("q50") + above * iqr, "HIGH")
-    return df.join(q, list(keys)).withColumn("side", side).where("side is not null").drop("q25", "q50", "q75")
+    return null_safe_join(df, q, list(keys)).withColumn("side", side).where("side is not null").drop("q25", "q50", "q75")

@@ -46,3 +46,25 @@ def test_global_rank(rows):
     got = indexed(global_rank(rows[1], ["t", "i"], "r"), "r")
     want = rows[0].sort_values(["t", "i"]).reset_index(drop=True).reset_index().set_index("i")["index"].sort_index()
     assert (got == want).all()
+
+
+@pytest.fixture(scope="module")
+def null_rows(spark):
+    """A null key, a hot key, and order values that share a long prefix."""
+    rng = np.random.default_rng(3)
+    keys = [None if x < 0.2 else "hot" if x < 0.8 else f"k{int(x * 100) % 5}" for x in rng.random(500)]
+    rows = [(k, f"EVIDENCE_STORAGE_PATH_{int(t):06d}", i, float(v)) for i, (k, t, v) in enumerate(zip(keys, rng.integers(0, 200, 500), rng.integers(0, 40, 500)))]
+    return spark.createDataFrame(rows, "k string, name string, i long, v double")
+
+
+def test_plans_agree_on_null_keys(null_rows):
+    def answers(size):
+        seq = Sequenced(null_rows, ["k"], ["name", "i"], rows_per_bucket=size)
+        out = seq.shift({"p": "v"}), seq.ordinal("o"), seq.running_sum({"s": "v"}), seq.fill_next({"f": "v"}), quantiles(null_rows, ["k"], "v", {"a": 0.25, "b": 0.5}, size)
+        return [sorted(map(tuple, df.collect()), key=str) for df in out]
+    assert answers(20) == answers(1_000_000)
+
+
+def test_many_buckets_for_one_prefix(null_rows):
+    seq = Sequenced(null_rows, ["k"], ["name", "i"], rows_per_bucket=20)
+    assert seq.df.groupBy("__b").count().agg({"count": "max"}).first()[0] < 120
