@@ -18,8 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.joins import null_safe_join
 from ..functions.vectors import each_with
 from ..session import cut
+from .skew import quantiles
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need no copy of this package
 
@@ -199,10 +201,18 @@ def phase_profile(df: DataFrame, item: str, x: str, y: str, v: str, period: int
 
 
 def _tiles(df: DataFrame, item: str, x: str, y: str, v: str, size: int) -> DataFrame:
-    """Full size x size tiles as row-major arrays."""
-    t = df.groupBy(item, F.floor(F.col(y) / size).alias("by"), F.floor(F.col(x) / size).alias("bx")).agg(
-        F.array_sort(F.collect_list(F.struct((F.col(y) % size * size + F.col(x) % size).alias("i"), F.col(v).cast("double").alias("v")))).alias("c"))
-    return t.where(F.size("c") == size * size).select(item, "by", "bx", F.col("c.v").alias("tile"))
+    """size x size tiles as row-major arrays over the whole grid; beyond the right and lower border the edge value repeats."""
+    last = df.groupBy(item).agg(F.max(x).alias("__x"), F.max(y).alias("__y"))
+    cells = null_safe_join(df.select(item, F.col(x).alias("__cx"), F.col(y).alias("__cy"), F.col(v).cast("double").alias("__v")), last, [item])
+
+    def reach(at: str, end: str) -> Column:
+        """How far a cell's value reaches: its own place, or to the end of its tile where it is the last one."""
+        return F.when(F.col(at) == F.col(end), F.col(at) - F.col(at) % size + size - 1).otherwise(F.col(at))
+
+    spread = cells.withColumn("__px", F.explode(F.sequence("__cx", reach("__cx", "__x")))).withColumn("__py", F.explode(F.sequence("__cy", reach("__cy", "__y"))))
+    return spread.groupBy(item, F.floor(F.col("__py") / size).alias("by"), F.floor(F.col("__px") / size).alias("bx")).agg(
+        F.array_sort(F.collect_list(F.struct((F.col("__py") % size * size + F.col("__px") % size).alias("i"), F.col("__v").alias("v")))).alias("c")) \
+        .select(item, "by", "bx", F.col("c.v").alias("tile"))  # size * size values
 
 
 def cosine_basis(n: int = 8) -> np.ndarray:
@@ -213,7 +223,7 @@ def cosine_basis(n: int = 8) -> np.ndarray:
 
 
 def block_cosine(df: DataFrame, item: str, x: str, y: str, v: str, size: int = 8, shift: float = 128.0) -> DataFrame:
-    """Orthonormal cosine transform of every full block: (item, by, bx, coef array, row-major)."""
+    """Orthonormal cosine transform of every block, border blocks edge-padded: (item, by, bx, coef array, row-major)."""
     b = cosine_basis(size)
     both = np.kron(b, b)
 
@@ -236,13 +246,16 @@ def cosine_summary(coefs: DataFrame, item: str, size: int = 8) -> DataFrame:
     high = (u + w) >= 9
     flat = coefs.select(item, F.posexplode("coef").alias("pos", "c"))
     ac = F.when(F.col("pos") > 0, F.col("c"))
+    dc = F.when(F.col("pos") == 0, F.col("c"))
     mag = F.abs(F.col("c"))
-    return flat.groupBy(item).agg(
-        F.count_if(F.col("pos") == 0).alias("blocks"), F.avg(F.when(F.col("pos") == 0, F.col("c"))).alias("dc_mean"),
-        F.stddev_pop(F.when(F.col("pos") == 0, F.col("c"))).alias("dc_std"), F.avg(ac).alias("ac_mean"), F.stddev_pop(ac).alias("ac_std"),
+    moments = flat.groupBy(item).agg(
+        F.count_if(F.col("pos") == 0).alias("blocks"), F.avg(dc).alias("dc_mean"), F.stddev_pop(dc).alias("dc_std"), F.min(dc).alias("dc_min"), F.max(dc).alias("dc_max"),
+        F.avg(ac).alias("ac_mean"), F.stddev_pop(ac).alias("ac_std"),
         F.avg(F.abs(ac)).alias("ac_mean_abs"), F.avg((F.abs(ac) < 0.1).cast("double")).alias("zero_share"),
         F.avg(F.when(low, mag)).alias("low_energy"), F.avg(F.when(~low & ~high & (F.col("pos") > 0), mag)).alias("mid_energy"),
         F.avg(F.when(high, mag)).alias("high_energy"))
+    middle = quantiles(coefs.select(item, F.col("coef")[0].alias("__dc")), [item], "__dc", {"dc_median": 0.5})
+    return null_safe_join(moments, middle, [item], "left")
 
 
 def periodogram(df: DataFrame, keys: Sequence[str], t: str, v: str, freqs: Sequence[float]) -> DataFrame:
@@ -262,41 +275,68 @@ def spectral_peak(power: DataFrame, keys: Sequence[str], low: float, high: float
     return p.withColumn("strength", F.col("peak_power") / (F.col("median_power") + 1e-7)).withColumn("period", 1.0 / F.col("peak_freq"))
 
 
-def radial_energy(df: DataFrame, item: str, x: str, y: str, v: str, size: int = 16) -> DataFrame:
-    """Per tile: energy shares of three radial bands, spectral entropy, and prominent spectrum cells.
+def spectrum(df: DataFrame, item: str, x: str, y: str, v: str) -> DataFrame:
+    """Centred 2-D Fourier magnitude of every whole grid: (item, v, u, height, width, mag).
 
-    `peaks` lists (v, u, prominence in sigmas) of 5x5 local maxima at mean + 3 sigma of the log magnitude.
+    A row pass, then a column pass; a task holds grid lines, never a grid.
+    Positions must be dense. Nothing is subtracted first, so the centre holds the sum.
     """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = size / 2.0
-        yy, xx = np.mgrid[0:size, 0:size]
-        radius = np.hypot(xx - c, yy - c) / np.hypot(c, c)
-        for pdf in batches:
-            rows = []
-            for tile in pdf["tile"]:
-                g = np.array(tile).reshape(size, size)
-                spec = np.fft.fftshift(np.fft.fft2(g - g.mean()))
-                power = np.abs(spec) ** 2
-                total = power.sum() + 1e-12
-                p = power / total
-                p = p[p > 0]
-                log_mag = np.log1p(np.abs(spec))
-                keep = radius >= 0.03
-                level, sd = log_mag[keep].mean(), log_mag[keep].std()
-                pad = np.pad(np.where(keep, log_mag, -np.inf), 2, constant_values=-np.inf)
-                near = np.max([pad[i:i + size, j:j + size] for i in range(5) for j in range(5)], axis=0)
-                at = np.argwhere(keep & (log_mag >= level + 3.0 * sd) & (log_mag == near))
-                rows.append((power[radius <= 0.15].sum() / total, power[(radius > 0.15) & (radius <= 0.5)].sum() / total, power[radius > 0.5].sum() / total,
-                             float(-(p * np.log2(p)).sum()),
-                             [{"v": int(a), "u": int(b), "prominence": float((log_mag[a, b] - level) / (sd + 1e-6))} for a, b in at]))
-            if rows:
-                low, mid, high, ent, peaks = zip(*rows)
-                yield pdf.drop(columns=["tile"]).assign(low=low, mid=mid, high=high, entropy=ent, peaks=list(peaks))
-
-    tiles = _tiles(df, item, x, y, v, size)
-    kind = tiles.schema[item].dataType.simpleString()
-    return tiles.mapInPandas(run, f"{item} {kind}, by long, bx long, low double, mid double, high double, entropy double, "
-                                  "peaks array<struct<v:int, u:int, prominence:double>>")
+    def lines(across: str, along: str):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for row in pdf.itertuples(index=False):
+                    values = np.array([complex(c["re"], c["im"]) for c in row.line])
+                    f = np.fft.fft(values)
+                    yield pd.DataFrame({"item": row.item, across: getattr(row, across), along: np.arange(len(f)), "re": f.real, "im": f.imag})
+        return run
+
+    kind = df.schema[item].dataType.simpleString()
+    cell = lambda at, re, im: F.array_sort(F.collect_list(F.struct(F.col(at).cast("long").alias("at"), re.alias("re"), im.alias("im")))).alias("line")
+    rows = df.groupBy(F.col(item).alias("item"), F.col(y).cast("long").alias("y")).agg(cell(x, F.col(v).cast("double"), F.lit(0.0))) \
+        .mapInPandas(lines("y", "u"), f"item {kind}, y long, u long, re double, im double")
+    both = rows.groupBy("item", "u").agg(cell("y", F.col("re"), F.col("im"))).mapInPandas(lines("u", "v"), f"item {kind}, u long, v long, re double, im double")
+    size = df.groupBy(F.col(item).alias("item")).agg((F.max(y) + 1).cast("long").alias("height"), (F.max(x) + 1).cast("long").alias("width"))
+    placed = null_safe_join(both, size, ["item"])
+    middle = lambda at, n: (F.col(at) + F.floor(F.col(n) / 2)) % F.col(n)
+    return placed.select(F.col("item").alias(item), middle("v", "height").alias("v"), middle("u", "width").alias("u"), "height", "width",
+                         F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("mag"))
+
+
+def _radius() -> Column:
+    """Distance from the spectrum's centre, 1 at a corner."""
+    cy, cx = F.col("height") / 2.0, F.col("width") / 2.0
+    return F.sqrt((F.col("u") - cx) * (F.col("u") - cx) + (F.col("v") - cy) * (F.col("v") - cy)) / (F.sqrt(cx * cx + cy * cy) + 1e-12)
+
+
+def radial_energy(spec: DataFrame, item: str) -> DataFrame:
+    """Energy shares of three radial bands and the spectral entropy of every grid."""
+    power, r = F.col("mag") * F.col("mag"), _radius()
+    total = spec.groupBy(item).agg(F.sum(power).alias("__t"))
+    p = power / (F.col("__t") + 1e-12)
+    share = lambda cond: F.sum(F.when(cond, p).otherwise(0.0))
+    return null_safe_join(spec, total, [item]).groupBy(item).agg(
+        share(r <= 0.15).alias("low"), share((r > 0.15) & (r <= 0.5)).alias("mid"), share((r > 0.5) & (r <= 1.0)).alias("high"),
+        (-F.sum(F.when(p > 0, p * F.log2(p)).otherwise(0.0))).alias("entropy"))
+
+
+def spectrum_peaks(spec: DataFrame, item: str, sigmas: float = 3.0, limit: int = 20) -> DataFrame:
+    """Periodic peaks: log magnitude over its blurred background, 5 x 5 maxima at mean + `sigmas` deviations, strongest first."""
+    taps = gaussian_taps(21, 5.0)
+    level = spec.withColumn("__l", F.log1p("mag")).withColumn("__b", F.log1p("mag"))
+    for pos, other, n in (("v", "u", "height"), ("u", "v", "width")):
+        level = convolve(level, [item, other], pos, F.col(n), taps, {"__b": "__b"}, "reflect")
+    far = _radius() >= 0.03
+    diff = level.withColumn("diff", F.when(far, F.col("__l") - F.col("__b")).otherwise(0.0)).withColumn("far", far)
+    diff = cut(diff.select(item, "v", "u", "mag", "diff", "far"))
+    stat = diff.where("far").groupBy(item).agg(F.avg("diff").alias("__m"), F.stddev_pop("diff").alias("__s"))
+    high = cut(null_safe_join(diff, stat, [item]).where((F.col("diff") >= F.col("__m") + sigmas * F.col("__s")) & F.col("far"))
+               .withColumn("prominence", F.col("diff") / (F.col("__s") + 1e-6)))
+    # a stronger cell within two places is itself over the threshold, so maxima are found among the candidates
+    near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3) if i or j])
+    around = high.select(item, "v", "u", "diff", F.explode(near).alias("o")).select(
+        item, F.col("v").alias("__v"), F.col("u").alias("__u"), (F.col("v") + F.col("o.i")).alias("v"), (F.col("u") + F.col("o.j")).alias("u"), F.col("diff").alias("__d"))
+    beaten = around.join(high.select(item, "v", "u", "diff"), [item, "v", "u"]).where("diff > __d").select(item, F.col("__v").alias("v"), F.col("__u").alias("u"))
+    return suppress(high.join(beaten, [item, "v", "u"], "left_anti"), [item], "u", "v", "prominence", radius=2, limit=limit)
 
 
 def suppress(candidates: DataFrame, keys: Sequence[str], x: str, y: str, score: str, radius: int = 2, limit: int = 20) -> DataFrame:

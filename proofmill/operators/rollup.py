@@ -97,6 +97,20 @@ def drift(base: DataFrame, changed: DataFrame, keys: Sequence[str], by: Sequence
     return pairs.groupBy(*by).agg(row_count().alias("pairs"), F.avg(gap).alias("mean_absolute_change"), F.avg(rel).alias("mean_relative_change_pct"))
 
 
+def against_all(probes: DataFrame, references: DataFrame, most: int = 10_000, blocks: int = 64) -> DataFrame:
+    """Every probe with every reference pattern.
+
+    References are one row per source. Up to `most` of them (counted) are sent
+    to the probes; more are dealt in `blocks`, and a copy of each probe goes
+    to every block, so no task meets all references.
+    """
+    few = references.limit(most + 1).count() <= most
+    if few:
+        return probes.join(F.broadcast(references), how="cross")
+    dealt = references.withColumn("__block", F.pmod(F.xxhash64("ref"), F.lit(blocks)))
+    return probes.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt, "__block").drop("__block")
+
+
 def separation(scores: DataFrame, threshold: float = 50.0, gap: float = 15.0) -> DataFrame:
     """Same-source against different-source scores: ranges, rates over the threshold, gap, verdict.
 
@@ -151,3 +165,37 @@ def density_grid(regions: DataFrame, size: int, layers: Sequence[str]) -> DataFr
     placed = regions.withColumn("row", cell("y")).withColumn("col", cell("x"))
     return placed.groupBy("row", "col").agg(
         row_count().alias("total"), *[F.count_if(F.col("layer") == x).alias(f"n_{x}") for x in layers], F.min("id").alias("sample_id"))
+
+
+def tree_rows(levels: Sequence[tuple[str, DataFrame]]) -> DataFrame:
+    """A provenance forest as rows: (item_id, node_id, parent_id, type, payload).
+
+    levels: (type, DataFrame of item_id, node_id, parent_id and the columns of
+    the node's document). Every child is a row of its own, so nothing is cut
+    off and no array grows with an item; roots have no parent.
+    """
+    out = None
+    for kind, df in levels:
+        body = [c for c in df.columns if c not in ("item_id", "node_id", "parent_id")]
+        rows = df.select("item_id", "node_id", F.col("parent_id").cast("string").alias("parent_id"), F.lit(kind).alias("type"),
+                         F.to_json(F.struct(*body), {"ignoreNullFields": "false"}).alias("payload"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def report_rows(sections: dict[str, DataFrame], case: str, key: str) -> DataFrame:
+    """A report as rows: (case, section, entry, payload), all records of every section, and one `summary` row per case with their numbers.
+
+    A case without records in a section counts 0 there.
+    """
+    out, counts = None, None
+    for name, df in sections.items():
+        body = [c for c in df.columns if c not in (case, key)]
+        rows = df.select(F.col(case), F.lit(name).alias("section"), F.col(key).cast("string").alias("entry"),
+                         F.to_json(F.struct(*body), {"ignoreNullFields": "false"}).alias("payload"))
+        n = df.groupBy(case).agg(row_count().alias("n")).select(F.col(case), F.lit(name).alias("section"), "n")
+        out = rows if out is None else out.unionByName(rows)
+        counts = n if counts is None else counts.unionByName(n)
+    total = counts.groupBy(case).agg(*[F.coalesce(F.sum(F.when(F.col("section") == s, F.col("n"))), F.lit(0)).alias(s) for s in sections])
+    summary = total.select(F.col(case), F.lit("summary").alias("section"), F.lit("").alias("entry"), F.to_json(F.struct(*sections)).alias("payload"))
+    return out.unionByName(summary)

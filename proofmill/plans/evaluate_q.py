@@ -204,17 +204,22 @@ def phase_profile(spark, d):
 
 
 DCT_SQL = f"""with {GRID_SQL}, bs as (select k, i, cos((2 * i + 1) * k * pi() / 16) * case when k = 0 then sqrt(1 / 8.0) else 0.5 end as c from range(0, 8) a(k), range(0, 8) b(i)),
-full_b as (select item, y // 8 as by, x // 8 as bx from g group by 1, 2, 3 having count(*) = 64),
-t1 as (select g.item, y // 8 as by, x // 8 as bx, k as u, x % 8 as xx, sum((v - 128) * c) as s from g join bs on i = y % 8 group by 1, 2, 3, 4, 5),
-cf as (select t1.item, t1.by, t1.bx, u, k as w, sum(s * c) as c from t1 join bs on i = xx join full_b f on f.item = t1.item and f.by = t1.by and f.bx = t1.bx group by 1, 2, 3, 4, 5)"""
+ext as (select item, max(x) as mx, max(y) as my from g group by 1),
+px as (select item, unnest(range(x, case when x = mx then x - x % 8 + 8 else x + 1 end)) as x, y, my, v from g join ext using (item)),
+pg as (select item, x, unnest(range(y, case when y = my then y - y % 8 + 8 else y + 1 end)) as y, v from px),
+t1 as (select pg.item, y // 8 as by, x // 8 as bx, k as u, x % 8 as xx, sum((v - 128) * c) as s from pg join bs on i = y % 8 group by 1, 2, 3, 4, 5),
+cf as (select t1.item, t1.by, t1.bx, u, k as w, sum(s * c) as c from t1 join bs on i = xx group by 1, 2, 3, 4, 5)"""
 
 
 @query("a29_block_cosine", f"""{DCT_SQL} select item, count(*) filter (where u = 0 and w = 0) as blocks, round(avg(c) filter (where u + w = 0), 4) as dc_mean, round(stddev_pop(c) filter (where u + w = 0), 4) as dc_std,
+  round(min(c) filter (where u + w = 0), 5) as dc_min, round(max(c) filter (where u + w = 0), 5) as dc_max, round(median(c) filter (where u + w = 0), 6) as dc_median,
   round(avg(c) filter (where u + w > 0), 4) as ac_mean, round(stddev_pop(c) filter (where u + w > 0), 4) as ac_std, round(avg(abs(c)) filter (where u + w > 0), 4) as ac_mean_abs,
   round(avg(case when abs(c) < 0.1 then 1.0 else 0.0 end) filter (where u + w > 0), 4) as zero_share, round(avg(abs(c)) filter (where u < 3 and w < 3 and u + w > 0), 4) as low_energy,
   round(avg(abs(c)) filter (where not (u < 3 and w < 3) and u + w < 9), 4) as mid_energy, round(avg(abs(c)) filter (where u + w >= 9), 4) as high_energy from cf group by 1""")
 def block_cosine(spark, d):
-    return rounded(G.cosine_summary(G.block_cosine(grid(spark, d), "item", "x", "y", "v"), "item"), 4)
+    out = G.cosine_summary(G.block_cosine(grid(spark, d), "item", "x", "y", "v"), "item")
+    digits = {"dc_min": 5, "dc_max": 5, "dc_median": 6}  # sums of cents over eight: exact
+    return out.select("item", "blocks", *[F.round(c, digits.get(c, 4)).alias(c) for c in out.columns if c not in ("item", "blocks")])
 
 
 FREQS = [k / 96.0 for k in range(1, 49)]
@@ -233,10 +238,26 @@ def series_spectrum(spark, d):
     return out.select("event_type", *[F.round(c, n).alias(c) for c, n in digits.items()])
 
 
-@query("a31_radial_energy")
+SPECTRUM_SQL = f"""with {GRID_SQL}, r1 as (select g.item, g.y, k.k as u, sum(v * cos(2 * pi() * k.k * x / n)) as re, -sum(v * sin(2 * pi() * k.k * x / n)) as im, max(n) as n from g, (select unnest(range(0, hi - lo + 1)) as k from bd) k group by 1, 2, 3),
+f2 as (select item, k.k as w, u, max(n) as n, sum(re * cos(2 * pi() * k.k * y / 64) + im * sin(2 * pi() * k.k * y / 64)) as re, sum(im * cos(2 * pi() * k.k * y / 64) - re * sin(2 * pi() * k.k * y / 64)) as im from r1, range(0, 64) k(k) group by 1, 2, 3),
+sp as (select item, (w + 32) % 64 as v, (u + n // 2) % n as u, n, re * re + im * im as power from f2)"""
+
+
+def spectrum(spark, d):
+    return G.spectrum(grid(spark, d), "item", "x", "y", "v")
+
+
+@query("a31_radial_energy", f"""{SPECTRUM_SQL}, t as (select item, sum(power) as total from sp group by 1),
+p as (select item, power / (total + 1e-12) as p, sqrt((u - n / 2.0) ** 2 + (v - 32) ** 2) / (sqrt((n / 2.0) ** 2 + 1024) + 1e-12) as r from sp join t using (item))
+select item, round(sum(case when r <= 0.15 then p else 0 end), 6) as low, round(sum(case when r > 0.15 and r <= 0.5 then p else 0 end), 6) as mid, round(sum(case when r > 0.5 and r <= 1 then p else 0 end), 6) as high,
+  round(-sum(case when p > 0 then p * log2(p) else 0 end), 6) as entropy from p group by 1""")
 def radial_energy(spark, d):
-    out = G.radial_energy(grid(spark, d), "item", "x", "y", "v")
-    return rounded(out.withColumn("n_peaks", F.size("peaks")).drop("peaks"))
+    return rounded(G.radial_energy(spectrum(spark, d), "item"))
+
+
+@query("a31_spectrum_peaks")
+def spectrum_peaks(spark, d):
+    return rounded(G.spectrum_peaks(spectrum(spark, d), "item", sigmas=1.5), 4)
 
 
 @query("t04_suppressed_peaks")

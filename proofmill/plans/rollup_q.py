@@ -143,17 +143,16 @@ def measurement_drift(spark, d):
 
 @query("a22_separation", f"""
 with x as (select vec_id, label, unnest(embedding::double[]) as v, unnest(range(1, 65)) as pos from embeddings), ref as (select label, pos, avg(v) as m from x group by 1, 2),
-s as (select x.vec_id, x.label = r.label as same, corr(x.v, r.m) * 100 as score from x join ref r on x.pos = r.pos and (r.label = x.label or r.label = (x.label + 1) % 10) group by 1, 2)
+s as (select x.vec_id, r.label as ref, x.label = r.label as same, corr(x.v, r.m) * 100 as score from x join ref r on x.pos = r.pos group by 1, 2, 3)
 select count(*) filter (where same) as same_n, {r('avg(score) filter (where same)', 4)} as same_mean, {r('min(score) filter (where same)', 4)} as same_min, {r('max(score) filter (where same)', 4)} as same_max,
   {r('avg(case when score >= 20 then 1.0 else 0 end) filter (where same)')} as same_rate, count(*) filter (where not same) as diff_n, {r('avg(score) filter (where not same)', 4)} as diff_mean,
   {r('min(score) filter (where not same)', 4)} as diff_min, {r('max(score) filter (where not same)', 4)} as diff_max, {r('avg(case when score >= 20 then 1.0 else 0 end) filter (where not same)')} as diff_rate,
   {r('min(score) filter (where same) - max(score) filter (where not same)', 4)} as gap, min(score) filter (where same) - max(score) filter (where not same) > 15 as unambiguous from s""")
 def separation(spark, d):
-    """Every probe against its own source's pattern and against the next source's."""
+    """Every probe against the pattern of its own source and of every other one."""
     probe = load(spark, d, "embeddings").select("vec_id", "label", V.standardised(F.col("embedding")).alias("p"))
     refs = label_means(spark, d).select(F.col("label").alias("ref"), V.standardised(F.col("vec")).alias("k"))
-    asked = probe.select("*", F.explode(F.array(F.col("label"), (F.col("label") + 1) % 10)).alias("ref"))
-    scores = asked.join(refs, "ref").select((F.col("ref") == F.col("label")).alias("same"), (V.dot(F.col("p"), F.col("k")) * 100).alias("score"))
+    scores = U.against_all(probe, refs).select((F.col("ref") == F.col("label")).alias("same"), (V.dot(F.col("p"), F.col("k")) * 100).alias("score"))
     out = U.separation(scores, threshold=20.0)
     return out.select(*[F.round(c, 6 if c.endswith("rate") else 4).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
@@ -212,37 +211,56 @@ def case_rules(spark, d):
     return out.select("case_id", "rule", "seen", F.col("first_seen.l_orderkey").alias("first_item"))
 
 
-@query("a42_provenance_tree", """
-with l as (select l_orderkey, count(*) as analyses, count(*) filter (where l_returnflag = 'R') as artifacts, min(l_linenumber) as first_line, max(l_linenumber) as last_line from lineitem group by 1)
-select o_orderkey as item_id, concat('{"item":', o_orderkey, ',"status":"', o_orderstatus, '","analyses":{"count":', coalesce(analyses, 0), ',"artifacts":', coalesce(artifacts, 0), '},"lines":[',
-  case when first_line is null then '' else concat(first_line, ',', last_line) end, ']}') as tree from orders left join l on l_orderkey = o_orderkey""")
+LINE_ID = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
+
+
+@query("a42_provenance_tree", f"""
+select o_orderkey as item_id, concat('ev-', o_orderkey) as node_id, null as parent_id, 'EVIDENCE' as type, concat('{{"status":"', o_orderstatus, '"}}') as payload from orders
+union all select o_orderkey, concat('hash-', o_orderkey), concat('ev-', o_orderkey), 'HASH_SIGNATURE', concat('{{"sha256":"', sha256(o_orderkey::varchar), '"}}') from orders
+union all select l_orderkey, concat('anl-', {LINE_ID}), concat('ev-', l_orderkey), 'ANALYSIS', concat('{{"line":', l_linenumber, ',"status":"', l_linestatus, '"}}') from lineitem
+union all select l_orderkey, concat('obs-', {LINE_ID}), concat('anl-', {LINE_ID}), 'OBSERVATION', concat('{{"supplier":', l_suppkey, ',"flag":"', l_returnflag, '"}}') from lineitem
+union all select l_orderkey, concat('art-', {LINE_ID}), concat('anl-', {LINE_ID}), 'ARTIFACT', concat('{{"part":', l_partkey, '}}') from lineitem where l_returnflag = 'R'""")
 def provenance_tree(spark, d):
-    """One JSON document per item; children enter as counts and bounds, their rows stay rows (a41)."""
-    child = load(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
-        row_count().alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("art"), F.min("l_linenumber").alias("lo"), F.max("l_linenumber").alias("hi"))
-    o = load(spark, d, "orders").join(child, "o_orderkey", "left")
-    lines = F.when(F.col("lo").isNull(), F.array().cast("array<int>")).otherwise(F.array("lo", "hi"))
-    tree = F.to_json(F.struct(
-        F.col("o_orderkey").alias("item"), F.col("o_orderstatus").alias("status"),
-        F.struct(F.coalesce("n", F.lit(0)).alias("count"), F.coalesce("art", F.lit(0)).alias("artifacts")).alias("analyses"), lines.alias("lines")))
-    return o.select(F.col("o_orderkey").alias("item_id"), tree.alias("tree"))
-
-
-@query("a43_report_payload")
+    """Every node of every item's tree as a row that names its parent."""
+    o, li = load(spark, d, "orders"), load(spark, d, "lineitem")
+    line = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
+    named = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    item, of = F.col("o_orderkey"), F.col("l_orderkey")
+    return U.tree_rows([
+        ("EVIDENCE", o.select(item.alias("item_id"), named("ev-", item).alias("node_id"), F.lit(None).alias("parent_id"), F.col("o_orderstatus").alias("status"))),
+        ("HASH_SIGNATURE", o.select(item.alias("item_id"), named("hash-", item).alias("node_id"), named("ev-", item).alias("parent_id"),
+                                    F.sha2(item.cast("string"), 256).alias("sha256"))),
+        ("ANALYSIS", li.select(of.alias("item_id"), named("anl-", line).alias("node_id"), named("ev-", of).alias("parent_id"), F.col("l_linenumber").alias("line"),
+                               F.col("l_linestatus").alias("status"))),
+        ("OBSERVATION", li.select(of.alias("item_id"), named("obs-", line).alias("node_id"), named("anl-", line).alias("parent_id"), F.col("l_suppkey").alias("supplier"),
+                                  F.col("l_returnflag").alias("flag"))),
+        ("ARTIFACT", li.where("l_returnflag = 'R'").select(of.alias("item_id"), named("art-", line).alias("node_id"), named("anl-", line).alias("parent_id"),
+                                                           F.col("l_partkey").alias("part")))])
+
+
+@query("a43_report_payload", f"""
+with rows as (select o_custkey as case_id, 'evidence' as section, o_orderkey::varchar as entry, concat('{{"status":"', o_orderstatus, '","priority":"', o_orderpriority, '"}}') as payload from orders
+  union all select o_custkey, 'analyses', {LINE_ID}, concat('{{"item":', l_orderkey, ',"status":"', l_linestatus, '","flag":"', l_returnflag, '"}}') from lineitem join orders on l_orderkey = o_orderkey
+  union all select o_custkey, 'findings', concat('P-', o_orderkey), concat('{{"item":', o_orderkey, ',"severity":"', o_orderpriority, '"}}') from orders where o_orderstatus = 'P'
+  union all select user_id, 'custody', event_id::varchar, concat('{{"event":"', event_type, '"}}') from events
+  union all select c_custkey, 'lineage', concat(c_custkey, '>', c_custkey + 1), concat('{{"parent":', case when c_custkey % 3 = 0 then c_custkey::varchar when c_custkey % 3 = 1 then (c_custkey + 1)::varchar else 'null' end, '}}') from customer)
+select * from rows union all
+select case_id, 'summary', '', concat('{{"evidence":', count(*) filter (where section = 'evidence'), ',"analyses":', count(*) filter (where section = 'analyses'), ',"findings":', count(*) filter (where section = 'findings'),
+  ',"lineage":', count(*) filter (where section = 'lineage'), ',"custody":', count(*) filter (where section = 'custody'), '}}') from rows group by 1""")
 def report_payload(spark, d):
-    """One JSON payload per case: overview, progress, coverage of its findings, manifest digest."""
-    overview = case_overview(spark, d)
-    progress = batch_progress(spark, d).withColumnRenamed("o_custkey", "case_id")
-    manifest = None
-    for kind, df in case_parts(spark, d).items():
-        rows = df.select("case_id", F.sha2(F.concat_ws(":", F.lit(kind), "entry"), 256).alias("h"))
-        manifest = rows if manifest is None else manifest.unionByName(rows)
-    digest = manifest.groupBy("case_id").agg(row_count().alias("entries"), *digest_sums(F.col("h"))).select("case_id", "entries", digest_text(F.col("entries")).alias("digest"))
-    j = overview.join(progress, "case_id", "left").join(digest, "case_id", "left")
-    payload = F.to_json(F.struct(
-        F.struct("items", "analyses", overview["completed"].alias("done"), "latest_status").alias("summary"),
-        F.struct("total", "progress").alias("batch"), F.struct("entries", "digest").alias("manifest")))
-    return j.select("case_id", payload.alias("payload"))
+    """Every case's report: its items, analyses, findings, lineage and custody events in full, and their numbers."""
+    orders = load(spark, d, "orders").withColumnRenamed("o_custkey", "case_id")
+    li = load(spark, d, "lineitem").join(orders.select("o_orderkey", "case_id"), F.col("l_orderkey") == F.col("o_orderkey"))
+    k = F.col("c_custkey")
+    return U.report_rows({
+        "evidence": orders.select("case_id", F.col("o_orderkey").alias("entry"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority")),
+        "analyses": li.select("case_id", F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("entry"),
+                              F.col("l_orderkey").alias("item"), F.col("l_linestatus").alias("status"), F.col("l_returnflag").alias("flag")),
+        "findings": orders.where("o_orderstatus = 'P'").select("case_id", F.concat(F.lit("P-"), F.col("o_orderkey").cast("string")).alias("entry"),
+                                                              F.col("o_orderkey").alias("item"), F.col("o_orderpriority").alias("severity")),
+        "lineage": load(spark, d, "customer").select(k.alias("case_id"), F.concat_ws(">", k.cast("string"), (k + 1).cast("string")).alias("entry"),
+                                                     F.when(k % 3 == 0, k).when(k % 3 == 1, k + 1).alias("parent")),
+        "custody": load(spark, d, "events").select(F.col("user_id").alias("case_id"), F.col("event_id").alias("entry"), F.col("event_type").alias("event"))}, "case_id", "entry")
 
 
 @query("a44_duplicate_census", "select sha256(text) as digest, count(*) as copies, min(doc_id) as first_id from documents group by 1 having count(*) > 1")

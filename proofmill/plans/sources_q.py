@@ -8,7 +8,7 @@ from ..functions import text as X
 from ..session import fresh_dir
 from ..sources import label_from_path, load, load_all, read_manifest, scan_corpus
 from ..sources import sinks
-from ..sources.scans import CASIA_RULES, COLUMBIA_RULES, NameRule
+from ..sources.scans import CASIA_KINDS, CASIA_RULES, COLUMBIA_RULES, NameRule
 from ..schemas import TABLES
 from .common import OBS_DUCK, observations
 from .registry import query
@@ -54,6 +54,9 @@ select page_id,
   case when starts_with(name, 'au_') or contains(folder, 'authentic') then 'AUTHENTIC'
        when starts_with(name, 'tp_') or contains(folder, 'tampered') or contains(folder, 'casia') then 'MANIPULATED'
        else 'UNKNOWN' end as casia_label,
+  case when starts_with(name, 'au_') or contains(folder, 'authentic') then 'NONE' when casia_label = 'MANIPULATED' and contains(name, '_d_') then 'COPY_MOVE'
+       when casia_label = 'MANIPULATED' and contains(name, '_s_') then 'SPLICING' else 'UNKNOWN' end as casia_manipulation_type,
+  case when contains(folder, 'authentic') or contains(name, 'auth') then 'NONE' when contains(folder, 'spliced') or contains(name, 'splice') then 'SPLICING' else 'UNKNOWN' end as columbia_manipulation_type,
   case when contains(folder, 'authentic') or contains(name, 'auth') then 'AUTHENTIC'
        when contains(folder, 'spliced') or contains(name, 'splice') then 'MANIPULATED' else 'UNKNOWN' end as columbia_label,
   case when contains(folder, 'spam-farm') then 'MANIPULATED' when regexp_matches(name, '\\.html($|[?#])') then 'AUTHENTIC'
@@ -63,10 +66,10 @@ select page_id,
 from p""")
 def label_rules(spark, d):
     pages = load(spark, d, "pages").select("page_id", "url")
-    out = label_from_path(pages, "url", CASIA_RULES, "casia_")
+    out = label_from_path(pages, "url", CASIA_RULES, "casia_", CASIA_KINDS)
     out = label_from_path(out, "url", COLUMBIA_RULES, "columbia_")
     out = label_from_path(out, "url", WEB_RULES, "web_")
-    return out.select("page_id", "casia_label", "columbia_label", "web_label", "web_manipulation_type")
+    return out.select("page_id", "casia_label", "casia_manipulation_type", "columbia_label", "columbia_manipulation_type", "web_label", "web_manipulation_type")
 
 
 @query("s05_entity_scan", " union all ".join(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -32,7 +33,9 @@ def build_session(app: str = "proofmill", master: str | None = None, **extra: st
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir.
 
-    Only when the cluster names none (tests, a laptop) is a temporary one made.
+    Where none is named, a temporary folder is made in local mode only, where
+    driver and executors are one process. On a cluster it would lie on each
+    machine's own disk, so that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -40,16 +43,36 @@ def checkpoint_root(spark: SparkSession) -> str:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(named)
         return named
-    current = sc.getCheckpointDir()
-    if current is None:
+    if sc.getCheckpointDir() is None:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that driver and executors of {sc.master} share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="proofmill-ckpt-"))
-        current = sc.getCheckpointDir()
-    return current
+    return sc.getCheckpointDir()
+
+
+STEPS: list[str] = []
 
 
 def fresh_dir(spark: SparkSession, tag: str) -> str:
-    """A new, not yet existing folder under the shared work folder."""
-    return os.path.join(checkpoint_root(spark), f"{tag}-{uuid.uuid4().hex}")
+    """A new, not yet existing folder under the shared work folder; `drop_steps` removes it."""
+    path = os.path.join(checkpoint_root(spark), f"{tag}-{uuid.uuid4().hex}")
+    STEPS.append(path)
+    return path
+
+
+def drop_steps(spark: SparkSession) -> int:
+    """Remove the folders written by this process so far; call it once their results have been read or written out.
+
+    Returns how many were removed. Whatever is left at the end of a job lies
+    in the shared folder only.
+    """
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    removed = 0
+    while STEPS:
+        path = jvm.org.apache.hadoop.fs.Path(STEPS.pop())
+        removed += path.getFileSystem(conf).delete(path, True)
+    return removed
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import MANIFEST, MANIFEST_IMAGE, TABLES
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need no copy of this package
+
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table with its declared schema (no inference job)."""
@@ -43,21 +49,20 @@ def scan_corpus(spark: SparkSession, path: str, extensions: Sequence[str]) -> Da
 
 
 def read_raster(spark: SparkSession, path: str) -> DataFrame:
-    """Decoded images as pixel rows (item, y, x, b, g, r); gray images repeat the channel."""
-    image = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
-    texts = image.select(
-        F.col("origin").alias("item"), "height", "width", "nChannels", F.hex("data").alias("h"))
-    cells = texts.select("item", "width", "nChannels", "h",
-                         F.explode(F.sequence(F.lit(0), F.col("height") * F.col("width") - 1)).alias("i"))
+    """Decoded images as pixel rows (item, y, x, b, g, r); gray images repeat the channel.
 
-    def byte(channel: int) -> Column:
-        at = (F.col("i") * F.col("nChannels") + F.least(F.lit(channel), F.col("nChannels") - 1)) * 2 + 1
-        return F.conv(F.substring(F.col("h"), at, F.lit(2)), 16, 10).cast("int")
+    The bytes of an image become an array once, in linear time.
+    """
+    def pixels(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for row in pdf.itertuples(index=False):
+                a = np.frombuffer(row.data, np.uint8).reshape(row.height, row.width, row.nChannels)
+                y, x = np.divmod(np.arange(row.height * row.width, dtype=np.int32), row.width)
+                channel = [a[:, :, min(k, row.nChannels - 1)].ravel().astype(np.int32) for k in range(3)]
+                yield pd.DataFrame({"item": row.origin, "y": y, "x": x, "b": channel[0], "g": channel[1], "r": channel[2]})
 
-    return cells.select(
-        "item", F.floor(F.col("i") / F.col("width")).cast("int").alias("y"),
-        (F.col("i") % F.col("width")).cast("int").alias("x"),
-        byte(0).alias("b"), byte(1).alias("g"), byte(2).alias("r"))
+    image = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
+    return image.select("origin", "height", "width", "nChannels", "data").mapInPandas(pixels, "item string, y int, x int, b int, g int, r int")
 
 
 def read_manifest(spark: SparkSession, path: str, layout: str = "document") -> DataFrame:
@@ -88,12 +93,12 @@ class NameRule(NamedTuple):
 CASIA_RULES = (
     NameRule("name", "prefix", "au_", "AUTHENTIC", "NONE"),
     NameRule("folder", "contains", "authentic", "AUTHENTIC", "NONE"),
-    NameRule("name", "regex", "^tp_.*_d_", "MANIPULATED", "COPY_MOVE"),
-    NameRule("name", "regex", "^tp_.*_s_", "MANIPULATED", "SPLICING"),
     NameRule("name", "prefix", "tp_", "MANIPULATED", "UNKNOWN"),
     NameRule("folder", "contains", "tampered", "MANIPULATED", "UNKNOWN"),
     NameRule("folder", "contains", "casia", "MANIPULATED", "UNKNOWN"),
 )
+# Marks anywhere in the name of a tampered file that tell how it was made.
+CASIA_KINDS = (("_d_", "COPY_MOVE"), ("_s_", "SPLICING"))
 COLUMBIA_RULES = (
     NameRule("folder", "contains", "authentic", "AUTHENTIC", "NONE"),
     NameRule("name", "contains", "auth", "AUTHENTIC", "NONE"),
@@ -103,8 +108,8 @@ COLUMBIA_RULES = (
 OPENMFC_RULES: tuple[NameRule, ...] = ()
 
 
-def label_from_path(df: DataFrame, path: str, rules: Sequence[NameRule], prefix: str = "") -> DataFrame:
-    """Add `label` and `manipulation_type` by the first rule that fits."""
+def label_from_path(df: DataFrame, path: str, rules: Sequence[NameRule], prefix: str = "", kinds: Sequence[tuple[str, str]] = ()) -> DataFrame:
+    """Add `label` and `manipulation_type` by the first rule that fits; `kinds` refine the type of manipulated files by marks in the name."""
     lowered = F.lower(F.translate(F.col(path), "\\", "/"))
     part = {"name": F.element_at(F.split(lowered, "/"), -1), "folder": F.regexp_replace(lowered, "/?[^/]*$", "")}
     label, kind = F.lit("UNKNOWN"), F.lit("UNKNOWN")
@@ -114,4 +119,6 @@ def label_from_path(df: DataFrame, path: str, rules: Sequence[NameRule], prefix:
                "regex": text.rlike(rule.pattern)}[rule.test]
         label = F.when(hit, rule.label).otherwise(label)
         kind = F.when(hit, rule.kind).otherwise(kind)
+    for mark, name in reversed(kinds):
+        kind = F.when((label == "MANIPULATED") & F.contains(part["name"], F.lit(mark)), name).otherwise(kind)
     return df.withColumn(f"{prefix}label", label).withColumn(f"{prefix}manipulation_type", kind)
