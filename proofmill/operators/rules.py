@@ -102,6 +102,7 @@ def dispatch(items: DataFrame, engines: Sequence[Mapping[str, object]]) -> DataF
     return e.withColumn("engine", F.col("e.engine")).withColumn("decision", decision).drop("e")
 
 
+# Fixed values.
 ACTIVE_DIRECTIONS = ("elevated", "suppressed", "present", "candidate")
 
 
@@ -141,6 +142,7 @@ RELATION_RULES = (
     {"a": "COPY_MOVE", "a_type": None, "a_dir": "candidate", "b": "METADATA", "b_dir": "absent",
      "relation": "INDEPENDENT", "strength": "MODERATE"},
 )
+# Fixed values.
 STRONG = ("strong", "HIGH", "high")
 
 
@@ -207,6 +209,16 @@ def assess(items: DataFrame, obs: DataFrame, strong_items: DataFrame | None = No
 
 # ---- findings ------------------------------------------------------------
 
+RULE_VERSION = "1.0"
+# Titles, and the modality whose observations support a finding.
+FINDING_TITLES = {
+    "CORR-META-001": "Metadata Editing History & Encoding Characteristics Alignment", "CORR-COMP-002": "Compression Consistency & Quantization Grid Correlation",
+    "CORR-NOISE-003": "Sensor Noise Residual & High-Frequency Structure Analysis", "CORR-CLONE-004": "Copy-Move Keypoint Spatial Analysis (Baseline)",
+    "CORR-CONFLICT-005": "Modality Conflict: JPEG/DCT Analysis Inapplicable to PNG Source",
+    "CORR-CONFLICT-005-META-EMPTY": "Explanatory Notice: Complete Absence of EXIF Metadata",
+}
+CLUSTER_TITLE = "Duplicated Region Keypoint Clustering Identified"
+SUPPORTING_MODALITY = {"CORR-META-001": "METADATA", "CORR-COMP-002": "ELA", "CORR-NOISE-003": "NOISE", "CORR-CLONE-004": "COPY_MOVE"}
 # Finding rules (id, type). Severity and condition are in `findings`.
 FINDING_TYPES = {
     "CORR-META-001": "CORRELATED_OBSERVATION", "CORR-COMP-002": "CORRELATED_OBSERVATION", "CORR-NOISE-003": "CORRELATED_OBSERVATION",
@@ -215,7 +227,10 @@ FINDING_TYPES = {
 
 
 def findings(items: DataFrame, states: DataFrame) -> DataFrame:
-    """All rules over one row per item: (item_id, rule_id, finding_type, severity, support).
+    """All rules over one row per item: (item_id, rule_id, rule_version, finding_type, severity, title, analyses).
+
+    `analyses` lists the refs of the supporting analyses; the supporting
+    observations are rows of their own, see `finding_observations`.
 
     items: item_id, lossless (boolean). states: item_id and, per modality, a
     struct (completed, flagged, count, ref) of its analysis, NULL when not run.
@@ -229,9 +244,12 @@ def findings(items: DataFrame, states: DataFrame) -> DataFrame:
 
     def hit(rule: str, cond: Column, severity: Column | str, *support: Column) -> Column:
         sev = severity if isinstance(severity, Column) else F.lit(severity)
+        title = F.lit(FINDING_TITLES[rule])
+        if rule == "CORR-CLONE-004":
+            title = F.when(clone["count"] > 5, CLUSTER_TITLE).otherwise(title)
         refs = F.array_compact(F.array(*[c["ref"] for c in support])) if support else F.array().cast("array<string>")
-        return F.when(cond, F.struct(F.lit(rule).alias("rule_id"), F.lit(FINDING_TYPES[rule]).alias("finding_type"), sev.alias("severity"),
-                                     F.concat_ws(",", refs).alias("support")))
+        return F.when(cond, F.struct(F.lit(rule).alias("rule_id"), F.lit(RULE_VERSION).alias("rule_version"),
+                                     F.lit(FINDING_TYPES[rule]).alias("finding_type"), sev.alias("severity"), title.alias("title"), refs.alias("analyses")))
     hits = F.array(
         hit("CORR-META-001", on(meta, "flagged"), "REVIEW_REQUIRED", meta, dct),
         hit("CORR-COMP-002", on(ela, "completed") & (on(ela, "flagged") | on(dct, "completed")), "CORRELATED_OBSERVATION", ela, dct),
@@ -243,12 +261,23 @@ def findings(items: DataFrame, states: DataFrame) -> DataFrame:
     return joined.select("item_id", F.explode(F.array_compact(hits)).alias("f")).select("item_id", "f.*")
 
 
+def finding_observations(found: DataFrame, observations: DataFrame, ref: str) -> DataFrame:
+    """Every observation that supports a finding: (item_id, rule_id, ref), all of the rule's modality on the item.
+
+    observations: item_id, modality and the column `ref`.
+    """
+    modality = F.element_at(F.create_map(*[F.lit(x) for kv in SUPPORTING_MODALITY.items() for x in kv]), F.col("rule_id"))
+    return found.select("item_id", "rule_id", modality.alias("modality")).join(observations.select("item_id", "modality", ref), ["item_id", "modality"]) \
+        .select("item_id", "rule_id", F.col(ref).alias("ref"))
+
+
 # Which operation an engine speaks about.
 ENGINE_OPERATION = {
     "ADJPEG": "JPEG_REENCODING", "NADJPEG": "JPEG_REENCODING", "JPEG_GHOST": "JPEG_REENCODING", "JPEG_QT": "JPEG_REENCODING",
     "JPEG_STRUCTURE": "JPEG_REENCODING", "JPEG_HUFFMAN": "JPEG_REENCODING", "JPEG_DCT": "JPEG_REENCODING",
     "ELA": "RECOMPRESSION_DIFFERENCE", "RESAMPLING": "RESIZING_OR_RESAMPLING", "BLOCKING_ARTIFACT": "BLOCK_BOUNDARY_PATTERN",
 }
+# Directions that count as a signal.
 ELEVATED_DIRECTIONS = ("anomalous", "elevated", "high", "positive", "inconsistent")
 
 
@@ -263,7 +292,8 @@ def processing_signals(analyses: DataFrame) -> DataFrame:
     rows = analyses.where(F.lower("status").isin("completed", "complete")) \
         .withColumn("operation", F.element_at(table, canonical_key(F.col("engine")))).where("operation is not null")
     candidate = F.coalesce(F.lower(F.trim("direction")).isin(*ELEVATED_DIRECTIONS), F.lit(False)) | any_flag(F.col("document"))
-    regions = F.coalesce(F.get_json_object("document", "$.candidate_region_count").try_cast("long") > 0, F.lit(False))
+    regions = F.coalesce(F.get_json_object("document", "$.candidate_region_count").try_cast("long") > 0, F.lit(False)) \
+        | F.get_json_object("document", "$.candidate_regions[0]").isNotNull()  # a list with any entry
     candidate = candidate | ((F.col("operation") == "RESIZING_OR_RESAMPLING") & regions)
     return rows.select("item_id", "analysis_id", "engine", "operation", candidate.alias("candidate"))
 

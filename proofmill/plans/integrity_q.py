@@ -235,7 +235,7 @@ rb as (select concat(l_orderkey, '-', l_linenumber, '-', l_partkey) as item, l_s
 
 
 def _fp(table):
-    words = ", ':', ".join(f"sum(('0x' || substr(h, {1 + 8 * i}, 8))::bigint)::bigint" for i in range(4))
+    words = ", ':', ".join(f"sum(('0x' || substr(h, {1 + 8 * i}, 8))::bigint)::bigint" for i in range(8))
     return f"select engine, count(*) as rows, sha256(concat(count(*), ':', {words})) as fingerprint from (select engine, sha256(concat_ws('|', item, engine, status)) as h from {table}) group by 1"
 
 

@@ -64,32 +64,50 @@ w as (select o_orderkey as item_id, o_orderpriority = '5-LOW' as lossless, {", "
     f"max(ref) filter (where modality = '{m}') as {m}_ref, coalesce(bool_or(completed) filter (where modality = '{m}'), false) as {m}_done, coalesce(bool_or(flagged) filter (where modality = '{m}'), false) as {m}_flag, max(cnt) filter (where modality = '{m}') as {m}_n"
     for m in MODALITIES)} from orders left join l on l.item_id = o_orderkey group by 1, 2)"""
 _RULES = [
-    ("CORR-META-001", "CORRELATED_OBSERVATION", "'REVIEW_REQUIRED'", "METADATA_flag", "concat_ws(',', METADATA_ref, JPEG_DCT_ref)"),
-    ("CORR-COMP-002", "CORRELATED_OBSERVATION", "'CORRELATED_OBSERVATION'", "ELA_done and (ELA_flag or JPEG_DCT_done)", "concat_ws(',', ELA_ref, JPEG_DCT_ref)"),
+    ("CORR-META-001", "CORRELATED_OBSERVATION", "'REVIEW_REQUIRED'", "METADATA_flag", "METADATA_ref, JPEG_DCT_ref"),
+    ("CORR-COMP-002", "CORRELATED_OBSERVATION", "'CORRELATED_OBSERVATION'", "ELA_done and (ELA_flag or JPEG_DCT_done)", "ELA_ref, JPEG_DCT_ref"),
     ("CORR-NOISE-003", "CORRELATED_OBSERVATION", "'OBSERVATION'", "NOISE_done", "NOISE_ref"),
     ("CORR-CLONE-004", "CORRELATED_OBSERVATION", "case when COPY_MOVE_n > 5 then 'REVIEW_REQUIRED' else 'OBSERVATION' end", "COPY_MOVE_done", "COPY_MOVE_ref"),
-    ("CORR-CONFLICT-005", "CONFLICT_DETECTED", "'INCONCLUSIVE'", "lossless", "''"),
+    ("CORR-CONFLICT-005", "CONFLICT_DETECTED", "'INCONCLUSIVE'", "lossless", "null::varchar"),
     ("CORR-CONFLICT-005-META-EMPTY", "CONFLICT_DETECTED", "'OBSERVATION'", "METADATA_done and not METADATA_flag and METADATA_n = 0", "METADATA_ref"),
 ]
 
 
+def title_sql(rule):
+    title = f"'{R.FINDING_TITLES[rule]}'"
+    return f"case when COPY_MOVE_n > 5 then '{R.CLUSTER_TITLE}' else {title} end" if rule == "CORR-CLONE-004" else title
+
+
 @query("a36_rule_findings", f"with {_S} " + " union all ".join(
-    f"select item_id, '{i}' as rule_id, '{t}' as finding_type, {sev} as severity, {sup} as support from w where {cond}" for i, t, sev, cond, sup in _RULES))
+    f"select item_id, '{i}' as rule_id, '1.0' as rule_version, '{t}' as finding_type, {sev} as severity, {title_sql(i)} as title, concat_ws(',', {sup}) as analyses from w where {cond}" for i, t, sev, cond, sup in _RULES))
 def rule_findings(spark, d):
+    return found(spark, d).withColumn("analyses", F.array_join("analyses", ","))
+
+
+def found(spark, d):
     items = load(spark, d, "orders").select(F.col("o_orderkey").alias("item_id"), (F.col("o_orderpriority") == "5-LOW").alias("lossless"))
     return R.findings(items, analysis_states(spark, d))
 
 
+@query("a36_finding_observations", f"with {_S}, f as (" + " union all ".join(
+    f"select item_id, '{i}' as rule_id, '{R.SUPPORTING_MODALITY[i]}' as modality from w where {cond}" for i, _, _, cond, _ in _RULES if i in R.SUPPORTING_MODALITY) + f""")
+select f.item_id, rule_id, concat_ws('-', l_linenumber, l_partkey, l_suppkey) as ref from f join ({OBS_DUCK}) o on o.item_id = f.item_id and o.modality = f.modality""")
+def finding_observations(spark, d):
+    o = observations(spark, d).withColumn("obs", F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_linenumber", "l_partkey", "l_suppkey")]))
+    return R.finding_observations(found(spark, d), o, "obs")
+
+
 ENGINES = ("adjpeg", "resampling", "ela", "jpeg-dct", "blocking-artifact", "histogram")
 _K = "cast(json_extract_string(props, '$.k') as integer)"
 SIGNALS_SQL = f"""s as (select user_id as item_id, event_id as analysis_id, list_extract(['{"', '".join(ENGINES)}'], (event_id % 6 + 1)::integer) as engine, {_K} as k, event_type, value from events),
 t as (select item_id, analysis_id, engine, case event_id_op when 0 then 'JPEG_REENCODING' when 1 then 'RESIZING_OR_RESAMPLING' when 2 then 'RECOMPRESSION_DIFFERENCE' when 3 then 'JPEG_REENCODING' else 'BLOCK_BOUNDARY_PATTERN' end as operation,
-  (value > 150 or k % 23 = 0 or (event_id_op = 1 and k > 96)) as candidate from (select *, analysis_id % 6 as event_id_op from s) where event_id_op < 5 and event_type <> 'error')"""
+  (value > 150 or k % 23 = 0 or (event_id_op = 1 and (k > 96 or k % 31 = 0))) as candidate from (select *, analysis_id % 6 as event_id_op from s) where event_id_op < 5 and event_type <> 'error')"""
 
 
 def signals(spark, d):
     k = F.get_json_object("props", "$.k").cast("int")
-    doc = F.to_json(F.struct((k % 23 == 0).alias("has_trace"), (k % 2 == 0).alias("other_flag"), F.when(k > 96, 3).otherwise(0).alias("candidate_region_count")))
+    doc = F.to_json(F.struct((k % 23 == 0).alias("has_trace"), (k % 2 == 0).alias("other_flag"), F.when(k > 96, 3).otherwise(0).alias("candidate_region_count"),
+                            F.when(k % 31 == 0, F.array(F.lit("0,0,8,8"))).otherwise(F.array().cast("array<string>")).alias("candidate_regions")))
     e = load(spark, d, "events").select(
         F.col("user_id").alias("item_id"), F.col("event_id").alias("analysis_id"),
         F.element_at(F.array(*[F.lit(x) for x in ENGINES]), (F.col("event_id") % 6 + 1).cast("int")).alias("engine"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.numeric import row_count
 from ..session import fresh_dir
 from ..sources import load
 from ..streaming import jobs as J
@@ -25,6 +26,13 @@ def live_chain(spark, d):
     return out.where("outcome = 'LINKED'").drop("outcome")
 
 
+@query("g01_live_outcomes", "select user_id as case_id, 'LINKED' as outcome, count(*) as n from events group by 1")
+def live_outcomes(spark, d):
+    """Numbers of linked and of out-of-order events per case; nothing that arrived is missing from the sum."""
+    out = J.run_to_table(J.live_chain(audit_stream(J.event_stream(spark, d))), "g01-all")
+    return out.groupBy("case_id", "outcome").agg(row_count().alias("n"))
+
+
 @query("g02_live_intake", ORACLES["i08_idempotent_intake"])
 def live_intake(spark, d):
     requests = I.requests_of(J.event_stream(spark, d))

@@ -13,10 +13,25 @@ def write_observations(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def replace_partitions(df: DataFrame, path: str, keys: Sequence[str]) -> None:
-    """Replace exactly the partitions present in `df`: a re-run leaves one copy."""
-    (df.repartition(*keys, F.pmod(F.xxhash64(*df.columns), F.lit(16)))  # 16 files per hot partition, not 1
-       .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path))
+def replace_partitions(df: DataFrame, path: str, keys: Sequence[str], processed: DataFrame | None = None) -> None:
+    """Replace exactly the partitions present in `df`: a re-run leaves one copy.
+
+    `processed` holds the keys that were run; those without any row in `df`
+    are cleared too. Rows are rebalanced by key: a hot key is split over as
+    many tasks as its size asks for, small keys share one.
+    """
+    if processed is not None:
+        _clear(processed.select(*keys).distinct().join(df.select(*keys).distinct(), list(keys), "left_anti"), path, keys)
+    df.hint("rebalance", *keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+
+
+def _clear(gone: DataFrame, path: str, keys: Sequence[str]) -> None:
+    """Remove the folders of these keys. Only folder names come to the driver, a batch at a time."""
+    jvm, conf = gone.sparkSession._jvm, gone.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    escape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
+    for row in gone.select(*[F.col(k).cast("string") for k in keys]).toLocalIterator():
+        folder = jvm.org.apache.hadoop.fs.Path("/".join([path.rstrip("/"), *[escape(k, row[k]) for k in keys]]))
+        folder.getFileSystem(conf).delete(folder, True)
 
 
 def upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -38,7 +53,7 @@ def upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str], keep: Seq
     return joined.select(*[pick(c) for c in target.columns], action.alias("upsert_action"))
 
 
-WORDS = 4  # 32-bit words of the row hash that enter a set digest
+WORDS = 8  # 32-bit words of the row hash that enter a set digest: all 256 bits
 
 
 def digest_sums(row_hash: Column) -> list[Column]:

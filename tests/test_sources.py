@@ -4,6 +4,8 @@ import json
 import struct
 import zlib
 
+import pytest
+
 from proofmill.sources import read_manifest, read_raster, scan_corpus
 from proofmill.sources import sinks
 
@@ -46,3 +48,53 @@ def test_replacing_partitions_is_idempotent(spark, tmp_path):
     sinks.replace_partitions(spark.createDataFrame([(9, "a")], "v long, k string"), path, ["k"])
     sinks.replace_partitions(spark.createDataFrame([(9, "a")], "v long, k string"), path, ["k"])
     assert sorted((r.v, r.k) for r in spark.read.parquet(path).collect()) == [(3, "b"), (9, "a")]
+
+
+def test_replace_partitions_clears_processed_keys_without_rows(spark, tmp_path):
+    path = str(tmp_path / "parts")
+    sinks.replace_partitions(spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "v long, k string"), path, ["k"])
+    ran = spark.createDataFrame([("a",), ("b",)], "k string")
+    sinks.replace_partitions(spark.createDataFrame([(9, "b")], "v long, k string"), path, ["k"], ran)
+    assert sorted(map(tuple, spark.read.parquet(path).select("k", "v").collect())) == [("b", 9), ("c", 3)]
+
+
+def test_corpus_kinds(spark):
+    from proofmill.sources.scans import CASIA_KINDS, CASIA_RULES, label_from_path
+    names = ["x/Tp_D_CND_M_N_ani00018.tif", "Tampered/abc_d_1.jpg", "x/Tp_S_NRN_S_N.tif", "x/Au_ani_s_1.jpg", "x/Tp_x.jpg", "y/q.jpg"]
+    df = label_from_path(spark.createDataFrame([(n,) for n in names], "p string"), "p", CASIA_RULES, "", CASIA_KINDS)
+    assert [r.manipulation_type for r in df.collect()] == ["COPY_MOVE", "COPY_MOVE", "SPLICING", "NONE", "UNKNOWN", "UNKNOWN"]
+
+
+def test_work_folder(spark, monkeypatch):
+    import os
+
+    from proofmill import session
+    step = session.cut(spark.range(3))
+    folder = session.STEPS[-1].removeprefix("file:")
+    assert step.count() == 3 and os.path.isdir(folder)
+    session.drop_steps(spark)
+    assert not os.path.exists(folder) and not session.STEPS
+
+    class Cluster:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Cluster()
+        conf = type("C", (), {"get": staticmethod(lambda *_: None)})()
+    with pytest.raises(RuntimeError):
+        session.checkpoint_root(Session())
+
+
+def test_large_raster_is_linear(spark, tmp_path):
+    import time
+
+    png(tmp_path / "a.png", [[(x, x, x) for x in range(16)] for _ in range(16)])
+    read_raster(spark, str(tmp_path / "a.png")).count()
+    png(tmp_path / "b.png", [[((x + y) % 256,) * 3 for x in range(256)] for y in range(256)])
+    start = time.time()
+    got = read_raster(spark, str(tmp_path / "b.png"))
+    assert tuple(got.selectExpr("count(*) as n", "sum(if(b = (x + y) % 256, 0, 1)) as bad").first()) == (65536, 0)
+    assert time.time() - start < 10
