@@ -155,8 +155,8 @@ def repeated_passages(evidence: DataFrame, id_col: str = "evidence_id", text_col
     long = docs.where(F.octet_length("text") >= width).select("k1", "k2", "text")
     parse = cut(long.mapInPandas(_parsed(width), "k1 long, k2 long, place long, core long, content long"))
     # a core that several phrases have, and whether these differ
-    cores = parse.groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("c1"), F.max("content").alias("c2")).where("n > 1") \
-        .select("core", (F.col("c1") != F.col("c2")).alias("differ"))
+    cores = cut(parse.groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("c1"), F.max("content").alias("c2")).where("n > 1")
+                .select("core", (F.col("c1") != F.col("c2")).alias("differ")))  # written, so that the join's hot cores can be split
     shared = cut(parse.join(cores, "core"))
     differ = shared.where("differ")
     dictionary = cut(differ.groupBy("core", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("k1", "k2", "place")).alias("x")))
