@@ -100,37 +100,96 @@ def _fits(a: str, b: str, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _open_buckets(crowd: DataFrame, links: DataFrame) -> DataFrame:
+def _open_buckets(crowd: DataFrame, parts: DataFrame) -> DataFrame:
     """Bucket members with their component, in buckets that hold more than one component."""
-    parts = components(links, "a", "b").withColumnRenamed("component", "part")
-    placed = crowd.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
-    mixed = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key")
+    placed = crowd.join(parts.select("node", F.col("component").alias("part")), "node", "left").withColumn("part", F.coalesce("part", "node"))
+    mixed = cut(placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key"))
     return cut(placed.join(mixed, "key"))
 
 
-def _stars(members: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Every member of a bucket with the bucket's pivot, where both are not in one component yet.
+def _stars(members: DataFrame, rank: Column, percent: int) -> DataFrame:
+    """Every member of a bucket with the bucket's pivot, the lowest member by `rank`, where the two are not in one component yet."""
+    pivots = cut(members.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), "node", "n", "part")).alias("pivot")))
+    met = members.join(pivots, "key").where("node <> pivot.node and part <> pivot.part")
+    return met.where(_fits("n", "pivot.n", percent)).select(F.greatest("node", "pivot.node").alias("a"), F.least("node", "pivot.node").alias("b")).distinct()
+
+
+def _next_stars(members: DataFrame, percent: int) -> DataFrame:
+    """Stars around the most central member outside the most central member's component."""
+    first = cut(members.groupBy("key").agg(F.min(F.struct(-F.col("mass"), "node", "part")).alias("x")).select("key", F.col("x.part").alias("main")))
+    return _stars(members.join(first, "key"), F.struct(F.col("part") == F.col("main"), -F.col("mass")), percent)
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int = 8192) -> np.ndarray:
+    """Sizes of all intersections between two short lists of sets, as products of membership matrices, `columns` elements at a time."""
+    sides = (left, right)
+    flat = [np.concatenate(s) for s in sides]
+    shared = np.intersect1d(*flat)
+    out = np.zeros((len(left), len(right)), np.float32)
+    rows = [np.repeat(np.arange(len(s)), [len(x) for x in s]) for s in sides]
+    for first in range(0, len(shared), columns):
+        part = shared[first:first + columns]
+        matrix = []
+        for side, values, row in zip(sides, flat, rows, strict=True):
+            at = np.searchsorted(part, values)
+            hit = (at < len(part)) & (part[np.minimum(at, len(part) - 1)] == values)
+            m = np.zeros((len(side), len(part)), np.float32)
+            m[row[hit], at[hit]] = 1
+            matrix.append(m)
+        out += matrix[0] @ matrix[1].T
+    return out
+
+
+def _linked(percent: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Links between the two blocks of a cell, one per member and foreign component: enough to join what belongs together."""
+        a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        if a.empty or b.empty:
+            return pd.DataFrame({"a": [], "b": []}).astype("int64")
+        both = common_counts([np.asarray(x) for x in a["elements"]], [np.asarray(x) for x in b["elements"]])
+        total = a["n"].to_numpy()[:, None] + b["n"].to_numpy()[None, :]
+        part = b["part"].to_numpy()
+        x, y = np.nonzero((100 * both >= percent * (total - both)) & (a["part"].to_numpy()[:, None] != part[None, :]))
+        found = pd.DataFrame({"a": a["node"].to_numpy()[x], "b": b["node"].to_numpy()[y], "part": part[y]})
+        return found.drop_duplicates(["a", "part"])[["a", "b"]]
+    return run
+
+
+BLOCK = 256
+
 
-    A pivot is the lowest node in an order that changes with `turn`, the same order in all buckets.
+def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components that still share a bucket: buckets with one most central member are one group, compared in blocks.
+
+    A group's members are dealt into blocks of about BLOCK by rank; a task
+    compares two blocks, so neither a group nor its pairs ever are in one place.
     """
-    rank = F.struct((F.xxhash64("node", F.lit(turn)) if turn else F.col("node")).alias("rank"), "node", "n", "part")
-    pivots = members.groupBy("key").agg(F.min(rank).alias("pivot"))
-    met = members.join(pivots, "key").where("node <> pivot.node and part <> pivot.part").select(F.col("node").alias("a"), F.col("n").alias("an"), "pivot")
-    return met.where(_fits("an", "pivot.n", percent)).select(F.greatest("a", "pivot.node").alias("a"), F.least("a", "pivot.node").alias("b")).distinct()
+    centre = members.groupBy("key").agg(F.min(F.struct(-F.col("mass"), "node")).alias("x")).select("key", F.col("x.node").alias("centre"))
+    rows = cut(members.join(cut(centre), "key").select("centre", "node", "n", "part").distinct())
+    blocks = cut(rows.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")))
+    dealt = rows.join(blocks, "centre").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j"), F.when(F.col("own") <= k, 0).otherwise(1).alias("side")))
+    # a block meets itself as both sides
+    placed = dealt.select("centre", "node", "n", "part", "own", F.explode(F.concat(cells, F.array(F.struct(F.col("own").alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"))))).alias("c")) \
+        .select("centre", "node", "n", "part", "c.*")
+    return placed.join(sets, "node").groupBy("centre", "i", "j").applyInPandas(_linked(percent), "a long, b long")
 
 
 def near_groups(evidence: DataFrame, id_col: str = "evidence_id", text_col: str = "intake_notes", shingle: int = 5, percent: int = 80,
-                most_turns: int = 8) -> DataFrame:
+                most_turns: int = 4) -> DataFrame:
     """One row per input row: id, n (set size), part (number of its group), component (smallest id in it), and k1, k2 (hashes of id and text).
 
     1. Each text becomes a set of shingle hashes and a SuperMinHash signature;
        equal sets are one node, however many copies there are.
     2. Nodes that share a band key meet in a bucket. Members are compared
        with one pivot of their bucket, on the full sets, never all with all.
-    3. Where a bucket still holds several components, further pivots follow
-       until the pairs across components are fewer than the bucket rows
-       (or `most_turns` have passed); then all pairs across are compared, so
-       no link between texts that share a bucket is lost.
+       The first pivot is the member that meets the most others over all its
+       buckets, as a rule the text that the others were made from.
+    3. While further pivots, from other components, still find links, they
+       follow (`most_turns` at most). Then whatever shares a bucket across
+       components is compared in full, in blocks of bounded size, so no link
+       between texts that share a bucket is lost. This last step is quadratic
+       in the texts of one bucket that are near each other but not near enough.
     """
     docs = keyed(evidence.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text")
     id_type = docs.schema["id"].dataType
@@ -140,28 +199,32 @@ def near_groups(evidence: DataFrame, id_col: str = "evidence_id", text_col: str
     nodes = cut(rows.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("id"), F.min("k1").alias("k1"), F.max("keys").alias("keys"))
                 .withColumn("node", F.monotonically_increasing_id()))
     met = nodes.select("node", "n", F.explode("keys").alias("key"))
-    shared = met.groupBy("key").agg(F.min("node").alias("p"), F.max("node").alias("q")).where("p < q").select("key")
-    crowd = cut(met.join(shared, "key"))
+    shared = cut(met.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
+    bucketed = cut(met.join(shared, "key"))
+    mass = cut(bucketed.groupBy("node").agg(F.sum("c").alias("mass")))
+    crowd = cut(bucketed.drop("c").join(mass, "node"))
 
-    needed = crowd.select("node").distinct().join(nodes.select("node", "k1", "d1", "d2"), "node")
+    needed = mass.select("node").join(nodes.select("node", "k1", "d1", "d2"), "node")
     texts = docs.select("k1", "text").join(needed, "k1").dropDuplicates(["node"])
     sets = cut(texts.select("node", "d1", "d2", "text").mapInPandas(_sets(shingle), "node long, elements array<bigint>"))
 
-    links = cut(_verified(_stars(crowd.withColumn("part", F.col("node")), 0, percent), sets, percent))
-    size = crowd.count()
-    for turn in range(1, most_turns + 1):
-        members = _open_buckets(crowd, links)
-        per = members.groupBy("key", "part").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"))
-        across = per.agg(F.sum((F.col("c") * F.col("c") - F.col("cc")) / 2)).first()[0] or 0
-        if across <= size or turn == most_turns:
+    links = cut(_verified(_stars(crowd.withColumn("part", F.col("node")), -F.col("mass"), percent), sets, percent))
+    parts = components(links, "a", "b")
+    members = _open_buckets(crowd, parts)
+    for _ in range(most_turns):
+        pairs = cut(_next_stars(members, percent))
+        found = cut(_verified(pairs, sets, percent))
+        new, compared = found.count(), pairs.count()
+        if new:
+            links = links.unionByName(found)
+            parts = components(links, "a", "b")
+            members = _open_buckets(crowd, parts)
+        if 20 * new < compared:
             break
-        links = cut(links.unionByName(_verified(_stars(members, turn, percent), sets, percent)))
-    left = members.select("key", F.col("node").alias("a"), F.col("n").alias("an"), F.col("part").alias("ap"))
-    right = members.select("key", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("part").alias("bp"))
-    rest = left.join(right, "key").where("ap < bp").where(_fits("an", "bn", percent)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links = cut(links.unionByName(_verified(rest, sets, percent)))
+    found = cut(_across(members, sets, percent).distinct())
+    if not found.isEmpty():
+        parts = components(links.unionByName(found), "a", "b")
 
-    parts = components(links, "a", "b")
     named = nodes.select("node", "d1", "d2", "id").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
     lowest = named.groupBy("part").agg(F.min("id").alias("component"))
     byset = named.select("d1", "d2", "part").join(lowest, "part").select("d1", "d2", "part", "component")

@@ -43,7 +43,7 @@ def phrases(texts: list[bytes], width: int) -> tuple[np.ndarray, ...] | None:
     if len(buf) < width:
         return None
     rolling = Rolling(buf)
-    key = rolling.windows(TRIGGER)[:len(buf) - half + 1]
+    key = rolling.windows(min(TRIGGER, half))[:len(buf) - half + 1]
     key = (key & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(key), dtype=np.uint64)
     trigger = (_lowest(key, half) & np.uint64(0xFFFFFFFF)).astype(np.int64)
     ends = np.cumsum(sizes)
@@ -152,6 +152,7 @@ def repeated_passages(evidence: DataFrame, id_col: str = "evidence_id", text_col
     """
     docs = keyed(evidence.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text")
     id_type = docs.schema["id"].dataType
+    block = min(BLOCK, width // 2)
     long = docs.where(F.octet_length("text") >= width).select("k1", "k2", "text")
     parse = cut(long.mapInPandas(_parsed(width), "k1 long, k2 long, place long, core long, content long"))
     # a core that several phrases have, and whether these differ
@@ -170,11 +171,11 @@ def repeated_passages(evidence: DataFrame, id_col: str = "evidence_id", text_col
     one = dictionary.select("x.*", "core", (F.col("copies") == 1).alias("single"))
     near = may_hold(long, bit_filter(one)).where("__may").drop("__may")
     texts = cut(near.join(listed(one, "place", "core", "single"), ["k1", "k2"]).dropDuplicates(["k1", "k2"]))
-    blocks = cut(texts.mapInPandas(_opened(width, BLOCK), "k1 long, k2 long, place long, core long, single boolean, block int, hash long"))
+    blocks = cut(texts.mapInPandas(_opened(width, block), "k1 long, k2 long, place long, core long, single boolean, block int, hash long"))
     alike = blocks.groupBy("core", "block", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core", "block", "hash")
     open_ = listed(blocks.join(alike, ["core", "block", "hash"], "left_semi"), "place", "core", "single", "block")
     windows = cut(texts.select("k1", "k2", "text").join(open_, ["k1", "k2"]).mapInPandas(
-        _windows(width, BLOCK), "k1 long, k2 long, single boolean, at long, core long, hash long"))
+        _windows(width, block), "k1 long, k2 long, single boolean, at long, core long, hash long"))
     twice = windows.groupBy("core", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core", "hash")
     parts = windows.where("single").join(twice, ["core", "hash"], "left_semi").select("k1", "k2", F.col("at").alias("from"), (F.col("at") + width).alias("to"))
 
