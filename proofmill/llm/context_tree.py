@@ -14,8 +14,8 @@ from ..session import cut
 from .bytehash import _LOWER, batches, word_hashes
 from .common import whole_text
 
-DEPTH = 4
-CHUNK_BYTES = 16 << 20
+DEPTH = 3
+CHUNK_BYTES = 64 << 20
 WORD, GRAM = 0, 1
 END = 1  # key of the end token among word hashes
 
@@ -47,10 +47,33 @@ def _chunked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pdf.iloc[first:first + len(texts)].assign(chunk=chunk)
 
 
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    key, inverse = np.unique(keys, return_inverse=True)
+    return key, np.bincount(inverse, counts, len(key)).astype(np.int64)
+
+
 def _tallied(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Distinct keys of each run with their counts in training texts (0 where only held-out texts have one)."""
+    """Distinct keys of each chunk with their counts in training texts (0 where only held-out texts have one).
+
+    Counts of a chunk's runs are merged here, so a chunk sends a key about
+    once; where a file split cuts a chunk, its two halves send their own.
+    """
+    open_: dict[int, list] = {WORD: [], GRAM: []}
+    current = None
+
+    def flush() -> Iterator[pd.DataFrame]:
+        for kind, parts in open_.items():
+            if parts:
+                key, n = _merged(parts)
+                yield pd.DataFrame({"chunk": current, "kind": kind, "key": key, "n": n})
+                open_[kind] = []
+
     for pdf in frames:
         for chunk, part in pdf.groupby("chunk", sort=False):
+            if chunk != current:
+                yield from flush()
+                current = chunk
             learn = part["learn"].to_numpy(bool)
             for first, texts in batches(part["text"].tolist(), 2_000_000):
                 words, n_words = word_hashes(texts)
@@ -61,7 +84,10 @@ def _tallied(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                                          (GRAM, codes, np.repeat(mine, n_codes))):
                     key, n = np.unique(keys[used], return_counts=True)
                     other = np.unique(keys[~used])
-                    yield pd.DataFrame({"chunk": chunk, "kind": kind, "key": np.concatenate((key, other)), "n": np.concatenate((n, np.zeros(len(other), np.int64)))})
+                    open_[kind].append((np.concatenate((key, other)), np.concatenate((n, np.zeros(len(other), np.int64)))))
+                    if sum(len(k) for k, _ in open_[kind]) > 4_000_000:
+                        open_[kind] = [_merged(open_[kind])]
+    yield from flush()
 
 
 def log_gamma(x: Column) -> Column:
@@ -133,7 +159,7 @@ def _scored(total: int, distinct: int):
     below = total + 0.1 * (distinct + 1)
 
     def look(table: pd.DataFrame, kind: int):
-        mine = table[table["kind"] == kind].sort_values("key")
+        mine = table[table["kind"] == kind].drop_duplicates("key").sort_values("key")
         have, values = mine["key"].to_numpy(), mine["value"].to_numpy()
         return lambda keys: values[np.searchsorted(have, keys)]
 
@@ -158,7 +184,7 @@ def context_tree_scores(evidence: DataFrame, id_col: str = "evidence_id", text_c
     """Context-tree-weighting score of every record, learnt from the records whose crc32(id as text) mod `folds` is not 0.
 
     Texts (A-Z lowered) are bytes and one end. A byte is eight binary
-    decisions; each has a tree of contexts of 0 to 4 bytes whose nodes hold
+    decisions; each has a tree of contexts of 0 to 3 bytes whose nodes hold
     Krichevsky-Trofimov counts, and the prediction mixes all depths by their
     posterior weights (no tuning). Counts are gathered over all training
     texts as distinct keys per chunk of text, added up by key; scores return
@@ -177,14 +203,14 @@ def context_tree_scores(evidence: DataFrame, id_col: str = "evidence_id", text_c
     name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     docs = evidence.select(F.col(id_col).cast("string").alias("id"), whole_text(F.col(text_col)).alias("text"), (F.crc32(name) % folds != 0).alias("learn"))
     written = cut(docs.mapInPandas(_chunked, "id string, text string, learn boolean, chunk long"))
-    tallies = cut(written.mapInPandas(_tallied, "chunk long, kind int, key long, n long").groupBy("chunk", "kind", "key").agg(F.sum("n").alias("n")))
+    tallies = cut(written.mapInPandas(_tallied, "chunk long, kind int, key long, n long"))
     counts = cut(tallies.groupBy("kind", "key").agg(F.sum("n").alias("n")))
     words = counts.where(F.col("kind") == WORD)
     sums = words.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
     levels = tree(counts.where((F.col("kind") == GRAM) & (F.col("n") > 0)))
     values = words.select("kind", "key", F.col("n").cast("double").alias("value")).unionByName(
         gram_scores(counts.where(F.col("kind") == GRAM), levels).select(F.lit(GRAM).alias("kind"), "key", "value"))
-    tables = tallies.select("chunk", "kind", "key").join(values, ["kind", "key"])
+    tables = tallies.select("chunk", "kind", "key").join(cut(values), ["kind", "key"])
     out = written.groupBy("chunk").cogroup(tables.groupBy("chunk")).applyInPandas(
         _scored(sums["n"] or 0, sums["v"] or 0), "id string, held_out boolean, n_tokens long, n_known long, n_bytes long, base_score double, score double")
     return out.select(F.col("id").cast(id_type).alias(id_col), "held_out", "n_tokens", "n_known", F.lit(sums["n"] or 0).cast("long").alias("train_tokens"),
