@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import numeric as N
+from ..functions.joins import null_safe_join
 
 
 def confusion(df: DataFrame, keys: Sequence[str], predicted: Column, actual: Column) -> DataFrame:
@@ -54,10 +55,10 @@ def lag_correlation(a: DataFrame, b: DataFrame, keys: Sequence[str], pos: str, v
     """Normalised circular correlation of two series of a key at every lag: (keys, lag, corr)."""
     def centred(df: DataFrame) -> DataFrame:
         m = df.groupBy(*keys).agg((F.sum(value) / F.lit(length)).alias("__m"), F.sum(F.col(value) * F.col(value)).alias("__q"))
-        return df.join(m, list(keys)).select(
+        return null_safe_join(df, m, list(keys)).select(
             *keys, pos, (F.col(value) - F.col("__m")).alias("__v"), F.sqrt(F.col("__q") - F.col("__m") * F.col("__m") * length).alias("__n"))
     x, y = centred(a).alias("x"), centred(b).alias("y")
-    on = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys]
+    on = [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in keys]
     lag = F.pmod(F.col(f"x.{pos}") - F.col(f"y.{pos}"), F.lit(length))
     return x.join(y, on).groupBy(*[F.col(f"x.{k}").alias(k) for k in keys], lag.alias("lag")).agg(
         (F.sum(F.col("x.__v") * F.col("y.__v")) / (F.first(F.col("x.__n")) * F.first(F.col("y.__n")) + 1e-12)).alias("corr"))
@@ -68,9 +69,9 @@ def peak_to_energy(lags: DataFrame, keys: Sequence[str], length: int, exclusion:
     spot = F.pmod(F.col("lag") + F.lit(length // 2), F.lit(length))  # zero lag in the middle
     placed = lags.withColumn("spot", spot)
     peak = placed.groupBy(*keys).agg(F.max_by(F.struct("corr", "spot"), F.struct(F.abs("corr"), -F.col("spot"))).alias("p"))
-    away = placed.join(peak, list(keys)).where(F.abs(F.col("spot") - F.col("p.spot")) > exclusion)
+    away = null_safe_join(placed, peak, list(keys)).where(F.abs(F.col("spot") - F.col("p.spot")) > exclusion)
     energy = away.groupBy(*keys).agg(F.avg(F.col("corr") * F.col("corr")).alias("energy"))
-    out = peak.join(energy, list(keys), "left")
+    out = null_safe_join(peak, energy, list(keys), "left")
     c, e = F.col("p.corr"), F.col("energy")
     pce = F.when(e.isNull(), 0.0).when(e <= 1e-12, c * c / 1e-12).otherwise(c * c / e)
     return out.select(*keys, c.alias("peak"), (F.col("p.spot") - length // 2).alias("offset"), F.round(pce, 2).alias("pce"))

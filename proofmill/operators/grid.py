@@ -151,16 +151,28 @@ def grid_blocks(df: DataFrame, item: str, x: str, y: str, v: str, size: int, str
     return out.withColumn("__dv", dev).withColumn("mad", array_median(F.col("__dv"))).drop("__vs", "__dv")
 
 
+def beside(df: DataFrame, item: str, axis: str, other: str, v: str, chunk: int = 4096) -> DataFrame:
+    """Add __prev2, __prev, __next: the values before and after each cell along `axis`, null beyond the ends.
+
+    Lines are worked on in chunks that see two cells more on both sides, so a long line is not one task.
+    """
+    last = df.groupBy(item).agg(F.max(axis).alias("__last"))
+    sized = null_safe_join(df.select(item, axis, other, v), last, [item])
+    spread = haloed(sized, [item, other], axis, F.col("__last") + 1, 2, "none", chunk)
+    w = W.partitionBy(item, other, "__chunk").orderBy("__at")
+    found = spread.select("*", F.lag(v, 2).over(w).alias("__prev2"), F.lag(v).over(w).alias("__prev"), F.lead(v).over(w).alias("__next"))
+    return found.where("__home").drop("__at", "__home", "__chunk", "__last")
+
+
 def boundary_discontinuity(df: DataFrame, item: str, x: str, y: str, v: str, size: int = 8) -> tuple[DataFrame, DataFrame]:
     """Block map and per-item ratios of steps on block borders against steps inside.
 
-    Windows run along single grid lines, which are as long as one image side.
+    All cells count, those of incomplete blocks at the right and lower border too.
     """
     cells, totals = None, None
     for axis, other in ((y, x), (x, y)):
-        w = W.partitionBy(item, other).orderBy(axis)
-        steps = df.select(item, x, y, F.col(axis).alias("__p"), F.abs(F.col(v) - F.lag(v).over(w)).alias("__b"),
-                          F.abs(F.lag(v).over(w) - F.lag(v, 2).over(w)).alias("__i1"), F.abs(F.lead(v).over(w) - F.col(v)).alias("__i2"))
+        steps = beside(df, item, axis, other, v).select(item, x, y, F.col(axis).alias("__p"), F.abs(F.col(v) - F.col("__prev")).alias("__b"),
+                                                        F.abs(F.col("__prev") - F.col("__prev2")).alias("__i1"), F.abs(F.col("__next") - F.col(v)).alias("__i2"))
         edge = steps.where((F.col("__p") % size == 0) & (F.col("__p") > 0)).withColumn("__in", 0.5 * (F.col("__i1") + F.col("__i2")))
         half = F.greatest(F.col("__b") - F.col("__in"), F.lit(0.0)) * 0.5 / size
         axis_block = F.floor(F.col("__p") / size)
@@ -169,11 +181,10 @@ def boundary_discontinuity(df: DataFrame, item: str, x: str, y: str, v: str, siz
         cells = named if cells is None else cells.unionByName(named)
         ratio = edge.groupBy(item).agg(F.avg("__b").alias(f"edge_{axis}"), F.avg("__in").alias(f"inner_{axis}"))
         totals = ratio if totals is None else totals.join(ratio, item)
-    wx, wy = W.partitionBy(item, y).orderBy(x), W.partitionBy(item, x).orderBy(y)
-    inner = df.select(item, F.floor(F.col(y) / size).alias("by"), F.floor(F.col(x) / size).alias("bx"),
-                      F.when(F.col(x) % size > 0, F.abs(F.col(v) - F.lag(v).over(wx))).alias("dx"),
-                      F.when(F.col(y) % size > 0, F.abs(F.col(v) - F.lag(v).over(wy))).alias("dy"))
-    activity = inner.groupBy(item, "by", "bx").agg((F.avg("dx") + F.avg("dy")).alias("activity"))
+    block = [F.floor(F.col(y) / size).alias("by"), F.floor(F.col(x) / size).alias("bx")]
+    sides = {c: beside(df, item, at, other, v).where(F.col(at) % size > 0).groupBy(item, *block).agg(F.avg(F.abs(F.col(v) - F.col("__prev"))).alias(c))
+             for c, at, other in (("dx", x, y), ("dy", y, x))}
+    activity = null_safe_join(sides["dx"], sides["dy"], [item, "by", "bx"]).select(item, "by", "bx", (F.col("dx") + F.col("dy")).alias("activity"))
     raw = cells.groupBy(item, "by", "bx").agg((0.5 * F.sum("half")).alias("raw"))
     blocks = activity.join(raw, [item, "by", "bx"], "left").withColumn("raw", F.coalesce("raw", F.lit(0.0))) \
         .withColumn("strength", F.col("raw") / (1.0 + 0.15 * F.col("activity")))
@@ -184,10 +195,9 @@ def boundary_discontinuity(df: DataFrame, item: str, x: str, y: str, v: str, siz
 
 def phase_profile(df: DataFrame, item: str, x: str, y: str, v: str, period: int = 8, threshold: float = 1.35) -> DataFrame:
     """Which (row, column) phase carries the strongest steps, the aligned phase aside."""
-    wx, wy = W.partitionBy(item, y).orderBy(x), W.partitionBy(item, x).orderBy(y)
-    steps = df.select(item, x, y, F.abs(F.col(v) - F.lead(v).over(wy)).alias("dy"), F.abs(F.col(v) - F.lead(v).over(wx)).alias("dx"))
-    rows = steps.where("dy is not null").groupBy(item, (F.col(y) % period).alias("dr")).agg(F.avg("dy").alias("e_row"))
-    cols = steps.where("dx is not null").groupBy(item, (F.col(x) % period).alias("dc")).agg(F.avg("dx").alias("e_col"))
+    step = F.abs(F.col(v) - F.col("__next"))
+    rows = beside(df, item, y, x, v).where(step.isNotNull()).groupBy(item, (F.col(y) % period).alias("dr")).agg(F.avg(step).alias("e_row"))
+    cols = beside(df, item, x, y, v).where(step.isNotNull()).groupBy(item, (F.col(x) % period).alias("dc")).agg(F.avg(step).alias("e_col"))
     # period * period rows per item
     phases = rows.join(cols, item).withColumn("energy", (F.col("e_row") + F.col("e_col")) / 2.0)
     base = phases.groupBy(item).agg(F.percentile("energy", 0.5).alias("median"))
