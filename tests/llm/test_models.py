@@ -238,7 +238,7 @@ def test_trusted_text(spark, records, empty):
 def shares(rows, column):
     have = defaultdict(float)
     for r in rows:
-        have[r[column]] += r["n_tokens"] * r["probability"]
+        have[r[column]] += (r["n_tokens"] or 0) * r["probability"]
     total = sum(have.values())
     return {k: v / total for k, v in have.items()}
 
@@ -265,7 +265,7 @@ def test_mixture_targets(spark, empty):
     by = shares(rows, "source_platform")
     assert abs(by["hot"] - 0.5) < 1e-3 and abs(shares(rows, "language")["en"] - 0.3) < 1e-3
     assert [r.probability for r in rows if r.source_platform == "gone"] == [0.0]
-    drawn = sum(r.n_tokens for r in rows if r.sampled)
+    drawn = sum(r.n_tokens or 0 for r in rows if r.sampled)
     assert abs(drawn / sum(r.n_tokens or 0 for r in rows) - 0.2) < 0.03
     assert {r.evidence_id for r in rows if r.sampled} == {r.evidence_id for r in mixture(df.repartition(7), {"source_platform": {"hot": 0.5, "cold": 0.5}, "language": {"en": 0.3, "": 0.7}}, share=0.2).collect() if r.sampled}
     assert mixture(empty.withColumn("n_tokens", F.lit(1))).count() == 0
