@@ -6,7 +6,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
-SMALL = "/root/testdata/sf0.001"
+from samples import passage  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -18,14 +18,6 @@ def spark():
     yield s
 
 
-WORDS = "case evidence camera lens report note signed audit chain custody frame pixel sensor noise image hash label review finding engine".split()
-
-
-def passage(n, start=0, step=1):
-    """n words of invented prose that repeat no window of eight."""
-    return " ".join(f"{WORDS[(start + i * step) % len(WORDS)]}{(start + i * i * step) % 97}" for i in range(n))
-
-
 @pytest.fixture(scope="session")
 def records(spark):
     """Intake records with nulls, empties, copies, long and odd texts, and columns whose names clash with the operators' own."""

@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import brute
 import numpy as np
 import pytest
-from conftest import SMALL, passage
+from samples import SMALL, passage
 from pyspark.sql import functions as F
 
 from proofmill.llm import context_tree as C

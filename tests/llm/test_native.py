@@ -3,7 +3,7 @@
 import hashlib
 
 import brute
-from conftest import SMALL, passage
+from samples import SMALL, passage
 from pyspark.sql import functions as F
 
 from proofmill.llm import queries as Q

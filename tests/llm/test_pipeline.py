@@ -4,7 +4,7 @@ import re
 
 import brute
 import corpus_pipeline as P
-from conftest import SMALL
+from samples import SMALL
 from pyspark.sql import functions as F
 
 
