@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .common import BLANKS, let, pieces, shingle_hashes, steps, whole_text
+from .common import BLANKS, let, pieces, shingle_hashes, sized, steps, whole_text
 from .sketch import merged, quantile_sketch, sketch_quantiles
 
 SYMBOLS = "#*$%&|<>"
@@ -101,7 +101,7 @@ def with_base(measures: DataFrame) -> DataFrame:
 
 
 def judge(measures: DataFrame, thresholds: DataFrame, language_col: str = "language", source_col: str = "source_platform") -> DataFrame:
-    """Add kept and failed_rules by joining each text with the fences of its group."""
+    """Add kept and failed_rules by joining each text with the fences of its group; texts are not shuffled where the groups can be counted to be few."""
     keys = measures.withColumns({"__lang": F.coalesce(F.col(language_col), F.lit("")), "__from": F.coalesce(F.col(source_col), F.lit(""))})
     broken = []
     for r in RULES:
@@ -110,7 +110,8 @@ def judge(measures: DataFrame, thresholds: DataFrame, language_col: str = "langu
         if r.lower:
             bad = bad | (v < F.col(f"__lo_{r.measure}"))
         broken.append(F.when(F.coalesce(bad, F.lit(False)), F.lit(r.measure)))
-    out = keys.join(thresholds, ["__lang", "__from"], "left").withColumn("failed_rules", F.array_join(F.array(*broken), ","))
+    fences, _ = sized(thresholds)
+    out = keys.join(fences, ["__lang", "__from"], "left").withColumn("failed_rules", F.array_join(F.array(*broken), ","))
     out = out.withColumn("kept", ~F.col("base_failed") & (F.col("failed_rules") == ""))
     return out.drop("__lang", "__from", *[f"__{s}_{r.measure}" for r in RULES for s in ("lo", "hi")])
 
