@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..sources import load
 from .containment import containment_search
 from .context_tree import context_tree_scores
-from .license_scan import license_scan
+from .license_scan import TEMPLATES, license_scan
 from .mixing import layout_topic, mixture, token_count
 from .near_duplicates import near_duplicates
 from .personal_data import KINDS, personal_data
@@ -34,6 +34,21 @@ def intake(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("evidence_id"), F.col("text").alias("intake_notes"), F.col("lang").alias("language"), F.col("source").alias("source_platform"))
 
 
+def license_sql() -> str:
+    """Plain search for every unchanged template; a notice with changed words (score below 1) occurs in none of the given tables."""
+    base = " or ".join("(" + " and ".join(f"w[i + {k + 1}] = '{word}'" for k, word in enumerate(t.text.split())) + ")" for t in TEMPLATES if t.base)
+
+    def labels(chosen):
+        cases = ", ".join(f"case when contains(t, ' {t.text} ') then '{t.label}' end" for t in chosen)
+        return f"array_to_string(list_sort(list_distinct(list_filter([{cases}], lambda x: x is not null))), ',')"
+    return f"""
+with w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as w from documents),
+p as (select doc_id, w, concat(' ', array_to_string(w, ' '), ' ') as t, list_filter(range(0, len(w)), lambda i: coalesce({base}, false)) as spots from w)
+select doc_id, len(w)::bigint as n_words, len(spots)::bigint as n_base, list_min(spots)::bigint as first_word, list_max(spots)::bigint as last_word,
+  {labels([t for t in TEMPLATES if t.base])} as base_labels, {labels(TEMPLATES)} as labels, case when labels <> '' then 1.0::double else 0.0::double end as score from p"""
+
+
 @query
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(intake(spark, sf_dir)).withColumnRenamed("evidence_id", "doc_id")
@@ -101,3 +116,6 @@ def op6_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_trusted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = load(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("evidence_id"))
     return trusted_text_quality(intake(spark, sf_dir), trusted).withColumnsRenamed({"evidence_id": "doc_id", "language": "lang"})
+
+
+ORACLES["op1_license_scan"] = license_sql()
