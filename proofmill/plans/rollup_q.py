@@ -9,11 +9,9 @@ from ..functions import vectors as V
 from ..functions.numeric import row_count
 from ..operators import rollup as U
 from ..sources import load
-from ..sources.sinks import digest_sums, digest_text
 from .common import MODALITIES, OBS_DUCK, observations
 from .joins_q import label_means
 from .registry import query, r
-from .stats_q import rounded
 
 
 
