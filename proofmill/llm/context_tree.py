@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,16 +35,18 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return code[inside[:len(code)]], sizes + 1
 
 
-def _chunked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Number runs of about CHUNK_BYTES of text; a chunk never leaves its partition."""
-    chunk, size = TaskContext.get().partitionId() << 32, 0
-    for pdf in frames:
-        for first, texts in batches(pdf["text"].tolist()):
-            n = sum(map(len, texts))
-            if size and size + n > CHUNK_BYTES:
-                chunk, size = chunk + 1, 0
-            size += n
-            yield pdf.iloc[first:first + len(texts)].assign(chunk=chunk)
+def numbered(most: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Number runs of about `most` bytes of text; a chunk never leaves its partition."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chunk, size = TaskContext.get().partitionId() << 32, 0
+        for pdf in frames:
+            for first, texts in batches(pdf["text"].tolist()):
+                n = sum(map(len, texts))
+                if size and size + n > most:
+                    chunk, size = chunk + 1, 0
+                size += n
+                yield pdf.iloc[first:first + len(texts)].assign(chunk=chunk)
+    return run
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -202,7 +204,7 @@ def context_tree_scores(evidence: DataFrame, id_col: str = "evidence_id", text_c
     id_type = evidence.schema[id_col].dataType
     name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     docs = evidence.select(F.col(id_col).cast("string").alias("id"), whole_text(F.col(text_col)).alias("text"), (F.crc32(name) % folds != 0).alias("learn"))
-    written = cut(docs.mapInPandas(_chunked, "id string, text string, learn boolean, chunk long"))
+    written = cut(docs.mapInPandas(numbered(CHUNK_BYTES), "id string, text string, learn boolean, chunk long"))
     tallies = cut(written.mapInPandas(_tallied, "chunk long, kind int, key long, n long"))
     counts = cut(tallies.groupBy("kind", "key").agg(F.sum("n").alias("n")))
     words = counts.where(F.col("kind") == WORD)
