@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import pairwise
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
 from .bytehash import _LOWER, batches, word_hashes
 from .common import whole_text
 
-DEPTH = 3
+DEPTH = 6
+TOP = 3  # contexts of up to TOP bytes are nodes in Spark rows; those beyond are summed in the task that holds their last TOP bytes
 CHUNK_BYTES = 64 << 20
 WORD, GRAM = 0, 1
 END = 1  # key of the end token among word hashes
@@ -55,9 +58,31 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return key, np.bincount(inverse, counts, len(key)).astype(np.int64)
 
 
+def _ending(code: np.ndarray) -> np.ndarray:
+    return code >> 8 & ((1 << 8 * TOP) - 1)
+
+
+def packed(chunk: int, code: np.ndarray, n: np.ndarray) -> Iterator[pd.DataFrame]:
+    """One row per last TOP context bytes (key): the other bytes of its codes as 4-byte numbers, and their counts."""
+    ending = _ending(code)
+    order = np.argsort(ending, kind="stable")
+    ending, short, n = ending[order], (code >> 8 * (TOP + 1) << 8 | code & 255)[order].astype(np.uint32), n[order].astype(np.uint32)
+    bounds = np.concatenate((np.flatnonzero(np.diff(ending, prepend=-1)), [len(ending)])).tolist()
+    for first in range(0, len(bounds) - 1, 2000):
+        runs = list(pairwise(bounds[first:first + 2001]))
+        yield pd.DataFrame({"chunk": chunk, "kind": GRAM, "key": [int(ending[a]) for a, _ in runs], "n": 0,
+                            "codes": [short[a:b].tobytes() for a, b in runs], "counts": [n[a:b].tobytes() for a, b in runs]})
+
+
+def unpacked(ending: int, codes: bytes) -> np.ndarray:
+    short = np.frombuffer(codes, np.uint32).astype(np.int64)
+    return short >> 8 << 8 * (TOP + 1) | ending << 8 | short & 255
+
+
 def _tallied(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Distinct keys of each chunk with their counts in training texts (0 where only held-out texts have one).
 
+    Words are rows of their own; contexts are packed by their last TOP bytes.
     Counts of a chunk's runs are merged here, so a chunk sends a key about
     once; where a file split cuts a chunk, its two halves send their own.
     """
@@ -68,8 +93,11 @@ def _tallied(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for kind, parts in open_.items():
             if parts:
                 key, n = _merged(parts)
-                yield pd.DataFrame({"chunk": current, "kind": kind, "key": key, "n": n})
                 open_[kind] = []
+                if kind == WORD:
+                    yield pd.DataFrame({"chunk": current, "kind": kind, "key": key, "n": n, "codes": None, "counts": None})
+                else:
+                    yield from packed(current, key, n)
 
     for pdf in frames:
         for chunk, part in pdf.groupby("chunk", sort=False):
@@ -92,81 +120,177 @@ def _tallied(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield from flush()
 
 
-def log_gamma(x: Column) -> Column:
-    """ln of the gamma function for x >= 0.5: Stirling's series behind a shift by 8."""
+def log_gamma(x, log=F.log):
+    """ln of the gamma function for x >= 0.5 (a column, or numbers with their own log): Stirling's series behind a shift by 8."""
     y = x + 8.0
-    series = (y - 0.5) * F.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y)
+    series = (y - 0.5) * log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y)
     product = x
     for k in range(1, 8):
         product = product * (x + float(k))
-    return series - F.log(product)
+    return series - log(product)
+
+
+def _own(n0, n1, log=F.log):
+    """ln of a node's Krichevsky-Trofimov probability."""
+    return log_gamma(n0 + 0.5, log) + log_gamma(n1 + 0.5, log) - 1.1447298858494002 - log_gamma(n0 + n1 + 1.0, log)
+
+
+class Level(NamedTuple):
+    """Nodes of one depth for one of a byte's eight decisions, by key (context and the bits before, with a leading 1)."""
+    key: np.ndarray
+    n0: np.ndarray
+    n1: np.ndarray
+    pw: np.ndarray
+    share: np.ndarray
 
 
-def _bits(rows: DataFrame) -> DataFrame:
-    """One row per binary decision of the predicted byte: u (the bits before, with a leading 1) and bit."""
-    b = F.col("key").bitwiseAND(255)
-    each = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.struct(
-        (F.pow(F.lit(2), k) + F.floor(b / F.pow(F.lit(2), 8 - k))).cast("int").alias("u"),
-        (F.floor(b / F.pow(F.lit(2), 7 - k)) % 2).cast("int").alias("bit")))
-    return rows.withColumn("x", F.explode(each)).withColumns({"u": F.col("x.u"), "bit": F.col("x.bit")}).drop("x")
+def _decision(code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, bit) of the k-th decision of the predicted byte."""
+    b = code & 255
+    return code >> 8 << 8 | 1 << k | b >> 8 - k, b >> 7 - k & 1
 
 
-def _context(depth: int) -> Column:
-    """The last `depth` bytes before the predicted one."""
-    return F.shiftright(F.col("key"), 8).bitwiseAND((1 << 8 * depth) - 1)
+def _mask(depth: int) -> int:
+    return (1 << 8 * (depth + 1)) - 1
 
 
-def tree(counts: DataFrame) -> list[DataFrame]:
-    """Nodes of all depths, deepest last: (c, u, share, p) with the weight of a node's own estimate and that estimate for a 1.
+def lower_levels(code: np.ndarray, n: np.ndarray, k: int) -> list[Level]:
+    """Nodes of depths DEPTH to TOP, deepest first. `code` holds all codes of a context's last TOP bytes, or none."""
+    key, bit = _decision(code, k)
+    key, at = np.unique(key, return_inverse=True)
+    n0, n1 = np.bincount(at, n * (bit == 0.0), len(key)), np.bincount(at, n * (bit == 1.0), len(key))
+    out = [Level(key, n0, n1, _own(n0, n1, np.log), np.ones(len(key)))]
+    for depth in range(DEPTH - 1, TOP - 1, -1):
+        key, at = np.unique(out[-1].key & _mask(depth), return_inverse=True)
+        n0, n1, below = (np.bincount(at, x, len(key)) for x in (out[-1].n0, out[-1].n1, out[-1].pw))
+        own = _own(n0, n1, np.log)
+        out.append(Level(key, n0, n1, np.logaddexp(own, below) - np.log(2), 1 / (1 + np.exp(np.minimum(700.0, below - own)))))
+    return out
+
+
+def _at(have: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of `keys` among sorted `have`, whether they are there)."""
+    if not len(have):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+    return at, have[at] == keys
+
+
+def _whole(frames: Iterator[pd.DataFrame], most: int = 500_000) -> Iterator[list]:
+    """Runs of rows, sorted by key, that hold whole keys and about `most` codes."""
+    run, size = [], 0
+    for pdf in frames:
+        for row in pdf.itertuples(index=False):
+            if size > most and row.key != run[-1].key:
+                yield run
+                run, size = [], 0
+            run.append(row)
+            size += len(row.codes or b"") // 4
+    if run:
+        yield run
+
+
+def _learnt(run: list) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes of some packed rows, with their counts added up."""
+    return _merged([(unpacked(r.key, r.codes), np.frombuffer(r.counts, np.uint32).astype(np.int64)) for r in run])
+
+
+def _middle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Nodes of depth TOP: (c, u, n0, n1, pw); those that only held-out texts ask for have no counts."""
+    for run in _whole(frames):
+        code, n = _learnt(run)
+        for k in range(8):
+            level = lower_levels(code[n > 0], n[n > 0], k)[-1]
+            asked = np.unique(_decision(code, k)[0] & _mask(TOP))
+            at, there = _at(level.key, asked)
+            values = {c: (np.where(there, getattr(level, c)[at], 0.0) if len(level.key) else np.zeros(len(asked))) for c in ("n0", "n1", "pw")}
+            yield pd.DataFrame({"c": asked >> 8, "u": (asked & 255).astype(np.int32), **values})
+
+
+def _valued(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """log10 probability of the predicted byte of every code of every chunk: eight decisions, each mixed over all depths."""
+    for run in _whole(frames):
+        rows = [r for r in run if r.codes is not None]
+        if not rows:
+            continue
+        upper = [r for r in run if r.codes is None]
+        have = np.concatenate([r.key << 8 | np.asarray(r.us, np.int64) for r in upper])
+        order = np.argsort(have)
+        have, base, left = have[order], *(np.concatenate([np.asarray(getattr(r, c), float) for r in upper])[order] for c in ("ps", "rests"))
+        code, n = _learnt(rows)
+        total = np.zeros(len(code))
+        for k in range(8):
+            key, bit = _decision(code, k)
+            p = np.full(len(code), 0.5)
+            for depth, level in zip(range(DEPTH, TOP - 1, -1), lower_levels(code[n > 0], n[n > 0], k), strict=True):
+                at, there = _at(level.key, key & _mask(depth))
+                share, own = np.full(len(p), 0.5), np.full(len(p), 0.5)
+                at = at[there]
+                share[there], own[there] = level.share[at], (level.n1[at] + 0.5) / (level.n0[at] + level.n1[at] + 1)
+                p = share * own + (1 - share) * p
+            at = np.searchsorted(have, key & _mask(TOP))
+            p = base[at] + left[at] * p
+            total += np.log10(np.where(bit == 1, p, 1 - p))
+        for first in range(0, len(rows), 2000):
+            part = rows[first:first + 2000]
+            yield pd.DataFrame({"chunk": [r.chunk for r in part], "key": [r.key for r in part], "codes": [r.codes for r in part],
+                                "values": [total[np.searchsorted(code, unpacked(r.key, r.codes))].tobytes() for r in part]})
+
+
+def upper_levels(middle: DataFrame) -> DataFrame:
+    """(c, u, p, rest): for every node of depth TOP, what the depths before TOP give to the probability of a 1, and the weight they leave to the others.
 
     A node holds the counts of one binary decision in one context. Its
     weighted probability is half its Krichevsky-Trofimov estimate and half
     the product of its children's; the share of its own estimate in that sum
     is its weight when it predicts.
     """
-    n = F.col("n").cast("double")
-    deepest = _bits(counts).groupBy(_context(DEPTH).alias("c"), "u").agg(F.sum(F.when(F.col("bit") == 0, n).otherwise(0.0)).alias("n0"),
-                                                                       F.sum(F.when(F.col("bit") == 1, n).otherwise(0.0)).alias("n1"))
-    kt = log_gamma(F.col("n0") + 0.5) + log_gamma(F.col("n1") + 0.5) - 1.1447298858494002 - log_gamma(F.col("n0") + F.col("n1") + 1.0)
+    own = _own(F.col("n0"), F.col("n1"))
     estimate = ((F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1)).alias("p")
     # sums of logarithms as decimals: the same whatever order the rows come in
-    nodes = cut(deepest.withColumn("pw", kt.cast("decimal(38,12)")))
-    levels = [nodes.select("c", "u", F.lit(1.0).alias("share"), estimate)]
-    for depth in range(DEPTH - 1, -1, -1):
+    nodes = middle.where(F.col("n0") + F.col("n1") > 0).withColumn("pw", F.col("pw").cast("decimal(38,12)"))
+    levels = []
+    for depth in range(TOP - 1, -1, -1):
         up = nodes.groupBy(F.col("c").bitwiseAND((1 << 8 * depth) - 1).alias("c"), "u").agg(
-            F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("pw").cast("double").alias("below")).withColumn("kt", kt)
+            F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("pw").cast("double").alias("below")).withColumn("kt", own)
         more = F.greatest("kt", "below")
         pw = more + F.log1p(F.exp(-F.abs(F.col("kt") - F.col("below")))) - 0.6931471805599453
         nodes = cut(up.withColumns({"pw": pw.cast("decimal(38,12)"), "share": 1 / (1 + F.exp(F.least(F.lit(700.0), F.col("below") - F.col("kt"))))}))
         levels.insert(0, nodes.select("c", "u", "share", estimate))
-    return levels
-
-
-def gram_scores(keys: DataFrame, levels: list[DataFrame]) -> DataFrame:
-    """log10 probability of the predicted byte of every key: the product of its eight decisions, each mixed over all depths."""
-    rows = _bits(keys.select("key"))
+    rows = middle.select("c", "u")
     for depth, nodes in enumerate(levels):
         named = nodes.select(F.col("c").alias(f"c{depth}"), "u", F.col("share").alias(f"s{depth}"), F.col("p").alias(f"p{depth}"))
         named = F.broadcast(named) if depth < 2 else named  # at most 255 nodes in each of 256 contexts
-        rows = rows.withColumn(f"c{depth}", _context(depth)).join(named, [f"c{depth}", "u"], "left")
-    p = F.lit(0.5)
-    for depth in range(DEPTH, -1, -1):
+        rows = rows.withColumn(f"c{depth}", F.col("c").bitwiseAND((1 << 8 * depth) - 1)).join(named, [f"c{depth}", "u"], "left")
+    p, rest = F.lit(0.0), F.lit(1.0)
+    for depth in range(TOP - 1, -1, -1):
         share = F.coalesce(f"s{depth}", F.lit(0.5))
-        p = share * F.coalesce(f"p{depth}", F.lit(0.5)) + (1 - share) * p
-    chosen = F.log10(F.when(F.col("bit") == 1, p).otherwise(1 - p))
-    return rows.groupBy("key").agg(F.sum(chosen.cast("decimal(38,16)")).cast("double").alias("value"))
+        p, rest = share * F.coalesce(f"p{depth}", F.lit(0.5)) + (1 - share) * p, (1 - share) * rest
+    return rows.select("c", "u", p.alias("p"), rest.alias("rest"))
+
+
+def gram_values(grams: DataFrame) -> DataFrame:
+    """(chunk, key, codes, values) for packed rows (chunk, key, codes, counts): what they predict, learnt from all of them."""
+    by_key = lambda rows: rows.repartition("key").sortWithinPartitions("key")
+    middle = cut(by_key(grams.select("key", "codes", "counts")).mapInPandas(_middle, "c long, u int, n0 double, n1 double, pw double"))
+    upper = upper_levels(middle).groupBy(F.col("c").alias("key")).agg(F.collect_list(F.struct("u", "p", "rest")).alias("x"))  # at most 255 in each
+    both = grams.select("chunk", "key", "codes", "counts").unionByName(upper.select("key", F.col("x.u").alias("us"), F.col("x.p").alias("ps"), F.col("x.rest").alias("rests")), allowMissingColumns=True)
+    return by_key(both).mapInPandas(_valued, "chunk long, key long, codes binary, values binary")
 
 
 def _scored(total: int, distinct: int):
     below = total + 0.1 * (distinct + 1)
 
-    def look(table: pd.DataFrame, kind: int):
-        mine = table[table["kind"] == kind].drop_duplicates("key").sort_values("key")
-        have, values = mine["key"].to_numpy(), mine["value"].to_numpy()
+    def look(have: np.ndarray, values: np.ndarray):
+        have, first = np.unique(have, return_index=True)
+        values = values[first]
         return lambda keys: values[np.searchsorted(have, keys)]
 
     def run(part: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-        word, gram = look(table, WORD), look(table, GRAM)
+        words, packs = table[table["kind"] == WORD], table[table["kind"] == GRAM]
+        word = look(words["key"].to_numpy(np.int64), words["value"].to_numpy(float))
+        gram = look(np.concatenate([unpacked(k, c) for k, c in zip(packs["key"].tolist(), packs["codes"], strict=True)]),
+                    np.concatenate([np.frombuffer(v) for v in packs["values"]]))
         ids, out = part["id"].to_numpy(), []
         for first, texts in batches(part["text"].tolist()):
             words, n_words = word_hashes(texts)
@@ -186,12 +310,13 @@ def context_tree_scores(evidence: DataFrame, id_col: str = "evidence_id", text_c
     """Context-tree-weighting score of every record, learnt from the records whose crc32(id as text) mod `folds` is not 0.
 
     Texts (A-Z lowered) are bytes and one end. A byte is eight binary
-    decisions; each has a tree of contexts of 0 to 3 bytes whose nodes hold
+    decisions; each has a tree of contexts of 0 to 6 bytes whose nodes hold
     Krichevsky-Trofimov counts, and the prediction mixes all depths by their
     posterior weights (no tuning). Counts are gathered over all training
-    texts as distinct keys per chunk of text, added up by key; scores return
-    to the chunks the same way, so neither counts nor texts ever meet in one
-    task or on the driver, and a chunk is bounded by its bytes.
+    texts as distinct keys per chunk of text, contexts packed by their last
+    three bytes, and added up by key; scores return to the chunks the same
+    way, so neither counts nor texts ever meet in one task or on the driver,
+    and a chunk is bounded by its bytes.
 
     Returns `id_col`, held_out, n_tokens (words and the end), n_known,
     train_tokens, base_score (unigram baseline, log10), score (log10
@@ -205,14 +330,12 @@ def context_tree_scores(evidence: DataFrame, id_col: str = "evidence_id", text_c
     name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     docs = evidence.select(F.col(id_col).cast("string").alias("id"), whole_text(F.col(text_col)).alias("text"), (F.crc32(name) % folds != 0).alias("learn"))
     written = cut(docs.mapInPandas(numbered(CHUNK_BYTES), "id string, text string, learn boolean, chunk long"))
-    tallies = cut(written.mapInPandas(_tallied, "chunk long, kind int, key long, n long"))
-    counts = cut(tallies.groupBy("kind", "key").agg(F.sum("n").alias("n")))
-    words = counts.where(F.col("kind") == WORD)
+    tallies = cut(written.mapInPandas(_tallied, "chunk long, kind int, key long, n long, codes binary, counts binary"))
+    asked = tallies.where(F.col("kind") == WORD).select("chunk", "key", "n")
+    words = cut(asked.groupBy("key").agg(F.sum("n").alias("n")))
     sums = words.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
-    levels = tree(counts.where((F.col("kind") == GRAM) & (F.col("n") > 0)))
-    values = words.select("kind", "key", F.col("n").cast("double").alias("value")).unionByName(
-        gram_scores(counts.where(F.col("kind") == GRAM), levels).select(F.lit(GRAM).alias("kind"), "key", "value"))
-    tables = tallies.select("chunk", "kind", "key").join(cut(values), ["kind", "key"])
+    tables = asked.select("chunk", "key").join(words, "key").select("chunk", F.lit(WORD).alias("kind"), "key", F.col("n").cast("double").alias("value")).unionByName(
+        gram_values(tallies.where(F.col("kind") == GRAM)).withColumn("kind", F.lit(GRAM)), allowMissingColumns=True)
     out = written.groupBy("chunk").cogroup(tables.groupBy("chunk")).applyInPandas(
         _scored(sums["n"] or 0, sums["v"] or 0), "id string, held_out boolean, n_tokens long, n_known long, n_bytes long, base_score double, score double")
     return out.select(F.col("id").cast(id_type).alias(id_col), "held_out", "n_tokens", "n_known", F.lit(sums["n"] or 0).cast("long").alias("train_tokens"),

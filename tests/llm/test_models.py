@@ -174,6 +174,15 @@ def test_context_tree_equals_recursion(spark):
     assert np.allclose([got[i] for i in ids], tree_scores(learn, texts), atol=1e-6)
 
 
+def test_context_tree_sees_long_words(spark):
+    """What follows "abc" depends on the bytes four to six before: three bytes of context cannot tell, six can."""
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(("pqrabcx", "stuabcy")[b] for b in rng.integers(0, 2, 60))) for i in range(60)]
+    df = spark.createDataFrame(rows, "evidence_id long, intake_notes string")
+    # one bit a word of seven letters and a blank is left to guess
+    assert np.mean([r.bits_per_byte for r in C.context_tree_scores(df).collect() if r.held_out]) < 0.2
+
+
 def test_context_tree_records(records, empty):
     rows = C.context_tree_scores(records).collect()
     assert len(rows) == records.count() and all(r.score < 0 and r.n_tokens >= 1 for r in rows)
