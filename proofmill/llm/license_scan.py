@@ -72,9 +72,9 @@ def document_frequency(evidence: DataFrame, vocabulary: Sequence[str], text_col:
 
 
 def rare_words(template: Template, idf: Mapping[str, float], most: int) -> list[tuple[str, int]]:
-    """The template's `most` highest-IDF words with their offsets (ties: the earlier word)."""
+    """The `most` highest-IDF words, with their offsets, among those that must stand (ties: the earlier word)."""
     words = template.text.split()
-    order = sorted(range(len(words)), key=lambda i: (-idf[words[i]], i))
+    order = sorted(must_stand(template), key=lambda i: (-idf[words[i]], i))
     return [(words[i], i) for i in sorted(order[:most])]
 
 
@@ -85,6 +85,12 @@ def _phrase_places(words: list[str], phrase: str) -> list[int]:
     return list(range(at, at + len(p)))
 
 
+def must_stand(template: Template) -> list[int]:
+    """Offsets of the words without which a start never counts: those of the key phrases, or all."""
+    words = template.text.split()
+    return sorted({i for p in template.mandatory for i in _phrase_places(words, p)}) if template.mandatory else list(range(len(words)))
+
+
 def _starts(word: str, offset: int) -> Column:
     """Starts that the postings of one rare word point to."""
     return F.transform(F.filter(F.col("__hits"), lambda x: x["w"] == word), lambda x: x["i"] - offset)
@@ -95,9 +101,10 @@ def license_scan(evidence: DataFrame, id_col: str = "evidence_id", text_col: str
     """Licence labels of every intake record.
 
     The index holds, for each template, the postings (offsets) of its `rare`
-    words with the highest IDF, the IDF being counted over all records. The
-    places of these words in a record, shifted by the postings, intersect in
-    candidate starts; a start counts when the share of template words at their
+    words with the highest IDF among those of its key phrases (of all, without
+    key phrases), the IDF being counted over all records. The places of these
+    words in a record, shifted by the postings, are the candidate starts; as
+    these words must stand, no start that counts is missed. A start counts when the share of template words at their
     relative place reaches `agreement` and every key phrase stands unchanged.
     Short templates without key phrases must stand unchanged as a whole.
 
@@ -125,7 +132,7 @@ def license_scan(evidence: DataFrame, id_col: str = "evidence_id", text_col: str
     def found(t: Template, rare_at: list[tuple[str, int]]) -> Column:
         """Places (start, share) where the template stands."""
         text = t.text.split()
-        fixed = sorted({i for p in t.mandatory for i in _phrase_places(text, p)}) if t.mandatory else list(range(len(text)))
+        fixed = must_stand(t)
         least = agreement if t.mandatory else 1.0
         literal = F.array(*[F.lit(w) for w in text])
         shifted = [_starts(w, o) for w, o in rare_at]
