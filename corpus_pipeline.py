@@ -32,10 +32,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage. A null doc_id counts as an id of its own kind."""
+    """Documents that hold no benchmark passage. Documents go by id and text: one that shares its id, or has none, stays if its own text is clean."""
     items = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("reference_id"), F.col("text").alias("reference_text"))
-    hits = containment_search(docs, items, "doc_id", "text").select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hits, F.col("doc_id").eqNullSafe(F.col("__hit")), "left_anti")
+    key = F.struct("doc_id", F.xxhash64(F.lit(1), "text").alias("a"), F.xxhash64("text", F.lit(2)).alias("b"))
+    rows = docs.select(F.to_json(key, {"ignoreNullFields": "false"}).alias("__key"), "text")
+    hits = containment_search(rows, items, "__key", "text").select(F.col("__key").alias("__hit")).distinct()
+    return docs.join(hits, F.to_json(key, {"ignoreNullFields": "false"}) == F.col("__hit"), "left_anti")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

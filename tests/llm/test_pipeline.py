@@ -54,6 +54,14 @@ def test_stages(spark):
     assert mixed.columns == [*columns, "weight", "probability"] and 0 < mixed.count() < safe.count()
 
 
+def test_decontamination_goes_by_text(spark):
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").first().text
+    schema = spark.read.parquet(f"{SMALL}/documents.parquet").schema
+    rows = [(i, t, "en", "s", len(t)) for i, t in ((None, item), (None, "clean one"), (7, item), (7, "clean two"), (8, "clean three"))]
+    kept = P.decontamination(spark, spark.createDataFrame(rows, schema), SMALL)
+    assert sorted(r.text for r in kept.collect()) == ["clean one", "clean three", "clean two"]
+
+
 def test_odd_and_empty(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     odd = docs.limit(30).unionByName(docs.limit(30)).unionByName(spark.createDataFrame(
