@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 
 
@@ -107,3 +108,89 @@ def contained(docs, items, n=5, share=0.8):
         have = cut(t)
         out |= {(d, i, len(w), len(w & have)) for i, w in wanted if w and len(w & have) >= share * len(w)}
     return out
+
+
+def planted_tail(doc_id, text):
+    """Words of a text, with the periodic tail that the contract gives to some ids."""
+    w = words_of(text)
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not w:
+        return w
+    g, n = h // 10, len(w)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [x if i < a else w[a + (i - a) % p] for i, x in enumerate(w)]
+
+
+def runs(w, least=12):
+    """All maximal stretches with smallest period q and at least max(least, 2 q) words: (start, length, q)."""
+    out = []
+    for q in range(1, len(w) // 2 + 1):
+        i = 0
+        while i < len(w) - q:
+            j = i
+            while j < len(w) - q and w[j] == w[j + q]:
+                j += 1
+            s, n = i, j + q - i
+            if j > i and n >= max(least, 2 * q) and not any(w[s:s + n - d] == w[s + d:s + n] for d in range(1, q)):
+                out.append((s, n, q))
+            i = max(j, i + 1)
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def without_runs(w, found):
+    gone = {i for s, n, q in found for i in range(s + q, s + n)}
+    return " ".join(x for i, x in enumerate(w) if i not in gone)
+
+
+def sha(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def leaf(*fields):
+    return sha(*["-" if f is None else f"{len(str(f).encode())}:{f}" for f in fields])
+
+
+def tree(nodes, fanout=2):
+    """(root, for every node its siblings as (left, right) from the bottom up)."""
+    paths, at = [[] for _ in nodes], list(range(len(nodes)))
+    while len(nodes) > 1:
+        for k, a in enumerate(at):
+            first = a - a % fanout
+            paths[k].append(("".join(nodes[first:a]), "".join(nodes[a + 1:first + fanout])))
+        nodes = [sha(*nodes[i:i + fanout]) for i in range(0, len(nodes), fanout)]
+        at = [a // fanout for a in at]
+    return nodes[0], paths
+
+
+def merkle(rows, fanout=2):
+    """rows: (tree, id, leaf, leaf as found) -> (id, leaf, subroot, root, siblings, folded root), in any order."""
+    order = lambda v: (v is not None, str(v).encode() if not isinstance(v, int) else v)
+    groups = {}
+    for r in sorted(rows, key=lambda r: (order(r[0] if r[0] is None else str(r[0])), order(r[1]), r[2])):
+        groups.setdefault(r[0], []).append(r)
+    subs = {k: tree([r[2] for r in v], fanout) for k, v in groups.items()}
+    root, tops = tree([s for s, _ in subs.values()], fanout) if subs else (None, [])
+    out = []
+    for (key, members), top in zip(groups.items(), tops, strict=True):
+        for (_, i, h, seen), path in zip(members, subs[key][1], strict=True):
+            path, fold = path + top, seen
+            for left, right in path:
+                fold = sha(left, fold, right)
+            out.append((i, h, subs[key][0], root, path, fold))
+    return out
+
+
+def cross_parse(text, learnt, segment):
+    """Phrases of a text: each the longest string from where the last one ended that `learnt` holds, a byte that it does not hold alone."""
+    n = 0
+    for first in range(0, len(text), segment):
+        part = text[first:first + segment]
+        i = 0
+        while i < len(part):
+            j = i + 1
+            while j <= len(part) and part[i:j] in learnt:
+                j += 1
+            i = max(j - 1, i + 1)
+            n += 1
+    return n
