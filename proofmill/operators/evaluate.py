@@ -51,19 +51,6 @@ def reference_pattern(df: DataFrame, source: str, pos: str, residual: str, inten
     return centred.select(source, pos, F.when(F.col("sd") > 1e-12, F.col("k") / F.col("sd")).otherwise(F.col("k")).alias("k"))
 
 
-def lag_correlation(a: DataFrame, b: DataFrame, keys: Sequence[str], pos: str, value: str, length: int) -> DataFrame:
-    """Normalised circular correlation of two series of a key at every lag: (keys, lag, corr)."""
-    def centred(df: DataFrame) -> DataFrame:
-        m = df.groupBy(*keys).agg((F.sum(value) / F.lit(length)).alias("__m"), F.sum(F.col(value) * F.col(value)).alias("__q"))
-        return null_safe_join(df, m, list(keys)).select(
-            *keys, pos, (F.col(value) - F.col("__m")).alias("__v"), F.sqrt(F.col("__q") - F.col("__m") * F.col("__m") * length).alias("__n"))
-    x, y = centred(a).alias("x"), centred(b).alias("y")
-    on = [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in keys]
-    lag = F.pmod(F.col(f"x.{pos}") - F.col(f"y.{pos}"), F.lit(length))
-    return x.join(y, on).groupBy(*[F.col(f"x.{k}").alias(k) for k in keys], lag.alias("lag")).agg(
-        (F.sum(F.col("x.__v") * F.col("y.__v")) / (F.first(F.col("x.__n")) * F.first(F.col("y.__n")) + 1e-12)).alias("corr"))
-
-
 def peak_to_energy(lags: DataFrame, keys: Sequence[str], length: int, exclusion: int = 5) -> DataFrame:
     """Largest |correlation| (reported signed), its offset, and peak^2 over the mean energy away from it."""
     spot = F.pmod(F.col("lag") + F.lit(length // 2), F.lit(length))  # zero lag in the middle

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import correlation as P
 from ..operators import evaluate as E
 from ..operators import grid as G
+from ..session import cut
 from ..sources import load
 from .registry import query, r
 from .stats_q import rounded
@@ -139,10 +141,26 @@ def peak_to_energy_q(spark, d):
     """Daily view sums against daily click sums of eight user groups, folded to 30 days."""
     day = F.pmod(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86_400_000_000) - 19723, F.lit(30))
     e = load(spark, d, "events").groupBy("event_type", (F.col("user_id") % 8).alias("grp"), day.alias("pos")).agg(F.sum("value").alias("v"))
-    lags = E.lag_correlation(e.where("event_type = 'view'"), e.where("event_type = 'click'"), ["grp"], "pos", "v", 30)
+    lags = cut(P.series_correlation(e.where("event_type = 'view'"), e.where("event_type = 'click'"), ["grp"], "pos", "v", 30))
     return E.peak_to_energy(lags, ["grp"], 30).withColumn("peak", F.round("peak", 6))
 
 
+@query("a25_pattern_peak", f"""with {GRID_SQL}, st as (select item, avg(v) as m, sqrt(sum((v - avg_v) ** 2)) as nn from (select *, avg(v) over (partition by item) as avg_v from g) group by 1),
+x as (select item, y, x, n, v - m as v, nn from g join st using (item) where item <> 'click'), k as (select y, x, v - m as v, nn from g join st using (item) where item = 'click'),
+l as (select x.item, (x.y - k.y + 64) % 64 as ly, (x.x - k.x + n) % n as lx, any_value(n) as n, sum(x.v * k.v) / (any_value(x.nn) * any_value(k.nn) + 1e-12) as c from x, k group by 1, 2, 3),
+s as (select item, (ly + 32) % 64 as py, (lx + n // 2) % n as px, n, c from l), p as (select item, arg_max(struct_pack(py, px, c), (abs(c), -py, -px)) as b, any_value(n) as n from s group by 1)
+select p.item, {r('b.c')} as peak, (b.py - 32)::bigint as offset_y, (b.px - n // 2)::bigint as offset_x,
+  round(b.c ** 2 / (select avg(c * c) from s where s.item = p.item and not (abs(s.py - b.py) <= 5 and abs(s.px - b.px) <= 5)), 2) as pce from p""")
+def pattern_peak_q(spark, d):
+    """Activity planes (user class by six-hour bucket) of every event type against that of clicks."""
+    g = cut(grid(spark, d))
+    width = g.agg(F.max("n")).first()[0]
+    mine, clicks = g.where("item <> 'click'"), g.where("item = 'click'").drop("item")
+    theirs = mine.select("item").distinct().join(F.broadcast(clicks))  # 64 rows of cells for each event type
+    surface = cut(P.pattern_correlation(mine, theirs, ["item"], "y", "x", "v", 64, width))
+    return P.pattern_peak(surface, ["item"], 64, width).withColumn("peak", F.round("peak", 6))
+
+
 # ---- grids ----
 
 # sums of cents over 64 cells often end on an exact half: both sides are nudged off it

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -173,6 +174,23 @@ def custom_measure(spark, d):
     return rounded(parts.groupBy("user_id").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("peak").alias("peak")), 4)
 
 
+_CROWD = "case when user_id % 10 < 6 then -1 else user_id end"
+
+
+@query("x02_whole_key_measure", f"select {_CROWD} as sensor, count(*) as n, {r('median(value)')} as median, {r('mad(value)')} as spread from events group by 1")
+def whole_key_measure(spark, d):
+    """Median absolute deviation by user code: it does not merge from parts, and one key holds 60 % of the users."""
+    def spread(frames):
+        def median(value):
+            found = M.order_statistics(frames, value, lambda n: ((n - 1) // 2, n // 2))
+            return sum(found) / 2 if found else None
+        middle = median(lambda pdf: pdf["value"].to_numpy(float))
+        mad = None if middle is None else median(lambda pdf: abs(pdf["value"].to_numpy(float) - middle))
+        return pd.DataFrame({"sensor": [frames.key[0]], "n": [frames.rows], "median": [middle], "spread": [mad]})
+    e = load(spark, d, "events").select(F.expr(_CROWD).alias("sensor"), "value")
+    return rounded(M.whole_key_measure(e, ["sensor"], spread, "sensor long, n long, median double, spread double", keep=True))
+
+
 SPECS = (
     R.MeasureSpec("view", ("$.mean_error", "$.statistics.mean"), 50.0, "elevated", "informational"),
     R.MeasureSpec("click", ("$.band_statistics.high",), 20.0, "informational", "suppressed"),
