@@ -50,11 +50,14 @@ def exact_duplicates(spark, d):
     return M.duplicate_links(docs, "doc_id", "h")
 
 
-_COUNTS = ", ".join(f"(length(text) - length(replace(text, '{c}', '')))::integer" for c in S.SIGNATURE_SYMBOLS)
-SIGNATURE_SQL = f"""with counts as (select doc_id, n_chars, [{_COUNTS}] as c from documents),
-sig as (select doc_id, c, n_chars::double / (c[63] + 1) as aspect, list_stddev_pop(c) as texture from counts),
-tex as (select * from sig where texture >= 8),
-bits as (select doc_id, aspect, list_aggregate(list_transform(range(1, 65), lambda i: case when c[i + 1] >= c[i] then '1' else '0' end), 'string_agg', '') as h from tex),
+_ONES = ", ".join(f"sum((v >> {b}) & 1) as o{b}" for b in range(64))
+_BITS = ", ".join(f"case when 2 * o{b} >= shingles then '1' else '0' end" for b in range(64))
+SIGNATURE_SQL = f"""with wd as (select doc_id, n_chars, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+hd as (select doc_id, n_chars, len(w) as words, list_transform(w, lambda x: md5_number_lower(x)) as h from wd where len(w) > 0),
+sh as (select doc_id, n_chars, words, unnest(list_distinct(list_transform(range(1, greatest(words - 2, 1) + 1), lambda i: xor(h[i], xor(
+  coalesce((h[i + 1] >> 43) | ((h[i + 1] & 8796093022207) << 21), 0::ubigint), coalesce((h[i + 2] >> 22) | ((h[i + 2] & 4194303) << 42), 0::ubigint)))))) as v from hd),
+on1 as (select doc_id, n_chars, words, count(*) as shingles, {_ONES} from sh group by 1, 2, 3),
+bits as (select doc_id, n_chars::double / words as aspect, concat({_BITS}) as h from on1 where shingles >= 8),
 rep as (select h, aspect, min(doc_id) as id, count(*) as copies from bits group by all)"""
 NEAR_SQL = f"""{SIGNATURE_SQL}
 select a.id as item_a, b.id as item_b, hamming(a.h, b.h)::integer as distance, a.copies as copies_a, b.copies as copies_b,
@@ -64,12 +67,9 @@ from rep a join rep b on a.id < b.id and hamming(a.h, b.h) <= 3
 
 
 def document_signatures(spark, d):
-    """doc_id, 64-bit difference hash of symbol counts, aspect and texture."""
-    c = F.col("c")
-    docs = load(spark, d, "documents").select("doc_id", "n_chars", S.symbol_counts(F.col("text")).alias("c"))
-    return docs.select(
-        "doc_id", V.difference_hash(c).alias("h"), (F.col("n_chars") / (F.element_at(c, 63) + 1)).alias("aspect"),
-        F.sqrt(V.variance(c)).alias("texture"))
+    """doc_id, 64-bit signature of word shingles, aspect (characters per word), texture (distinct shingles)."""
+    docs = load(spark, d, "documents").select("doc_id", "n_chars", S.shingle_signature(F.col("text")).alias("s"))
+    return docs.select("doc_id", F.col("s.h").alias("h"), (F.col("n_chars") / F.col("s.words")).alias("aspect"), F.col("s.shingles").alias("texture"))
 
 
 def near_documents(spark, d, hot=5_000, signatures=None):
