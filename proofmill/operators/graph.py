@@ -92,13 +92,64 @@ def components(edges: DataFrame, src: str, dst: str) -> DataFrame:
         .unionByName(star.select(F.col("p").alias("node"), F.col("p").alias("component")).distinct())
 
 
+def _chains(state: DataFrame, links: DataFrame) -> DataFrame:
+    """Nodes that only wait for the end of a chain: (id, head, floor, steps).
+
+    A node whose one open predecessor has no other successor follows it: its
+    layer is the larger of `floor` (what released predecessors pushed it to)
+    and the head's layer plus `steps`. Heads are found by pointer doubling,
+    in a logarithmic number of rounds; such laws compose. Nodes of closed
+    rings have no head and are left out.
+    """
+    single = links.groupBy("source").agg(row_count().alias("n")).where("n = 1").select("source")
+    waiting = state.where("open = 1").select(F.col("id").alias("target"), F.col("layer").alias("floor"))
+    inner = cut(links.join(single, "source", "left_semi").join(waiting, "target").select(F.col("target").alias("id"), F.col("source").alias("head"), "floor"))
+    ids = inner.select(F.col("id").alias("head"), F.lit(False).alias("ended"))
+    chain = cut(inner.join(ids, "head", "left").select("id", "head", "floor", F.lit(1).alias("steps"), F.coalesce("ended", F.lit(True)).alias("ended")))
+    rows, ended = chain.agg(row_count(), F.count_if("ended")).first()
+    while ended < rows:
+        ahead = chain.select(F.col("id").alias("head"), F.col("head").alias("next"), F.col("floor").alias("f"), F.col("steps").alias("s"), F.col("ended").alias("e"))
+        open_ = chain.where("not ended").join(ahead, "head").select(
+            "id", F.col("next").alias("head"), F.greatest("floor", F.col("f") + F.col("steps")).alias("floor"), (F.col("steps") + F.col("s")).alias("steps"), F.col("e").alias("ended"))
+        chain = cut(chain.where("ended").unionByName(open_))
+        before, ended = ended, chain.agg(F.count_if("ended")).first()[0]
+        if ended == before:
+            break
+    return chain.where("ended").drop("ended")
+
+
+def _peeled(state: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Release all nodes that can go without breaking a cycle: (id, layer) of these, and the state of the others. Chains count as one node."""
+    chain = _chains(state, links)
+    heads = chain.select(F.col("id").alias("source"), "head", "floor", "steps")
+    ways = cut(links.join(chain.select(F.col("id").alias("target")), "target", "left_anti").join(heads, "source", "left").select(
+        F.coalesce("head", "source").alias("head"), "target", F.coalesce("floor", F.lit(0)).alias("floor"), F.coalesce("steps", F.lit(0)).alias("steps")))
+    left, gone = state.join(chain.select("id"), "id", "left_anti"), []
+    while True:
+        ready = left.where("open = 0").select("id", "layer")
+        gone.append(ready)
+        source = F.greatest("floor", F.col("layer") + F.col("steps"))
+        pushed = ways.join(ready.withColumnRenamed("id", "head"), "head").groupBy(F.col("target").alias("id")).agg(row_count().alias("less"), (F.max(source) + 1).alias("down"))
+        left = cut(left.where("open <> 0").join(pushed, "id", "left").select(
+            "id", "kind", "label", (F.col("open") - F.coalesce("less", F.lit(0))).alias("open"), F.greatest("layer", F.coalesce("down", F.lit(0))).alias("layer")))
+        if not left.where("open = 0").limit(1).count():
+            break
+    released = cut(union(gone))
+    behind = chain.join(released.withColumnRenamed("id", "head"), "head").select("id", F.greatest("floor", F.col("layer") + F.col("steps")).alias("layer"))
+    out = cut(released.unionByName(behind))
+    waiting = state.join(chain.select("id"), "id", "left_semi").join(out.select("id"), "id", "left_anti")
+    return out, cut(left.unionByName(waiting))
+
+
 def layers(nodes: DataFrame, edges: DataFrame, order: Mapping[str, int] | None = None) -> DataFrame:
     """Longest-path layer of every node: (id, layer, broke_cycle).
 
     Nodes without open predecessors leave together and push their successors
     down. Where only cycles remain, the node with the fewest open
     predecessors (then type order, label, id) is released: one per remaining
-    weak component, as components cannot influence each other.
+    weak component, as components cannot influence each other. Chains are
+    contracted before every pass, so a long path, or a ring once it is broken,
+    takes a logarithmic number of rounds and not one per node.
     """
     kinds = F.create_map(*[F.lit(x) for kv in (order or {"": 0}).items() for x in kv])
     links = cut(induced(edges.where("source <> target"), nodes).select("source", "target"))
@@ -111,21 +162,18 @@ def layers(nodes: DataFrame, edges: DataFrame, order: Mapping[str, int] | None =
         if not left:
             break
         if free:
-            ready = state.where("open = 0")
+            ready, state = _peeled(state, links)
         else:
-            among = induced(links, state)
-            pick = state.join(components(among, "source", "target").withColumnRenamed("node", "id"), "id").groupBy("component") \
+            pick = state.join(components(links, "source", "target").withColumnRenamed("node", "id"), "id").groupBy("component") \
                 .agg(F.min(F.struct("open", "kind", "label", "id")).alias("m")).select("m.id")
-            ready = cut(state.join(pick, "id", "left_semi"))
-        ready = ready.select("id", "layer", F.lit(not free).alias("broke_cycle"))
-        done.append(ready)
-        gone = ready.select(F.col("id").alias("source"), "layer")
-        pushed = links.join(gone, "source").groupBy(F.col("target").alias("id")).agg(row_count().alias("less"), (F.max("layer") + 1).alias("down"))
-        rest = state.join(ready.select("id"), "id", "left_anti") if not free else state.where("open <> 0")
-        state = cut(rest.join(pushed, "id", "left").select(
-            "id", "kind", "label", (F.col("open") - F.coalesce("less", F.lit(0))).alias("open"), F.greatest("layer", F.coalesce("down", F.lit(0))).alias("layer")))
-        if len(done) % 8 == 0:  # released sources are not needed again
-            links = cut(links.join(state.select(F.col("id").alias("source")), "source", "left_semi"))
+            ready = cut(state.join(pick, "id", "left_semi").select("id", "layer"))
+            pushed = links.join(ready.withColumnRenamed("id", "source"), "source").groupBy(F.col("target").alias("id")).agg(
+                row_count().alias("less"), (F.max("layer") + 1).alias("down"))
+            state = cut(state.join(ready.select("id"), "id", "left_anti").join(pushed, "id", "left").select(
+                "id", "kind", "label", (F.col("open") - F.coalesce("less", F.lit(0))).alias("open"), F.greatest("layer", F.coalesce("down", F.lit(0))).alias("layer")))
+        done.append(ready.select("id", "layer", F.lit(not free).alias("broke_cycle")))
+        links = cut(links.join(state.select(F.col("id").alias("source")), "source", "left_semi").join(state.select(F.col("id").alias("target")), "target", "left_semi")
+                    .select("source", "target"))
     return union(done) if done else nodes.select("id", F.lit(0).alias("layer"), F.lit(False).alias("broke_cycle"))
 
 
@@ -149,19 +197,36 @@ def grid_regions(flagged: DataFrame, item: str, x: str, y: str, z: str, v: str,
                       F.when(F.col("mean_z") > 0, "ELEVATED").otherwise("ATTENUATED").alias("type"))
 
 
-def walk(edges: DataFrame, starts: DataFrame, child: str, parent: str, up: bool = True) -> DataFrame:
-    """All ancestors (or descendants) of the start nodes with their distance: (start, node, depth)."""
+def walk(edges: DataFrame, starts: DataFrame, child: str, parent: str, up: bool = True, growth: int = 8) -> DataFrame:
+    """All ancestors (or descendants) of the start nodes with their distance: (start, node, depth).
+
+    Pointer doubling: round k joins what is known of distances below 2^k with
+    all jumps of exactly 2^k steps, so a chain of n nodes takes log n rounds.
+    In a forest there are never more jumps than edges. Where several parents
+    make them more than `growth` times as many, the walk goes on from its
+    last front by single steps, with the same result. Cycles end by
+    themselves; a start is not its own ancestor.
+    """
     here, there = (child, parent) if up else (parent, child)
-    step = edges.select(F.col(here).alias("node"), F.col(there).alias("next")).distinct()
-    front = cut(starts.select(F.col(starts.columns[0]).alias("start")).distinct().withColumn("node", F.col("start")))
-    seen, depth = front, 0
-    found: list[DataFrame] = []
+    step = cut(edges.select(F.col(here).alias("node"), F.col(there).alias("next")).where("node is not null and next is not null").distinct())
+    own = F.col(starts.columns[0])
+    seen = [cut(starts.select(own.alias("start"), own.alias("node"), F.lit(0).alias("depth")).where("start is not null").distinct())]
+
+    def further(front: DataFrame, jumps: DataFrame, by: int) -> DataFrame:
+        far = front.join(jumps, "node").groupBy("start", F.col("next").alias("node")).agg((F.min("depth") + by).cast("int").alias("depth"))
+        return cut(far.join(union(seen).select("start", "node"), ["start", "node"], "left_anti"))
+
+    jumps, reach, edge_count = step, 1, step.count()
+    while jumps.count() <= growth * edge_count:
+        new = further(union(seen), jumps, reach)
+        if new.isEmpty():
+            return union(seen).where("depth > 0")
+        seen.append(new)
+        reach *= 2
+        jumps = cut(jumps.join(jumps.select(F.col("node").alias("next"), F.col("next").alias("after")), "next").select("node", F.col("after").alias("next")).distinct())
+    front = union(seen).where(F.col("depth") == reach - 1)
     while True:
-        depth += 1
-        moved = front.join(step, "node").select("start", F.col("next").alias("node")).distinct()
-        front = cut(moved.join(seen, ["start", "node"], "left_anti"))
+        front = further(front, step, 1)
         if front.isEmpty():
-            break
-        found.append(front.withColumn("depth", F.lit(depth)))
-        seen = seen.unionByName(front)
-    return union(found) if found else front.withColumn("depth", F.lit(0))
+            return union(seen).where("depth > 0")
+        seen.append(front)

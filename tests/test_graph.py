@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from proofmill.operators import graph as R
 
@@ -56,6 +57,73 @@ def test_layers_with_cycles(spark, seed):
     assert got == serial_layers(nodes, edges)
 
 
+def counted(monkeypatch):
+    """Every write of a step, counted."""
+    made = []
+    plain = R.cut
+    monkeypatch.setattr(R, "cut", lambda df: made.append(1) or plain(df))
+    return made
+
+
+def test_layers_of_a_long_ring_take_few_rounds(spark, monkeypatch):
+    """The ring breaks at its first node; the others follow in order, found by doubling. A second ring hangs on a path."""
+    n = 2_000
+    ring = spark.range(n).select(F.format_string("r%05d", "id").alias("source"), F.format_string("r%05d", (F.col("id") + 1) % n).alias("target"))
+    tail = [("p0", "p1"), ("p1", "p2"), ("p2", "q0"), ("q0", "q1"), ("q1", "q2"), ("q2", "q0"), ("q2", "z"), ("p0", "z")]
+    edges = ring.unionByName(frame(spark, tail, ["source", "target"])).withColumn("type", F.lit("E"))
+    nodes = edges.select(F.col("source").alias("id")).unionByName(edges.select(F.col("target").alias("id"))).distinct().withColumns({"type": F.lit("CASE"), "label": F.col("id")})
+    made = counted(monkeypatch)
+    got = {r.id: (r.layer, r.broke_cycle) for r in R.layers(nodes, edges, {"CASE": 0}).collect()}
+    assert {k: v[0] for k, v in got.items() if k[0] == "r"} == {f"r{i:05d}": i for i in range(n)}
+    assert {k: v[0] for k, v in got.items() if k[0] != "r"} == serial_layers(sorted({x for e in tail for x in e}), tail)
+    assert sorted(k for k, v in got.items() if v[1]) == ["q0", "r00000"]
+    assert len(made) < 60
+
+
+def test_layers_of_chains_with_side_entries(spark):
+    """Chains that join, with entries into their middle and repeated edges, against the serial version."""
+    rng = np.random.default_rng(9)
+    nodes = [f"n{i:02d}" for i in range(40)]
+    edges = [(nodes[i], nodes[i + 1]) for i in range(30)] + [(nodes[35], nodes[12]), (nodes[36], nodes[12]), (nodes[3], nodes[31]), (nodes[31], nodes[32]), (nodes[32], nodes[20]),
+                                                            (nodes[20], nodes[33]), (nodes[33], nodes[34]), (nodes[34], nodes[18])]
+    edges += [(nodes[a], nodes[b]) for a, b in rng.integers(0, 40, (3, 2))]
+    edges = sorted(set(edges))
+    nf = frame(spark, [(n, "CASE", n) for n in nodes], ["id", "type", "label"])
+    got = {r.id: r.layer for r in R.layers(nf, frame(spark, [(s, t, "E") for s, t in edges], ["source", "target", "type"]), {"CASE": 0}).collect()}
+    assert got == serial_layers(nodes, edges)
+
+
+def nearest(edges, starts):
+    out = {}
+    for s in starts:
+        dist, front = {s: 0}, [s]
+        while front:
+            front = [b for f in front for a, b in edges if a == f and b not in dist and not dist.update({b: dist[f] + 1})]
+        out |= {(s, v): d for v, d in dist.items() if d}
+    return out
+
+
+@pytest.mark.parametrize("growth", [0, 8])
+def test_walk_equals_breadth_first(spark, growth):
+    """Several parents, cycles, unreachable nodes; doubling alone, and single steps from the first round on."""
+    rng = np.random.default_rng(4)
+    edges = sorted({(int(a), int(b)) for a, b in rng.integers(0, 40, (70, 2))} | {(100 + i, 101 + i) for i in range(21)})
+    starts = [0, 5, 100, 110, 999]
+    rows = R.walk(frame(spark, edges, ["a", "b"]), frame(spark, [(s,) for s in starts], ["s"]), "a", "b", growth=growth).collect()
+    assert {(r.start, r.node): r.depth for r in rows} == nearest(edges, starts) and len(rows) == len({(r.start, r.node) for r in rows})
+    down = R.walk(frame(spark, edges, ["a", "b"]), frame(spark, [(121,)], ["s"]), "a", "b", up=False, growth=growth).collect()
+    assert {(r.start, r.node): r.depth for r in down} == {(121, 121 - k): k for k in range(1, 22)}
+
+
+def test_walk_up_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    n = 100_000
+    edges = spark.range(1, n).select(F.col("id").alias("child"), (F.col("id") - 1).alias("parent"))
+    made = counted(monkeypatch)
+    out = R.walk(edges, spark.createDataFrame([(n - 1,)], "s long"), "child", "parent")
+    assert out.count() == n - 1 and out.where(F.col("node") + F.col("depth") != n - 1).count() == 0
+    assert len(made) <= 2 * 18 + 2
+
+
 def test_build_drops_dangling_and_repeated(spark):
     n = frame(spark, [("a", "CASE", "x"), ("b", "EVIDENCE", "y"), ("a", "CASE", "x")], ["id", "type", "label"])
     e = frame(spark, [("a", "b", "CONTAINS"), ("a", "b", "CONTAINS"), ("a", "z", "CONTAINS")], ["source", "target", "type"])
