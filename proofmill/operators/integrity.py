@@ -16,7 +16,7 @@ from ..functions.joins import null_safe_join
 from ..functions.numeric import row_count
 from ..functions.text import GENESIS_HASH, canonical_json, is_sha256
 from ..session import cut, fresh_dir
-from ..sources.sinks import digest_sums, digest_text
+from ..sources.sinks import WORDS, digest_sums, digest_text
 from .skew import Sequenced
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need no copy of this package
@@ -205,12 +205,44 @@ def outstanding_work(items: DataFrame, modalities: Sequence[str], existing: Data
     return hashed.join(busy, ["item_id", "modality"], "left_anti")
 
 
+SHARDS = 16
+
+
 def run_fingerprint(results: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Order-free digest of (item, engine, status) rows per key."""
     row = F.sha2(F.concat_ws("|", F.col("item").cast("string"), F.col("engine").cast("string"), "status"), 256)
     return results.groupBy(*keys).agg(row_count().alias("rows"), *digest_sums(row)).select(*keys, "rows", digest_text(F.col("rows")).alias("fingerprint"))
 
 
+def run_fingerprints(results: DataFrame, keys: Sequence[str], runs: Mapping[str, Column]) -> DataFrame:
+    """Order-free digests of several runs over one table, in one scan: rows_{run} and fingerprint_{run} per key.
+
+    `runs` gives each run's status of a row, null where the run has no such
+    row. A status equal to the first run's is not hashed again. Hash words are
+    added as whole numbers in a few shards of a key and only those sums as
+    decimals, so any number of rows fits.
+    """
+    names = list(runs)
+    item = F.concat_ws("|", F.col("item").cast("string"), F.col("engine").cast("string"))
+    rows = results.select(*keys, item.alias("__item"), *[status.alias(f"__s{i}") for i, status in enumerate(runs.values())])
+    rows = rows.withColumn("__shard", F.pmod(F.xxhash64("__item"), F.lit(SHARDS)))
+    hashed = lambda i: F.sha2(F.concat_ws("|", "__item", F.col(f"__s{i}")), 256)
+    rows = rows.withColumn("__h0", hashed(0))
+    for i in range(1, len(names)):
+        rows = rows.withColumn(f"__h{i}", F.when(F.col(f"__s{i}").eqNullSafe(F.col("__s0")), F.col("__h0")).otherwise(hashed(i)))
+    word = lambda i, w: F.conv(F.substring(f"__h{i}", 1 + 8 * w, 8), 16, 10).cast("long")
+    rows = rows.withColumns({f"__w0_{w}": word(0, w) for w in range(WORDS)})
+    for i in range(1, len(names)):
+        rows = rows.withColumns({f"__w{i}_{w}": F.when(F.col(f"__s{i}").eqNullSafe(F.col("__s0")), F.col(f"__w0_{w}")).otherwise(word(i, w)) for w in range(WORDS)})
+    there = lambda i, c: F.when(F.col(f"__s{i}").isNotNull(), c)
+    some = rows.groupBy(*keys, "__shard").agg(*[F.count(f"__s{i}").alias(f"__n{i}") for i in range(len(names))],
+                                              *[F.sum(there(i, F.col(f"__w{i}_{w}"))).alias(f"__w{i}_{w}") for i in range(len(names)) for w in range(WORDS)])
+    sums = some.groupBy(*keys).agg(*[F.sum(f"__n{i}").alias(f"__n{i}") for i in range(len(names))],
+                                   *[F.sum(F.col(f"__w{i}_{w}").cast("decimal(38,0)")).alias(f"__w{i}_{w}") for i in range(len(names)) for w in range(WORDS)])
+    text = lambda i: F.concat_ws(":", F.col(f"__n{i}").cast("string"), *[F.coalesce(F.col(f"__w{i}_{w}"), F.lit(0)).cast("string") for w in range(WORDS)])
+    return sums.select(*keys, *[c for i, name in enumerate(names) for c in (F.col(f"__n{i}").alias(f"rows_{name}"), F.sha2(text(i), 256).alias(f"fingerprint_{name}"))])
+
+
 def repeatability(first: DataFrame, second: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Share of (item, engine) results equal in two runs, per engine; unmatched rows count against it."""
     a = first.withColumnRenamed("status", "__a")

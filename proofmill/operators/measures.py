@@ -10,7 +10,8 @@ from __future__ import annotations
 import pickle
 import sys
 import tempfile
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import reduce
 from itertools import chain, groupby
 from typing import NamedTuple
 
@@ -25,15 +26,37 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 class Measure(NamedTuple):
+    """A named measure over items it is applicable to, in one of three forms.
+
+    metrics: metric name -> expression over an item's row (one observation a
+    row, none where it is null). aggregates: metric name -> (aggregate, value
+    expression), over all rows of an item. compute: any plan from items to
+    (item_id, metric_name, normalized_value), for what neither can say.
+    """
     name: str
     category: str
     formats: tuple[str, ...]
-    compute: Callable[[DataFrame], DataFrame]  # items -> (item_id, metric_name, normalized_value)
+    compute: Callable[[DataFrame], DataFrame] | None = None
     applicable: Callable[[], Column] = lambda: F.lit(True)
+    metrics: Mapping[str, Column] | None = None
+    aggregates: Mapping[str, tuple[Callable[[Column], Column], Column]] | None = None
+
+    def fits(self) -> Column:
+        return F.coalesce(F.col("format").isin(*self.formats) & self.applicable(), F.lit(False))
+
+
+def _observed(name: str, metric: str, value: Column) -> Column:
+    return F.struct(F.lit(name).alias("engine"), F.lit(metric).alias("metric_name"), value.cast("double").alias("normalized_value"))
+
+
+def _spread(rows: DataFrame, found: list[Column]) -> DataFrame:
+    """One row per observation that has a value."""
+    each = F.filter(F.array(*found), lambda o: o["normalized_value"].isNotNull())
+    return rows.select("item_id", F.explode(each).alias("o")).select("item_id", "o.*")
 
 
 class Registry:
-    """Named measures on the driver; execution is one union of their plans."""
+    """Named measures on the driver, compiled into as few scans of the items as their forms allow."""
 
     def __init__(self) -> None:
         self._measures: dict[str, Measure] = {}
@@ -41,6 +64,8 @@ class Registry:
     def register(self, measure: Measure) -> None:
         if measure.name in self._measures:
             raise ValueError(f"measure registered twice: {measure.name}")
+        if sum(f is not None for f in (measure.compute, measure.metrics, measure.aggregates)) != 1:
+            raise ValueError(f"measure {measure.name} needs one of compute, metrics, aggregates")
         self._measures[measure.name] = measure
 
     def names(self, category: str | None = None, fmt: str | None = None) -> list[str]:
@@ -48,16 +73,25 @@ class Registry:
                 if (category is None or m.category == category) and (fmt is None or fmt in m.formats)]
 
     def run(self, items: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
-        """Observations of all chosen measures over the items each is applicable to."""
-        out = None
-        for name in names or self.names():
-            m = self._measures[name]
-            fit = items.where(F.col("format").isin(*m.formats) & m.applicable())
-            part = m.compute(fit).select("item_id", F.lit(name).alias("engine"), "metric_name", F.col("normalized_value").cast("double").alias("normalized_value"))
-            out = part if out is None else out.unionByName(part)
-        if out is None:
+        """Observations (item_id, engine, metric_name, normalized_value) of all chosen measures over the items each is applicable to.
+
+        All row metrics are one projection over one scan, all aggregates one
+        aggregation over one more; only `compute` measures add a scan each.
+        """
+        chosen = [self._measures[name] for name in names or self.names()]
+        by_row = [_observed(m.name, k, F.when(m.fits(), v)) for m in chosen for k, v in (m.metrics or {}).items()]
+        by_item = [(m, k, agg, v) for m in chosen for k, (agg, v) in (m.aggregates or {}).items()]
+        parts = [_spread(items, by_row)] if by_row else []
+        if by_item:
+            wide = items.groupBy("item_id").agg(*[agg(F.when(m.fits(), v)).alias(f"__a{i}") for i, (m, _, agg, v) in enumerate(by_item)])
+            parts.append(_spread(wide, [_observed(m.name, k, F.col(f"__a{i}")) for i, (m, k, _, _) in enumerate(by_item)]))
+        for m in chosen:
+            if m.compute is not None:
+                fit = m.compute(items.where(m.fits()))
+                parts.append(fit.select("item_id", F.lit(m.name).alias("engine"), "metric_name", F.col("normalized_value").cast("double").alias("normalized_value")))
+        if not parts:
             raise ValueError("no measure chosen")
-        return out
+        return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def grouped_measure(df: DataFrame, keys: Sequence[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str,

@@ -164,6 +164,33 @@ def measure_registry(spark, d):
     return reg.run(items).groupBy("engine", "metric_name").agg(row_count().alias("n"), F.round(F.sum("normalized_value"), 4).alias("total"))
 
 
+_ONE_SCAN = {f"M{i:02d}": (("SMALL", "LARGE", "PROMO", "ECONOMY", "STANDARD")[i % 5], ("MEDIUM", "LARGE", "SMALL")[i % 3], i) for i in range(23)}
+
+
+@query("x01_one_scan", "select engine, count(*) as n, " + r("sum(v)", 4) + " as total from (" + " union all ".join(
+    f"select '{k}' as engine, p_size * {i + 1} + p_retailprice / {i + 2} as v from part where p_type in ('{a}', '{b}') and p_size > {i}" for k, (a, b, i) in _ONE_SCAN.items()) + ") group by 1")
+def one_scan(spark, d):
+    """Twenty-three measures with formats and conditions of their own, compiled into one projection of one scan."""
+    reg = M.Registry()
+    for name, (a, b, i) in _ONE_SCAN.items():
+        reg.register(M.Measure(name, "structure", (a, b), applicable=lambda i=i: F.col("p_size") > i, metrics={"v": F.col("p_size") * (i + 1) + F.col("p_retailprice") / (i + 2)}))
+    items = load(spark, d, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_type").alias("format"), "p_size", "p_retailprice")
+    return reg.run(items).groupBy("engine").agg(row_count().alias("n"), F.round(F.sum("normalized_value"), 4).alias("total"))
+
+
+@query("x01_aggregates", f"""select item_id, engine, metric_name, {r('v', 4)} as value from (
+  select l_orderkey as item_id, 'NOISE_LEVEL' as engine, 'mean' as metric_name, avg(l_quantity) as v from lineitem where l_returnflag in ('R', 'A') group by 1
+  union all select l_orderkey, 'NOISE_LEVEL', 'peak', max(l_quantity) from lineitem where l_returnflag in ('R', 'A') group by 1
+  union all select l_orderkey, 'COST', 'total', sum(l_extendedprice) from lineitem where l_returnflag in ('N') and l_quantity > 10 group by 1) where v is not null""")
+def aggregate_measures(spark, d):
+    """Measures over all rows of an item, in one aggregation."""
+    reg = M.Registry()
+    reg.register(M.Measure("NOISE_LEVEL", "noise", ("R", "A"), aggregates={"mean": (F.avg, F.col("l_quantity")), "peak": (F.max, F.col("l_quantity"))}))
+    reg.register(M.Measure("COST", "structure", ("N",), applicable=lambda: F.col("l_quantity") > 10, aggregates={"total": (F.sum, F.col("l_extendedprice"))}))
+    items = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("item_id"), F.col("l_returnflag").alias("format"), "l_quantity", "l_extendedprice")
+    return reg.run(items).select("item_id", "engine", "metric_name", F.round("normalized_value", 4).alias("value"))
+
+
 @query("x02_custom_measure", f"select user_id, count(*) as n, {r('sum(value)', 4)} as total, {r('max(value)', 4)} as peak from events group by 1")
 def custom_measure(spark, d):
     """A user function on pandas frames whose partial results are merged by key."""

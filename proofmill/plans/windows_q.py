@@ -347,3 +347,28 @@ def day_night_conflicts(spark, d):
     night = F.col("elevation") < -1.0
     return rounded(s.groupBy("user_id").agg(row_count().alias("n"), F.count_if(night).alias("night_conflicts"), F.avg(night.cast("double")).alias("conflict_rate"),
                                             F.count_if(~night & (F.col("gap") > 45.0)).alias("direction_conflicts")))
+
+
+_SCENE_SQL = SUN_SQL.replace("select event_id, user_id, user_id % 120 - 60.0 as lat, (user_id * 7) % 360 - 180.0 as lon, ts, epoch(ts)::double as ep from events",
+                             "select user_id as event_id, user_id, user_id % 120 - 60.0 as lat, (user_id * 7) % 360 - 180.0 as lon, ts, epoch(ts)::double as ep from (select user_id, min(ts) - to_hours((user_id % 5 - 2)::integer) as ts from events group by 1)")
+
+
+@query("c09_lighting_verdicts", f"""{_SCENE_SQL}, an as (select user_id, (epoch_us(ts) % 86400000000) / 86400000000.0 * 360 as angle from events),
+mn as (select user_id, fmod(degrees(atan2(avg(sin(radians(angle))), avg(cos(radians(angle))))) + 360, 360) as mean_deg from an group by 1),
+gp as (select user_id, any_value(mean_deg) as mean_deg, avg(case when least(abs(angle - mean_deg), 360 - abs(angle - mean_deg)) > 60 then 1.0 else 0.0 end) as share from an join mn using (user_id) group by 1),
+pr as (select user_id, elevation, fmod(case when ha > 0 then 360 - east else east end + 180, 360) as expected, fmod(mean_deg + 180, 360) as measured, share from az join gp using (user_id)),
+vd as (select *, case when elevation < -1 then 'DAY_NIGHT_CONFLICT' when least(abs(measured - expected), 360 - abs(measured - expected)) > 45 then 'INCONSISTENT' else 'CONSISTENT' end as consistency from pr),
+sc as (select *, case when consistency = 'CONSISTENT' then least(1, share * 1.5) else greatest(least(1, share * 1.5), 0.75) end as score from vd)
+select user_id, round(elevation, 2) as elevation, round(case when elevation > 0.5 then 1 / tan(radians(elevation)) else 99.0 end, 2) as shadow_ratio, consistency, round(score, 4) as score,
+  case consistency when 'DAY_NIGHT_CONFLICT' then 'SOLAR_NIGHT_CONFLICT' when 'INCONSISTENT' then 'SOLAR_ASTRONOMICAL_ANOMALY'
+    else case when share > 0.4 then 'LIGHTING_DIRECTION_ANOMALY' when share > 0.2 then 'MODERATE_LIGHTING_VARIANCE' else 'LIGHTING_PHYSICS_CONSISTENT' end end as verdict,
+  case when score > 0.4 then 'anomalous' when score > 0.2 then 'elevated' else 'consistent' end as direction from sc""")
+def lighting_verdicts(spark, d):
+    """Every device as a scene: its first event's local time and place against the directions (times of day) of all its events."""
+    u, us = F.col("user_id"), F.unix_micros(F.col("ts").cast("timestamp"))
+    e = load(spark, d, "events").select("user_id", "ts", (F.pmod(us, F.lit(86_400_000_000)) / 86_400_000_000.0 * 360.0).alias("angle"))
+    light = S.circular(e, ["user_id"], "angle", 60.0).select("user_id", "mean_deg", "divergent_share")
+    claim = e.groupBy("user_id").agg(F.min("ts").alias("ts")).select("user_id", "ts", (u % 120 - 60.0).alias("lat"), ((u * 7) % 360 - 180.0).alias("lon"))
+    seen = solar.with_sun_position(claim, "lat", "lon", "ts", zone=u % 5 - 2).join(light, "user_id")
+    out = solar.with_lighting_verdict(seen, "divergent_share", "mean_deg")
+    return out.select("user_id", F.round("elevation", 2).alias("elevation"), F.round("shadow_ratio", 2).alias("shadow_ratio"), "consistency", F.round("score", 4).alias("score"), "verdict", "direction")

@@ -90,3 +90,17 @@ def test_upsert_keeps_fixed_columns(spark):
     new = spark.createDataFrame([(2, "B", "t1"), (3, "C", "t1")], "k long, v string, created string")
     got = sorted(tuple(r) for r in sinks.upsert(old, new, ["k"], keep=["created"]).collect())
     assert got == [(1, "a", "t0", "KEPT"), (2, "B", "t0", "UPDATED"), (3, "C", "t1", "INSERTED")]
+
+
+def test_fingerprints_of_several_runs_in_one_scan(spark):
+    """Each run's digest is that of its rows alone; equal sets agree, one changed or missing row does not; millions of equal words do not overflow."""
+    rows = spark.range(6000).select((F.col("id") % 700).cast("string").alias("item"), (F.col("id") % 5).alias("engine"), F.lit("ok").alias("status"))
+    runs = {"a": F.col("status"), "b": F.col("status"), "c": F.when(F.col("item") == "17", "bad").otherwise(F.col("status")), "d": F.when(F.col("item") != "17", F.col("status"))}
+    got = {r.engine: r for r in G.run_fingerprints(rows, ["engine"], runs).collect()}
+    alone = {r.engine: r for r in G.run_fingerprint(rows, ["engine"]).collect()}
+    short = {r.engine: r for r in G.run_fingerprint(rows.where("item <> '17'"), ["engine"]).collect()}
+    for e, r in got.items():
+        assert (r.rows_a, r.fingerprint_a) == (alone[e].rows, alone[e].fingerprint) and r.fingerprint_b == r.fingerprint_a
+        assert (r.rows_d, r.fingerprint_d) == (short[e].rows, short[e].fingerprint)
+    has = {r.engine for r in rows.where("item = '17'").select("engine").distinct().collect()}
+    assert {e for e, r in got.items() if r.fingerprint_c != r.fingerprint_a} == has == {e for e, r in got.items() if r.rows_d != r.rows_a}

@@ -77,3 +77,32 @@ def test_order_statistics_edges():
         kept = sorted(x for x in v if np.isfinite(x))
         got = M.order_statistics(frames, value, lambda n: (0, n // 3, n - 1), cells=8)
         assert got == ([kept[0], kept[len(kept) // 3], kept[-1]] if kept else [])
+
+
+def scans(df):
+    """Scans of the items in the executed plan."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Scan ")
+
+
+def test_many_measures_take_one_scan(spark, tmp_path):
+    path = str(tmp_path / "items")
+    spark.range(500).select(F.col("id").alias("item_id"), F.when(F.col("id") % 7 == 0, None).otherwise(F.concat(F.lit("F"), F.col("id") % 3)).alias("format"), (F.col("id") * 1.5).alias("x")).write.parquet(path)
+    items = spark.read.parquet(path)
+    reg = M.Registry()
+    for i in range(23):
+        reg.register(M.Measure(f"m{i}", "c", (f"F{i % 3}", "F9"), applicable=lambda i=i: F.col("x") > 10 * i, metrics={"v": F.col("x") + i, "none": F.when(F.col("x") < 0, 1.0)}))
+    out = reg.run(items)
+    assert scans(out) == 1
+    plain = items.toPandas()
+    want = {(r.item_id, f"m{i}", r.x + i) for i in range(23) for r in plain.itertuples() if r.format == f"F{i % 3}" and r.x > 10 * i}
+    got = [(r.item_id, r.engine, r.normalized_value) for r in out.collect()]
+    assert set(got) == want and len(got) == len(want)
+    for i in range(5):
+        reg.register(M.Measure(f"a{i}", "c", ("F1", "F2"), aggregates={"s": (F.sum, F.col("x") * i), "n": (F.count, F.col("x"))}))
+    reg.register(M.Measure("free", "c", ("F1",), lambda df: df.select("item_id", F.lit("k").alias("metric_name"), F.col("x").alias("normalized_value"))))
+    assert scans(reg.run(items)) == 3
+    assert reg.run(items, ["a0", "a1"]).count() == reg.run(items, ["a0", "a1"]).distinct().count()
+    with pytest.raises(ValueError):
+        reg.register(M.Measure("none", "c", ("F1",)))
+    with pytest.raises(ValueError):
+        M.Registry().run(items)

@@ -54,3 +54,24 @@ def test_boxes(spark):
 def test_backoff(spark):
     got = [value(spark, N.backoff_seconds(F.lit(k))) for k in (1, 3, 8, 20)]
     assert got == [2.0, 8.0, 256.0, 256.0]
+
+
+def test_lighting_verdicts(spark):
+    """Night outranks direction, both outrank divergence; shadows come before light; no place, no astronomical verdict."""
+    from proofmill.functions.solar import with_lighting_verdict, with_sun_position
+    rows = [(1, -5.0, 100.0, 0.5, 280.0, None), (2, 30.0, 100.0, 0.1, 280.0, None), (3, 30.0, 100.0, 0.1, 190.0, None), (4, 30.0, 100.0, 0.3, 280.0, 250.0), (5, 30.0, 350.0, 0.3, 200.0, None),
+            (6, None, None, 0.5, 10.0, None), (7, 30.0, 100.0, 0.9, None, None), (8, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "i int, elevation double, shadow_azimuth double, share double, light double, shadow double")
+    got = {r.i: (r.consistency, r.verdict, round(r.score, 6), r.direction) for r in with_lighting_verdict(df, "share", "light", "shadow").collect()}
+    assert got == {
+        1: ("DAY_NIGHT_CONFLICT", "SOLAR_NIGHT_CONFLICT", 0.75, "anomalous"), 2: ("CONSISTENT", "LIGHTING_PHYSICS_CONSISTENT", 0.15, "consistent"),
+        3: ("INCONSISTENT", "SOLAR_ASTRONOMICAL_ANOMALY", 0.75, "anomalous"), 4: ("INCONSISTENT", "SOLAR_ASTRONOMICAL_ANOMALY", 0.75, "anomalous"),
+        5: ("CONSISTENT", "MODERATE_LIGHTING_VARIANCE", 0.45, "anomalous"), 6: (None, "LIGHTING_DIRECTION_ANOMALY", 0.75, "anomalous"),
+        7: ("CONSISTENT", "LIGHTING_DIRECTION_ANOMALY", 1.0, "anomalous"), 8: (None, "LIGHTING_PHYSICS_CONSISTENT", 0.0, "consistent")}
+    from pyspark.sql import functions as F
+    noon = spark.sql("select 48.0 as lat, 11.0 as lon, timestamp'2024-06-21 12:00:00' as utc, timestamp'2024-06-21 14:00:00' as here")
+    a = with_sun_position(noon, "lat", "lon", "utc").first()
+    b = with_sun_position(noon, "lat", "lon", "here", zone=F.lit(2)).first()
+    assert abs(a.elevation - b.elevation) < 1e-9 and abs(a.azimuth - b.azimuth) < 1e-9 and 63 < a.elevation < 66 and 0.4 < a.shadow_ratio < 0.6
+    night = with_sun_position(noon.withColumn("utc", F.expr("timestamp'2024-06-21 00:00:00'")), "lat", "lon", "utc").first()
+    assert night.elevation < 0 and night.shadow_ratio == 99.0
