@@ -1,33 +1,101 @@
-"""Per-key state of the live jobs. Each processor sees one micro-batch of one key at a time.
+"""Per-key state of the live jobs. Each processor sees one micro-batch of one key at a time, in pieces.
 
-Inputs carry `ts_us` (event time in microseconds) and `event_id`; a batch is
-put in (ts_us, event_id) order before it is applied. Batch size is the
-stream's own limit (files or bytes per trigger), so it bounds what a key can
-bring at once.
+Inputs carry `ts_us` (event time in microseconds) and `event_id`; what a batch
+brings for a key is applied in (ts_us, event_id) order. However much that is,
+a task holds a piece of it: longer batches are sorted in runs, which are
+merged piece by piece.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 import sys
+import tempfile
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql.streaming import StatefulProcessor
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need no copy of this package
 
+ORDER = ["ts_us", "event_id"]
+PIECE_ROWS = 100_000
 
-def in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    parts = [p for p in rows if len(p)]
-    if not parts:
-        return pd.DataFrame({"ts_us": [], "event_id": []})
-    return pd.concat(parts).sort_values(["ts_us", "event_id"], kind="stable", ignore_index=True)
+
+def _ordered(frames: list[pd.DataFrame]) -> pd.DataFrame:
+    return pd.concat(frames).sort_values(ORDER, kind="stable", ignore_index=True)
+
+
+def _upto(frame: pd.DataFrame, last: tuple[int, int]) -> int:
+    """Rows of a sorted frame that do not come after `last`."""
+    ts, event = frame["ts_us"].to_numpy(), frame["event_id"].to_numpy()
+    lo, hi = np.searchsorted(ts, last[0], "left"), np.searchsorted(ts, last[0], "right")
+    return int(lo + np.searchsorted(event[lo:hi], last[1], "right"))
+
+
+def _merged(file, runs: list[list[int]]) -> Iterator[pd.DataFrame]:
+    """Sorted pieces of sorted runs. A run is the places of its blocks; one block of each is in memory."""
+    def block(run: list[int]) -> pd.DataFrame | None:
+        if not run:
+            return None
+        file.seek(run.pop(0))
+        return pickle.load(file)
+
+    held = [block(run) for run in runs]
+    while any(b is not None for b in held):
+        # up to the least of the blocks' ends, nothing that is still unread can come before
+        last = min((int(b["ts_us"].iloc[-1]), int(b["event_id"].iloc[-1])) for b in held if b is not None)
+        taken = []
+        for i, b in enumerate(held):
+            if b is None:
+                continue
+            n = _upto(b, last)
+            if n:
+                taken.append(b.iloc[:n])
+            held[i] = b.iloc[n:] if n < len(b) else block(runs[i])
+        yield _ordered(taken)
+
+
+def sorted_pieces(rows: Iterator[pd.DataFrame], limit: int = PIECE_ROWS) -> Iterator[pd.DataFrame]:
+    """All rows in (ts_us, event_id) order, as frames of bounded size.
+
+    Up to `limit` rows are one frame. More are sorted in runs of that size,
+    kept in a nameless scratch file of this task, and merged; a task that is
+    lost takes the file along and is run again from the batch's own input.
+    """
+    held, count, runs = [], 0, []
+    with tempfile.TemporaryFile() as file:
+        def spill() -> None:
+            run, sorted_run = [], _ordered(held)
+            for first in range(0, len(sorted_run), max(1, limit // 16)):
+                file.seek(0, 2)
+                run.append(file.tell())
+                pickle.dump(sorted_run.iloc[first:first + max(1, limit // 16)].reset_index(drop=True), file, pickle.HIGHEST_PROTOCOL)
+            runs.append(run)
+
+        for frame in rows:
+            if not len(frame):
+                continue
+            held.append(frame)
+            count += len(frame)
+            if count > limit:
+                spill()
+                held, count = [], 0
+        if not runs:
+            if held:
+                yield _ordered(held)
+            return
+        if held:
+            spill()
+            held = []
+        yield from _merged(file, runs)
 
 
 class Keyed(StatefulProcessor):
-    """One value state per key; subclasses give its schema and the step over ordered rows."""
+    """One value state per key; subclasses give its schema and the step over ordered rows, which may come in several pieces."""
 
     schema = ""
     empty: tuple = ()
@@ -41,9 +109,10 @@ class Keyed(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         state = tuple(self.state.get()) if self.state.exists() else self.empty
-        out, state = self.step(key, in_order(rows), state)
+        for piece in sorted_pieces(rows):
+            out, state = self.step(key, piece, state)
+            yield out
         self.state.update(state)
-        yield out
 
     def close(self) -> None:
         pass

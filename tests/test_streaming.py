@@ -1,5 +1,7 @@
 """Streams over several files give the batch answers; late and out-of-order rows are reported."""
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from proofmill.plans.streaming_q import audit_stream
 from proofmill.schemas import TABLES
 from proofmill.sources import load
 from proofmill.streaming import jobs as J
+from proofmill.streaming import state as ST
 
 SF = "/root/testdata/sf0.001"
 
@@ -83,3 +86,36 @@ def test_replacing_sink(spark, split, tmp_path):
     for run in ("first", "second"):  # a second run of the same files leaves one copy
         J.replacing_sink(rows, path, ["event_type"], state=str(tmp_path / run)).awaitTermination()
     assert spark.read.parquet(path).count() == load(spark, SF, "events").count()
+
+
+@pytest.mark.parametrize("limit", [1, 7, 64, 1000, 5000])
+def test_sorted_pieces(limit):
+    """Any cut into pieces gives the whole order, equal times and repeated rows included, and no piece is much longer than the limit."""
+    rng = np.random.default_rng(limit)
+    rows = pd.DataFrame({"ts_us": rng.integers(0, 40, 1500) * 10**15, "event_id": rng.integers(0, 300, 1500), "x": range(1500)})
+    frames = np.split(rows, sorted(rng.integers(0, 1500, 12).tolist()))
+    got = list(ST.sorted_pieces(iter(frames), limit))
+    both = pd.concat(got, ignore_index=True)
+    want = rows.sort_values(["ts_us", "event_id"], ignore_index=True)
+    assert both[["ts_us", "event_id"]].equals(want[["ts_us", "event_id"]]) and sorted(both["x"]) == list(range(1500))
+    longest = max(len(f) for f in frames)
+    assert max(len(p) for p in got) <= max(limit + longest, (1500 // max(1, limit) + 2) * max(1, limit // 16))
+    assert list(ST.sorted_pieces(iter([]))) == []
+
+
+def test_hot_key_in_one_batch(spark, tmp_path):
+    """250,000 events of one case and some of others in one trigger: more than two pieces, the chain of the batch job."""
+    n = 250_000
+    assert n > 2 * ST.PIECE_ROWS
+    e = load(spark, SF, "events").limit(1).select("event_type", "value", "props")
+    rows = spark.range(n + 500).select("id").crossJoin(e).select(
+        F.col("id").alias("event_id"), F.when(F.col("id") < n, 7).otherwise(F.col("id") % 50 + 100).cast("long").alias("user_id"), "event_type", "value", "props",
+        F.timestamp_micros(F.pmod(F.xxhash64("id"), F.lit(10**9)) * 1000).alias("ts"))
+    typed = rows.select(*[F.col(f.name).cast(f.dataType) for f in TABLES["events"].fields])
+    write_parts(spark, str(tmp_path / "events.parquet"), [typed])
+    live = J.run_to_table(J.live_chain(audit_stream(J.event_stream(spark, str(tmp_path)))), "t-hot")
+    assert live.groupBy("outcome").count().collect() == [("LINKED", n + 500)]
+    moved = J.run_to_table(J.live_intake(I.requests_of(J.event_stream(spark, str(tmp_path))), ["user_id", "event_type"]), "t-hot-intake")
+    assert moved.where("resolution = 'NEW'").count() == 51
+    batch = G.build_chain(I.audit_rows(spark, str(tmp_path)), ["ts", "id"])
+    assert live.drop("outcome").exceptAll(batch).isEmpty() and batch.count() == n + 500
