@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import jsonx
 from ..functions import text as X
 from ..functions.numeric import row_count
+from ..operators import digests as D
 from ..operators import integrity as G
 from ..operators import matching as M
 from ..session import cut
@@ -250,6 +253,33 @@ def run_fingerprint(spark, d):
     return out.select("engine", F.col("rows_a").alias("rows"), F.col("fingerprint_a").alias("fingerprint"), (F.col("fingerprint_a") == F.col("fingerprint_b")).alias("repeated"))
 
 
+_FRAMED = lambda cols: "concat(" + ", ".join(f"coalesce(length({c}::varchar) || ':' || {c}::varchar, '-')" for c in cols) + ")"
+_TREE_SQL = f"""rc as (select sha256({_FRAMED(["p_partkey"])}) as path, sha256({_FRAMED(["p_partkey", "p_name", "p_size"])}) as content, count(*) as entries from part group by all),
+l2 as (select path[:2] as node, sha256(string_agg(path || ':' || content || '*' || entries || ';', '' order by path, content)) as digest, sum(entries)::bigint as entries from rc group by 1),
+l1 as (select node[:1] as node, sha256(string_agg(node || ':' || digest || ';', '' order by node)) as digest, sum(entries)::bigint as entries from l2 group by 1),
+l0 as (select '' as node, sha256(string_agg(node || ':' || digest || ';', '' order by node)) as digest, sum(entries)::bigint as entries from l1)"""
+
+
+@query("i05_digest_tree", f"with {_TREE_SQL} select 0 as level, * from l0 union all select 1, * from l1 union all select 2, * from l2")
+def digest_tree(spark, d):
+    """Root, inner nodes and parts of the tree over all parts of the catalogue."""
+    tree = D.digest_tree(load(spark, d, "part"), ["p_partkey"], ["p_name", "p_size"], depth=2)
+    return reduce(lambda a, b: a.unionByName(b), [level.select(F.lit(k).alias("level"), "node", "digest", "entries") for k, level in enumerate(tree.levels)])
+
+
+@query("i05_tree_difference", """select p_partkey, case when p_partkey % 200 = 3 then 'REMOVED' else 'CHANGED' end as kind from part where p_partkey % 200 = 3 or p_partkey % 150 = 7
+union all select p_partkey + 10000000, 'ADDED' from part where p_partkey % 300 = 5""")
+def tree_difference(spark, d):
+    """A custody copy in which some records are gone, some are changed and some are new, found from the two trees."""
+    k = F.col("p_partkey")
+    before = load(spark, d, "part").select("p_partkey", "p_name", "p_size")
+    after = before.where(k % 200 != 3).withColumn("p_size", F.when(k % 150 == 7, F.col("p_size") + 1).otherwise(F.col("p_size"))) \
+        .unionByName(before.where(k % 300 == 5).withColumn("p_partkey", k + 10_000_000))
+    depth = D.depth_for(before.count(), 50)
+    made = [D.digest_tree(t, ["p_partkey"], ["p_name", "p_size"], depth) for t in (before, after)]
+    return D.tree_difference(*made)
+
+
 @query("i11_repeatability", f"""with {RUNS_SQL}, j as (select coalesce(ra.engine, rb.engine) as engine, coalesce(ra.status = rb.status, false) as same from ra full join rb on ra.item = rb.item and ra.l_suppkey = rb.l_suppkey)
 select engine, count(*) as compared, count(*) filter (where same) as matching, {r('avg(same::integer)')} as match_rate from j group by 1""")
 def repeatability(spark, d):
