@@ -336,11 +336,12 @@ def spectrum_peaks(spec: DataFrame, item: str, sigmas: float = 3.0, limit: int =
     for pos, other, n in (("v", "u", "height"), ("u", "v", "width")):
         level = convolve(level, [item, other], pos, F.col(n), taps, {"__b": "__b"}, "reflect")
     far = _radius() >= 0.03
-    diff = level.withColumn("diff", F.when(far, F.col("__l") - F.col("__b")).otherwise(0.0)).withColumn("far", far)
+    # a real grid's spectrum is the same at opposite places: rounding makes that exact, so that ties fall by position
+    diff = level.withColumn("diff", F.when(far, F.round(F.col("__l") - F.col("__b"), 9)).otherwise(0.0)).withColumn("far", far)
     diff = cut(diff.select(item, "v", "u", "mag", "diff", "far"))
     stat = diff.where("far").groupBy(item).agg(F.avg("diff").alias("__m"), F.stddev_pop("diff").alias("__s"))
     high = cut(null_safe_join(diff, stat, [item]).where((F.col("diff") >= F.col("__m") + sigmas * F.col("__s")) & F.col("far"))
-               .withColumn("prominence", F.col("diff") / (F.col("__s") + 1e-6)))
+               .withColumn("prominence", F.round(F.col("diff") / (F.col("__s") + 1e-6), 6)))
     # a stronger cell within two places is itself over the threshold, so maxima are found among the candidates
     near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3) if i or j])
     around = high.select(item, "v", "u", "diff", F.explode(near).alias("o")).select(

@@ -68,7 +68,15 @@ def ssim_series(spark, d):
     return rounded(G.ssim(series(spark, d), ["event_type"], [("pos", F.col("n"))], "a", "b"))
 
 
-@query("a13_ssim_grid")
+GRID_SSIM_SQL = f"""with {GRID_SQL}, {TAPS_SQL}, c as (select item, y, x, n, v as a, v * 0.5 as b from g),
+py as (select p.item, p.y, p.x, p.n, sum(w * q.a) as a, sum(w * q.b) as b, sum(w * q.a * q.a) as aa, sum(w * q.b * q.b) as bb, sum(w * q.a * q.b) as ab
+  from c p, taps, c q where q.item = p.item and q.x = p.x and q.y = {reflect('p.y + o', '64')} group by 1, 2, 3, 4),
+m as (select p.item, p.y, p.x, sum(w * q.a) as ma, sum(w * q.b) as mb, sum(w * q.aa) as aa, sum(w * q.bb) as bb, sum(w * q.ab) as ab
+  from py p, taps, py q where q.item = p.item and q.y = p.y and q.x = {reflect('p.x + o', 'p.n')} group by 1, 2, 3)
+select item, {r('avg(((2 * ma * mb + 6.5025) * (2 * (ab - ma * mb) + 58.5225)) / ((ma * ma + mb * mb + 6.5025) * (greatest(aa - ma * ma, 0) + greatest(bb - mb * mb, 0) + 58.5225)))')} as ssim from m group by 1"""
+
+
+@query("a13_ssim_grid", GRID_SSIM_SQL)
 def ssim_grid(spark, d):
     """The grid against its halved copy, both axes."""
     g = grid(spark, d).withColumn("half", F.col("v") * 0.5)
@@ -273,12 +281,35 @@ def radial_energy(spark, d):
     return rounded(G.radial_energy(spectrum(spark, d), "item"))
 
 
-@query("a31_spectrum_peaks")
+def suppressed_sql(candidates, score, extra=""):
+    """The strongest place that is not within two cells of a kept one, twenty times over. `candidates` gives cd(item, x, y, score)."""
+    return f"""{candidates},
+kp(item, k, kept) as (select distinct item, 0, []::struct(x bigint, y bigint)[] from cd
+  union all select kp.item, kp.k + 1, list_append(any_value(kp.kept), arg_max(struct_pack(x := cd.x::bigint, y := cd.y::bigint), (cd.{score}, -cd.y, -cd.x)))
+  from kp join cd on cd.item = kp.item where kp.k < 20 and len(list_filter(kp.kept, lambda s: abs(s.x - cd.x) <= 2 and abs(s.y - cd.y) <= 2)) = 0 group by kp.item, kp.k),
+wn as (select item, unnest(kept) as s, generate_subscripts(kept, 1)::integer as rank from (select item, arg_max(kept, k) as kept from kp group by 1))"""
+
+
+_WIDE = ", ".join(repr(t) for t in G.gaussian_taps(21, 5.0))
+PEAK_SQL = suppressed_sql(f"""with recursive {SPECTRUM_SQL.removeprefix('with ')}, tp as (select unnest(range(-10, 11)) as o, unnest([{_WIDE}]) as w),
+lg as (select item, u, v, n, ln(1 + sqrt(power)) as l from sp),
+bv as (select p.item, p.u, p.v, p.n, any_value(p.l) as l, sum(w * q.l) as b from lg p, tp, lg q where q.item = p.item and q.u = p.u and q.v = {reflect('p.v + o', '64')} group by 1, 2, 3, 4),
+bu as (select p.item, p.u, p.v, p.n, any_value(p.l) as l, sum(w * q.b) as b from bv p, tp, bv q where q.item = p.item and q.v = p.v and q.u = {reflect('p.u + o', 'p.n')} group by 1, 2, 3, 4),
+df as (select item, u, v, round(l - b, 9) as diff, l from bu where sqrt((u - n / 2.0) ** 2 + (v - 32) ** 2) / (sqrt((n / 2.0) ** 2 + 1024) + 1e-12) >= 0.03),
+sg as (select item, avg(diff) as m, stddev_pop(diff) as s from df group by 1),
+hi as (select df.item, u, v, diff, round(diff / (s + 1e-6), 6) as prominence from df join sg using (item) where diff >= m + 1.5 * s),
+cd as (select item, u as x, v as y, prominence from hi where not exists (select 1 from hi o where o.item = hi.item and abs(o.u - hi.u) <= 2 and abs(o.v - hi.v) <= 2 and o.diff > hi.diff))""", "prominence")
+
+
+@query("a31_spectrum_peaks", f"{PEAK_SQL} select cd.item, cd.x::bigint as u, cd.y::bigint as v, round(cd.prominence, 4) as prominence, wn.rank from wn join cd on cd.item = wn.item and cd.x = wn.s.x and cd.y = wn.s.y")
 def spectrum_peaks(spark, d):
     return rounded(G.spectrum_peaks(spectrum(spark, d), "item", sigmas=1.5), 4)
 
 
-@query("t04_suppressed_peaks")
+_STRONG = f"with recursive {GRID_SQL}, sd as (select item, avg(v) as m, stddev_pop(v) as sd from g group by 1), cd as (select g.item, g.x, g.y, g.v from g join sd using (item) where g.v >= m + 3.0 * sd)"
+
+
+@query("t04_suppressed_peaks", f"{suppressed_sql(_STRONG, 'v')} select cd.item, cd.x::bigint as x, cd.y::bigint as y, cd.v, wn.rank from wn join cd on cd.item = wn.item and cd.x = wn.s.x and cd.y = wn.s.y")
 def suppressed_peaks(spark, d):
     """Strongest cells of every grid with nothing stronger within two cells."""
     g = grid(spark, d)
