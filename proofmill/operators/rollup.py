@@ -97,15 +97,17 @@ def drift(base: DataFrame, changed: DataFrame, keys: Sequence[str], by: Sequence
     return pairs.groupBy(*by).agg(row_count().alias("pairs"), F.avg(gap).alias("mean_absolute_change"), F.avg(rel).alias("mean_relative_change_pct"))
 
 
-def against_all(probes: DataFrame, references: DataFrame, most: int = 10_000, blocks: int = 64) -> DataFrame:
+def against_all(probes: DataFrame, references: DataFrame, most: int = 10_000, blocks: int = 64, most_bytes: int = 64 << 20) -> DataFrame:
     """Every probe with every reference pattern.
 
-    References are one row per source. Up to `most` of them (counted) are sent
-    to the probes; more are dealt in `blocks`, and a copy of each probe goes
-    to every block, so no task meets all references.
+    References are one row per source. Up to `most` of them, of `most_bytes`
+    bytes of text in all (both measured), are sent to the probes; more are
+    dealt in `blocks`, and a copy of each probe goes to every block, so no
+    task meets all references.
     """
-    few = references.limit(most + 1).count() <= most
-    if few:
+    size = F.octet_length(F.to_json(F.struct(*references.columns)))
+    rows, total = references.limit(most + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    if rows <= most and total <= most_bytes:
         return probes.join(F.broadcast(references), how="cross")
     dealt = references.withColumn("__block", F.pmod(F.xxhash64("ref"), F.lit(blocks)))
     return probes.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt, "__block").drop("__block")

@@ -20,6 +20,18 @@ def corpus_scan(spark, d):
     return files.select(X.file_name(F.col("path")).alias("file"), "length", "format", "sha256", "copies", "is_first")
 
 
+@query("s01_page_files", """with f as (select page_id % 64 as bucket, sha256(string_agg(coalesce(html, '') || chr(10), '' order by page_id)) as sha256, sum(strlen(coalesce(html, '')) + 1)::bigint as length from pages group by 1),
+c as (select *, count(*) over (partition by sha256) as copies, bucket = min(bucket) over (partition by sha256) as is_first from f)
+select bucket::integer as bucket, length, 'TXT' as format, sha256, copies, is_first from c""")
+def page_files(spark, d):
+    """Pages written as 64 text files in shared folders, then crawled: digests, copies, and the first file of each content."""
+    path = fresh_dir(spark, "pages")
+    pages = load(spark, d, "pages").select(F.format_string("%02d", F.col("page_id") % 64).alias("bucket"), "page_id", F.coalesce("html", F.lit("")).alias("value"))
+    pages.repartition("bucket").sortWithinPartitions("bucket", "page_id").select("bucket", "value").write.partitionBy("bucket").text(path)
+    files = scan_corpus(spark, path, ["txt"])
+    return files.select(F.regexp_extract("path", "bucket=([0-9]+)", 1).cast("int").alias("bucket"), "length", "format", "sha256", "copies", "is_first")
+
+
 @query("s03_manifest_scan", """
 select lang as format, case when source is null then 'UNKNOWN' else source end as source, count(*) as images,
   sum(n_chars)::bigint as width_sum, count(distinct sha256(text)) as hashes
