@@ -5,6 +5,8 @@ import re
 import zlib
 from collections import Counter
 
+import regex
+
 
 def low(t):
     return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
@@ -100,13 +102,17 @@ def repeats(rows, width=400):
 
 
 def contained(docs, items, n=5, share=0.8):
-    sep = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-    cut = lambda t: {tuple(w[i:i + n]) for w in [re.findall(sep, (t or "").lower())] for i in range(len(w) - n + 1)}
-    wanted = [(i, cut(t)) for i, t in items]
+    unspaced = regex.compile(r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])")
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", unspaced.sub(r" \1 ", t or "").lower())
+    runs = lambda w, n: {tuple(w[i:i + n]) for i in range(len(w) - n + 1)}
+    wanted = [(i, w, runs(w, min(n, len(w)))) for i, t in items for w in [words(t)] if w]
     out = set()
     for d, t in docs:
-        have = cut(t)
-        out |= {(d, i, len(w), len(w & have)) for i, w in wanted if w and len(w & have) >= share * len(w)}
+        have = words(t)
+        for i, w, want in wanted:
+            both = len(want & runs(have, min(n, len(w))))
+            if both >= share * len(want):
+                out.add((d, i, len(want), both))
     return out
 
 

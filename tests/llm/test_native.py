@@ -3,6 +3,7 @@
 import hashlib
 
 import brute
+import pytest
 from samples import SMALL, passage
 from pyspark.sql import functions as F
 
@@ -131,7 +132,22 @@ def test_containment_cases(spark, records, empty):
     notes = texts(spark, passage(4000, 2, 3) + " " + item.upper() + "! " + passage(50, 4), "x " + " ".join(changed), "x " + " ".join(far), short, None, "")
     refs = spark.createDataFrame([(1, item), (1, item), (2, short), (3, None), (None, passage(30, 17, 5))], "reference_id long, reference_text string")
     got = {(r.evidence_id, r.reference_id, r.n_shingles, r.n_shared) for r in containment_search(notes, refs).collect()}
-    assert got == {(0, 1, 8, 8), (1, 1, 8, 7)}
+    assert got == {(0, 1, 8, 8), (1, 1, 8, 7), (3, 2, 1, 1)}  # an item of two words is one run of its own length
     whole = spark.createDataFrame([(1, passage(60))], "reference_id long, reference_text string")
     assert {r.evidence_id for r in containment_search(records, whole).collect()} == {1, 2, 3, None}
     assert containment_search(empty, refs).count() == 0 and containment_search(records, refs.limit(0)).count() == 0
+
+
+def test_containment_of_short_and_unspaced_items(spark):
+    """Items of one to four words, and passages in scripts without blanks, inside longer texts and alone."""
+    notes = [(1, "a b four word item here c d"), (2, "four word item there"), (3, "the end"), (4, "End. The"), (5, "今日は天気がとても良いですね、散歩しましょう"), (6, "天気がとても良いです"),
+             (7, "天気 とても"), (8, "สวัสดีครับผมชื่อ"), (9, ""), (10, None), (11, "ab cd"), (12, "xab cd"), (13, "one two three four five six")]
+    items = [("w4", "Four word, item here"), ("w1", "END"), ("w2", "the end"), ("ja", "天気がとても良いです"), ("ja2", "天気"), ("th", "สวัสดีครับ"), ("none", " .. "), ("null", None),
+             ("ab", "ab"), ("w5", "one two three four five"), ("w3", "two three four")]
+    got = containment_search(spark.createDataFrame(notes, "evidence_id long, intake_notes string"), spark.createDataFrame(items, "reference_id string, reference_text string"))
+    pairs = [(r.evidence_id, r.reference_id, r.n_shingles, r.n_shared) for r in got.collect()]
+    want = brute.contained(notes, items)
+    assert len(pairs) == len(set(pairs)) and set(pairs) == want
+    assert {(1, "w4", 1, 1), (5, "ja2", 1, 1), (3, "w2", 1, 1), (11, "ab", 1, 1)} <= want and not any(p[0] in (9, 10, 12) for p in want)
+    with pytest.raises(ValueError):
+        containment_search(spark.createDataFrame(notes, "doc_id long, intake_notes string"), spark.createDataFrame(items, "doc_id string, reference_text string"), "doc_id", reference_id_col="doc_id")
