@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -11,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .common import pieces, whole_text
 
 # Terms of one line name people of one kind of group and may stand for one another in a sentence.
@@ -23,12 +23,12 @@ IDENTITY_TERMS = (
     ("mujer", "hombre"), ("mujeres", "hombres"), ("musulmán", "cristiano", "judío"),
 )
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
-_SEPARATORS = re.compile(SEPARATORS)
+WEIGHT_BITS = 20
 
 
 class Model(NamedTuple):
-    """Weights of at most `most_terms` terms plus the identity terms, and the bias."""
-    weights: dict[str, float]
+    """One weight for each of 2 ** WEIGHT_BITS hashes of terms, and the bias."""
+    weights: np.ndarray
     bias: float
 
 
@@ -48,28 +48,47 @@ def swapped(terms: set[str]) -> list[tuple[str, str]]:
     return out
 
 
-def fit_weights(texts: list[list[str]], labels: np.ndarray, vocabulary: list[str], penalty: float, ridge: float, rounds: int) -> Model:
-    """Logistic regression on term presence. Loss: log loss + ridge * |w|^2 + penalty * mean squared score change under swaps."""
-    at = {w: k for k, w in enumerate(vocabulary)}
-    rows = [np.array(sorted({at[w] for w in t if w in at}), np.int64) for t in texts]
-    owner, column = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
-    swaps = [(n, at[a], at[b]) for n, t in enumerate(texts) for a, b in swapped(set(t)) if a in at and b in at]
+def strength(n: int, positive: float, count: np.ndarray, count_positive: np.ndarray, unit: float = 5.0) -> np.ndarray:
+    """How far a weight may be moved by its evidence: squared standard deviations between its labels and chance, in units of `unit`.
+
+    A term seen once moves a little, one seen in many texts of one label
+    freely; none is left out.
+    """
+    rate = min(max(positive / n, 1e-6), 1 - 1e-6) if n else 0.5
+    z = (count_positive - count * rate) / np.sqrt(count * rate * (1 - rate) + 0.5)
+    return (z / unit) ** 2
+
+
+def fit_weights(rows: list[np.ndarray], labels: np.ndarray, scale: np.ndarray, swaps: list[tuple[int, int, int]], penalty: float, ridge: float, rounds: int) -> tuple[np.ndarray, float]:
+    """(weight per column, bias) of a logistic regression on the columns each row has.
+
+    A column's weight is its scale times a free part. Loss: log loss + ridge *
+    sum of squared free parts + penalty * mean squared change of the score
+    under swaps (row, column taken out, column put in).
+    """
+    n, d = len(rows), len(scale)
+    sizes = np.array([len(r) for r in rows], np.int64)
+    owner, column = np.repeat(np.arange(n), sizes), np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
+    by_column = np.argsort(column, kind="stable")
+    cuts = np.searchsorted(column[by_column], np.arange(d + 1))
+    sorted_owner = owner[by_column]
     changed, plus, minus = (np.array(c, np.int64) for c in (zip(*swaps, strict=True) if swaps else ([], [], [])))
-    n, d = len(rows), len(vocabulary)
     w, m, v = np.zeros(d + 1), np.zeros(d + 1), np.zeros(d + 1)
     rate = float(np.clip(labels.mean(), 0.01, 0.99))
     w[d] = np.log(rate / (1 - rate))
     for step in range(1, rounds + 1):
-        score = np.bincount(owner, w[column], n) + w[d]
+        weight = w[:d] * scale
+        score = np.bincount(owner, weight[column], n) + w[d]
         error = (_sigmoid(score) - labels) / n
-        grad = np.append(np.bincount(column, error[owner], d), error.sum())
-        grad[:d] += 2 * ridge * w[:d]
+        running = np.concatenate(([0.0], np.cumsum(error[sorted_owner])))
+        grad = running[cuts[1:]] - running[cuts[:-1]]
         if len(swaps):
-            change = np.bincount(changed, w[minus] - w[plus], n)[changed] * 2 * penalty / n
-            grad[:d] += np.bincount(minus, change, d) - np.bincount(plus, change, d)
+            change = np.bincount(changed, weight[minus] - weight[plus], n)[changed] * 2 * penalty / n
+            grad += np.bincount(minus, change, d) - np.bincount(plus, change, d)
+        grad = np.append(grad * scale + 2 * ridge * w[:d], error.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         w -= 0.1 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-9)
-    return Model({t: float(w[k]) for t, k in at.items()}, float(w[d]))
+    return w[:d] * scale, float(w[d])
 
 
 def terms_of(text: Column) -> Column:
@@ -77,47 +96,66 @@ def terms_of(text: Column) -> Column:
     return F.array_distinct(pieces(F.lower(whole_text(text)), SEPARATORS))
 
 
+def slot_of(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(1 << WEIGHT_BITS)).cast("int")
+
+
+def slots_of(terms: Column) -> Column:
+    """Distinct places of a text's terms among the weights."""
+    return F.array_sort(F.array_distinct(F.transform(terms, slot_of)))
+
+
 def fit_toxicity(evidence: DataFrame, labels: DataFrame, id_col: str = "evidence_id", text_col: str = "intake_notes", label_col: str = "toxic",
-                 most_labels: int = 20_000, most_terms: int = 4_000, least_records: int = 5, least_z: float = 5.0, penalty: float = 1.0, ridge: float = 2e-5,
-                 rounds: int = 300) -> Model:
-    """Fit on at most `most_labels` labelled records, those with the lowest hash of the id.
-
-    Terms are counted by label as a Spark aggregate. Those in
-    `least_records` records or more whose label counts differ from chance by
-    `least_z` standard deviations enter, the strongest `most_terms` of them,
-    with all identity terms. What reaches the driver is bounded by
-    `most_labels` and `most_terms`.
+                 most_labels: int = 20_000, penalty: float = 1.0, ridge: float = 2e-6, rounds: int = 200) -> Model:
+    """Weights fitted on at most `most_labels` labelled records, those with the lowest hash of the id; their scales are counted over all.
+
+    Every term has a weight, by its hash; none is chosen or dropped. How far
+    it may move follows from its counts by label, a Spark aggregate over all
+    labelled records. What reaches the driver is bounded by `most_labels`
+    records and 2 ** WEIGHT_BITS counts.
     """
+    spark = evidence.sparkSession
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.avg(F.col(label_col).cast("double")).alias("__y"))
-    sample = known.orderBy(F.xxhash64(id_col), id_col).limit(most_labels)
-    rows = evidence.select(id_col, text_col).join(F.broadcast(sample), id_col).select(terms_of(F.col(text_col)).alias("terms"), F.col("__y").alias("y"))
+    rows = cut(evidence.select(id_col, terms_of(F.col(text_col)).alias("terms")).join(known, id_col)
+               .select(F.col(id_col).alias("id"), slots_of(F.col("terms")).alias("slots"),
+                       F.array_sort(F.array_intersect("terms", F.array(*[F.lit(t) for line in IDENTITY_TERMS for t in line]))).alias("identity"), F.col("__y").alias("y")))
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y")).first()
-    n, y = total["n"], total["y"] or 0.0
-    rate = min(max(y / n, 1e-6), 1 - 1e-6) if n else 0.5
-    counts = rows.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("c"), F.sum("y").alias("cy"))
-    z = F.abs(F.col("cy") - F.col("c") * rate) / F.sqrt(F.col("c") * rate * (1 - rate) + 0.5)
-    chosen = [r["term"] for r in counts.where((F.col("c") >= least_records) & (z >= least_z)).orderBy(z.desc(), "term").limit(most_terms).collect()]
-    identity = sorted({t for line in IDENTITY_TERMS for t in line})
-    vocabulary = list(dict.fromkeys([*chosen, *identity]))
-    if not n:
-        return Model({}, 0.0)
-    keep = F.array(*[F.lit(t) for t in vocabulary])
-    fitted = rows.select(F.array_intersect("terms", keep).alias("terms"), "y").toPandas()
-    order = sorted(range(len(fitted)), key=lambda k: (sorted(fitted["terms"][k]), fitted["y"][k]))  # the same sums whatever order the rows arrive in
-    return fit_weights([list(fitted["terms"][k]) for k in order], fitted["y"].to_numpy(float)[order], vocabulary, penalty, ridge, rounds)
+    if not total["n"]:
+        return Model(np.zeros(1 << WEIGHT_BITS), 0.0)
+    counts = rows.select("y", F.explode("slots").alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("c"), F.sum("y").alias("cy")).toPandas()
+    full = np.zeros((2, 1 << WEIGHT_BITS))
+    full[:, counts["slot"].to_numpy(np.int64)] = counts[["c", "cy"]].to_numpy(float).T
+    fitted = rows.orderBy(F.xxhash64("id"), "id", "slots", "y").limit(most_labels).select("slots", "identity", "y").toPandas()
+    names = sorted({t for line in IDENTITY_TERMS for t in line})
+    places = spark.createDataFrame([(t,) for t in names], "t string").select("t", slot_of(F.col("t")).alias("slot")).collect()  # one row per identity term
+    at = {r["t"]: r["slot"] for r in places}
+    sets = [np.asarray(x, np.int64) for x in fitted["slots"]]
+    # terms counted in no text have no evidence of their own; those that stand in for others may move by the penalty's pull alone
+    scale = strength(total["n"], total["y"] or 0.0, *full)
+    swaps = [(k, at[a], at[b]) for k, terms in enumerate(fitted["identity"]) for a, b in swapped(set(terms))]
+    used = np.unique(np.concatenate([*sets, np.array([p for _, a, b in swaps for p in (a, b)], np.int64)]))
+    dense = lambda x: np.searchsorted(used, x)
+    small, bias = fit_weights([dense(x) for x in sets], fitted["y"].to_numpy(float), np.maximum(scale[used], np.isin(used, list(at.values())) * 1.0),
+                              [(k, int(dense(a)), int(dense(b))) for k, a, b in swaps], penalty, ridge, rounds)
+    weights = np.zeros(1 << WEIGHT_BITS)
+    weights[used] = small
+    return Model(weights, bias)
 
 
 def score_toxicity(evidence: DataFrame, model: Model, id_col: str = "evidence_id", text_col: str = "intake_notes") -> DataFrame:
-    """`id_col` and score (0 to 1) of every record; a text without known terms gets the bias alone."""
-    weights, bias = model
+    """`id_col` and score (0 to 1) of every record; a text without terms gets the bias alone."""
+    sent = evidence.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.bias))  # 4 MB
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        weights, bias = sent.value
         for pdf in frames:
-            z = [bias + sum(weights[t] for t in sorted(weights.keys() & set(_SEPARATORS.split(text.lower())))) if text else bias for text in pdf["text"]]
-            yield pd.DataFrame({"id": pdf["id"].to_numpy(), "score": _sigmoid(np.array(z, float))})
+            sizes = np.array([len(x) for x in pdf["slots"]], np.int64)
+            flat = np.concatenate([np.zeros(0, np.int64), *[np.asarray(x, np.int64) for x in pdf["slots"]]])
+            z = np.bincount(np.repeat(np.arange(len(pdf)), sizes), weights[flat], len(pdf)) + bias
+            yield pd.DataFrame({"id": pdf["id"].to_numpy(), "score": _sigmoid(z)})
 
     id_type = evidence.schema[id_col].dataType
-    rows = evidence.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    rows = evidence.select(F.col(id_col).cast("string").alias("id"), slots_of(terms_of(F.col(text_col))).alias("slots"))
     return rows.mapInPandas(run, "id string, score double").select(F.col("id").cast(id_type).alias(id_col), "score")
 
 

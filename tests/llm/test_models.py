@@ -190,39 +190,65 @@ def test_context_tree_records(records, empty):
 
 
 def test_toxicity_holdout(spark):
-    rows = Q.op7_toxicity(spark, "/root/testdata/sf0.01").collect()
-    labels = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
-    assert len(rows) == 1000 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
-    held = [(labels[r.doc_id], r.predicted) for r in rows if r.held_out and r.doc_id in labels]
-    assert np.mean([a == b for a, b in held]) > 0.9 and sum(a == 0 and b == 1 for a, b in held) == 0
+    """Most held-out toxic texts are found and no clean one is, on the middle tables; on the smallest the few training labels are learnt."""
+    for sf, least in (("sf0.01", 0.6), ("sf0.1", 0.85)):
+        rows = Q.op7_toxicity(spark, f"/root/testdata/{sf}").collect()
+        labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"/root/testdata/{sf}/labels.parquet").collect()}
+        assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+        held = [(labels[r.doc_id], r.predicted) for r in rows if r.held_out and r.doc_id in labels]
+        toxic = [p for t, p in held if t == 1]
+        assert sum(toxic) >= least * len(toxic) and len(toxic) >= 6
+        assert sum(p for t, p in held if t == 0) <= 0.005 * len(held)
+    rows = {r.doc_id: r for r in Q.op7_toxicity(spark, SMALL).collect()}
+    learnt = [rows[r.doc_id].predicted for r in spark.read.parquet(f"{SMALL}/labels.parquet").where("toxic = 1").collect() if r.doc_id in rows and not rows[r.doc_id].held_out]
+    assert sum(learnt) >= 0.9 * len(learnt) > 0
 
 
 def test_identity_terms_are_neutral():
-    """Toxic texts name one group far more often; only with the penalty do swapped sentences score alike."""
+    """Toxic texts name one group far more often; only with the penalty do swapped sentences score alike. Columns: 30 words, scum, two groups."""
     rng = np.random.default_rng(1)
-    texts, labels = [], []
+    rows, labels, swaps = [], [], []
     for k in range(600):
         bad = k % 3 == 0
-        words = [f"w{v}" for v in rng.integers(0, 30, 8)]
-        words += ["muslim" if rng.random() < (0.8 if bad else 0.1) else "christian"] + (["scum"] if bad and rng.random() < 0.7 else [])
-        texts.append(words)
+        group = 31 if rng.random() < (0.8 if bad else 0.1) else 32
+        rows.append(np.unique([*rng.integers(0, 30, 8), group, *([30] if bad and rng.random() < 0.7 else [])]))
         labels.append(float(bad))
-    vocabulary = [*[f"w{i}" for i in range(30)], "scum", "muslim", "christian"]
+        swaps.append((k, group, 63 - group))
     gap = {}
     for penalty in (0.0, 5.0):
-        w = fit_weights(texts, np.array(labels), vocabulary, penalty, 1e-5, 300).weights
-        gap[penalty] = abs(w["muslim"] - w["christian"])
-        assert w["scum"] > 1.5
+        w, _ = fit_weights(rows, np.array(labels), np.ones(33), swaps, penalty, 1e-5, 300)
+        gap[penalty] = abs(w[31] - w[32])
+        assert w[30] > 1.5
     assert gap[0.0] > 2.0 and gap[5.0] < 0.2 * gap[0.0]
 
 
+def test_neutral_mentions_through_the_operator(spark):
+    """A group that toxic texts name far more often: its neutral mentions score like those of the others, insults still score high."""
+    rng = np.random.default_rng(4)
+    plain = [f"word{i}" for i in range(60)]
+    rows, labels = [], []
+    for k in range(900):
+        bad = k % 3 == 0
+        group = "muslim" if rng.random() < (0.8 if bad else 0.1) else "christian"
+        rows.append((k, " ".join([*rng.choice(plain, 10), group, *(["scum"] if bad else [])])))
+        labels.append((k, int(bad)))
+    probes = [(10_000 + i, f"a {g} neighbour {plain[i]}") for i, g in enumerate(["muslim", "christian"] * 10)] + [(20_000 + i, f"{plain[i]} scum") for i in range(20)]
+    df = spark.createDataFrame(rows + probes, "evidence_id long, intake_notes string")
+    known = spark.createDataFrame(labels, "evidence_id long, toxic int")
+    got = {p: {r.evidence_id: r.score for r in toxicity(df, known, penalty=p).collect()} for p in (0.0, 20.0)}
+    mean = lambda p, odd: np.mean([got[p][10_000 + i] for i in range(odd, 20, 2)])
+    assert abs(mean(20.0, 0) - mean(20.0, 1)) < 0.5 * abs(mean(0.0, 0) - mean(0.0, 1))
+    assert all(got[20.0][10_000 + i] < 0.5 for i in range(20)) and all(got[20.0][20_000 + i] > 0.5 for i in range(20))
+
+
 def test_toxicity_records(spark, records, empty):
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1), (10, 0)], "evidence_id long, toxic int")
     rows = toxicity(records, labels).collect()
     assert len(rows) == records.count() and all(0 <= r.score <= 1 for r in rows)
     assert {r.score for r in toxicity(records, labels.limit(0)).collect()} == {0.5}
     assert toxicity(empty, labels).count() == 0
-    assert len(fit_toxicity(records, labels, most_terms=2, least_records=1, least_z=0.0).weights) >= 2
+    model = fit_toxicity(records, labels, rounds=5)
+    assert len(model.weights) == 1 << 20 and np.isfinite(model.weights).all()
 
 
 def test_kneser_ney_sums_to_one(spark):
