@@ -59,29 +59,37 @@ def strength(n: int, positive: float, count: np.ndarray, count_positive: np.ndar
     return (z / unit) ** 2
 
 
-def fit_weights(rows: list[np.ndarray], labels: np.ndarray, scale: np.ndarray, swaps: list[tuple[int, int, int]], penalty: float, ridge: float, rounds: int) -> tuple[np.ndarray, float]:
-    """(weight per column, bias) of a logistic regression on the columns each row has.
+def fit_weights(sizes: np.ndarray, column: np.ndarray, labels: np.ndarray, scale: np.ndarray, swaps: list[tuple[int, int, int]], penalty: float, ridge: float,
+                rounds: int) -> tuple[np.ndarray, float]:
+    """(weight per column, bias) of a logistic regression on the columns each row has: `sizes` of the rows, their columns one after another.
 
     A column's weight is its scale times a free part. Loss: log loss + ridge *
     sum of squared free parts + penalty * mean squared change of the score
     under swaps (row, column taken out, column put in).
     """
-    n, d = len(rows), len(scale)
-    sizes = np.array([len(r) for r in rows], np.int64)
-    owner, column = np.repeat(np.arange(n), sizes), np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
-    by_column = np.argsort(column, kind="stable")
-    cuts = np.searchsorted(column[by_column], np.arange(d + 1))
-    sorted_owner = owner[by_column]
+    n, d = len(sizes), len(scale)
+
+    def sums(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Sum of each run of values; runs may be empty."""
+        out = np.zeros(len(counts))
+        some = np.flatnonzero(counts)
+        if len(some):
+            out[some] = np.add.reduceat(values, starts[some])
+        return out
+
+    row_starts = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(n, dtype=np.int32), sizes)[np.argsort(column, kind="stable")]  # rows in the order of their columns
+    column_counts = np.bincount(column, minlength=d)
+    column_starts = np.cumsum(column_counts) - column_counts
     changed, plus, minus = (np.array(c, np.int64) for c in (zip(*swaps, strict=True) if swaps else ([], [], [])))
     w, m, v = np.zeros(d + 1), np.zeros(d + 1), np.zeros(d + 1)
     rate = float(np.clip(labels.mean(), 0.01, 0.99))
     w[d] = np.log(rate / (1 - rate))
     for step in range(1, rounds + 1):
         weight = w[:d] * scale
-        score = np.bincount(owner, weight[column], n) + w[d]
+        score = sums(weight[column], row_starts, sizes) + w[d]
         error = (_sigmoid(score) - labels) / n
-        running = np.concatenate(([0.0], np.cumsum(error[sorted_owner])))
-        grad = running[cuts[1:]] - running[cuts[:-1]]
+        grad = sums(error[owner], column_starts, column_counts)
         if len(swaps):
             change = np.bincount(changed, weight[minus] - weight[plus], n)[changed] * 2 * penalty / n
             grad += np.bincount(minus, change, d) - np.bincount(plus, change, d)
@@ -122,22 +130,26 @@ def fit_toxicity(evidence: DataFrame, labels: DataFrame, id_col: str = "evidence
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y")).first()
     if not total["n"]:
         return Model(np.zeros(1 << WEIGHT_BITS), 0.0)
-    counts = rows.select("y", F.explode("slots").alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("c"), F.sum("y").alias("cy")).toPandas()
-    full = np.zeros((2, 1 << WEIGHT_BITS))
-    full[:, counts["slot"].to_numpy(np.int64)] = counts[["c", "cy"]].to_numpy(float).T
-    fitted = rows.orderBy(F.xxhash64("id"), "id", "slots", "y").limit(most_labels).select("slots", "identity", "y").toPandas()
+    counts = rows.select("y", F.explode("slots").alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).cast("int").alias("c"), F.sum("y").cast("float").alias("cy")).toPandas()
+    places = counts["slot"].to_numpy(np.int64)
+    scale = np.zeros(1 << WEIGHT_BITS, np.float32)
+    scale[places] = strength(total["n"], total["y"] or 0.0, counts["c"].to_numpy(float), counts["cy"].to_numpy(float))
+    del counts, places
     names = sorted({t for line in IDENTITY_TERMS for t in line})
-    places = spark.createDataFrame([(t,) for t in names], "t string").select("t", slot_of(F.col("t")).alias("slot")).collect()  # one row per identity term
-    at = {r["t"]: r["slot"] for r in places}
-    sets = [np.asarray(x, np.int64) for x in fitted["slots"]]
-    # terms counted in no text have no evidence of their own; those that stand in for others may move by the penalty's pull alone
-    scale = strength(total["n"], total["y"] or 0.0, *full)
+    found = spark.createDataFrame([(t,) for t in names], "t string").select("t", slot_of(F.col("t")).alias("slot")).collect()  # one row per identity term
+    at = {r["t"]: r["slot"] for r in found}
+    # a term that stands in for others may move by the penalty's pull, even where no text has it
+    scale[list(at.values())] = np.maximum(scale[list(at.values())], 1.0)
+    fitted = rows.orderBy(F.xxhash64("id"), "id", "slots", "y").limit(most_labels).select("slots", "identity", "y").toPandas()
     swaps = [(k, at[a], at[b]) for k, terms in enumerate(fitted["identity"]) for a, b in swapped(set(terms))]
-    used = np.unique(np.concatenate([*sets, np.array([p for _, a, b in swaps for p in (a, b)], np.int64)]))
-    dense = lambda x: np.searchsorted(used, x)
-    small, bias = fit_weights([dense(x) for x in sets], fitted["y"].to_numpy(float), np.maximum(scale[used], np.isin(used, list(at.values())) * 1.0),
-                              [(k, int(dense(a)), int(dense(b))) for k, a, b in swaps], penalty, ridge, rounds)
-    weights = np.zeros(1 << WEIGHT_BITS)
+    sizes, y = np.array([len(x) for x in fitted["slots"]], np.int64), fitted["y"].to_numpy(float)
+    flat = np.concatenate([np.zeros(0, np.int32), *fitted["slots"]]).astype(np.int32)
+    del fitted
+    used = np.unique(np.concatenate([flat, np.array([p for _, a, b in swaps for p in (a, b)], np.int32)]))
+    rank = np.zeros(1 << WEIGHT_BITS, np.int32)
+    rank[used] = np.arange(len(used), dtype=np.int32)
+    small, bias = fit_weights(sizes, rank[flat], y, scale[used].astype(float), [(k, int(rank[a]), int(rank[b])) for k, a, b in swaps], penalty, ridge, rounds)
+    weights = np.zeros(1 << WEIGHT_BITS, np.float32)
     weights[used] = small
     return Model(weights, bias)
 

@@ -216,7 +216,7 @@ def test_identity_terms_are_neutral():
         swaps.append((k, group, 63 - group))
     gap = {}
     for penalty in (0.0, 5.0):
-        w, _ = fit_weights(rows, np.array(labels), np.ones(33), swaps, penalty, 1e-5, 300)
+        w, _ = fit_weights(np.array([len(r) for r in rows]), np.concatenate(rows), np.array(labels), np.ones(33), swaps, penalty, 1e-5, 300)
         gap[penalty] = abs(w[31] - w[32])
         assert w[30] > 1.5
     assert gap[0.0] > 2.0 and gap[5.0] < 0.2 * gap[0.0]
