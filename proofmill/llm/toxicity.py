@@ -140,7 +140,10 @@ def fit_toxicity(evidence: DataFrame, labels: DataFrame, id_col: str = "evidence
     at = {r["t"]: r["slot"] for r in found}
     # a term that stands in for others may move by the penalty's pull, even where no text has it
     scale[list(at.values())] = np.maximum(scale[list(at.values())], 1.0)
-    fitted = rows.orderBy(F.xxhash64("id"), "id", "slots", "y").limit(most_labels).select("slots", "identity", "y").toPandas()
+    # the hashes alone tell where the sample ends; only its rows are ordered
+    last = rows.select(F.xxhash64("id").alias("h")).orderBy("h").limit(most_labels).agg(F.max("h")).first()[0]
+    sample = cut(rows.where(F.xxhash64("id") <= last))
+    fitted = sample.orderBy(F.xxhash64("id"), "id", "slots", "y").limit(most_labels).select("slots", "identity", "y").toPandas()
     swaps = [(k, at[a], at[b]) for k, terms in enumerate(fitted["identity"]) for a, b in swapped(set(terms))]
     sizes, y = np.array([len(x) for x in fitted["slots"]], np.int64), fitted["y"].to_numpy(float)
     flat = np.concatenate([np.zeros(0, np.int32), *fitted["slots"]]).astype(np.int32)
