@@ -115,17 +115,18 @@ def slots_of(terms: Column) -> Column:
 
 def fit_toxicity(evidence: DataFrame, labels: DataFrame, id_col: str = "evidence_id", text_col: str = "intake_notes", label_col: str = "toxic",
                  most_labels: int = 20_000, penalty: float = 1.0, ridge: float = 2e-6, rounds: int = 200) -> Model:
-    """Weights fitted on at most `most_labels` labelled records, those with the lowest hash of the id; their scales are counted over all.
+    """Weights fitted on at most `most_labels` labelled records, those with the lowest hash of the id.
 
     Every term has a weight, by its hash; none is chosen or dropped. How far
-    it may move follows from its counts by label, a Spark aggregate over all
-    labelled records. What reaches the driver is bounded by `most_labels`
+    it may move follows from its counts by label, a Spark aggregate over
+    these records. What reaches the driver is bounded by `most_labels`
     records and 2 ** WEIGHT_BITS counts.
     """
     spark = evidence.sparkSession
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.avg(F.col(label_col).cast("double")).alias("__y"))
-    rows = cut(evidence.select(id_col, terms_of(F.col(text_col)).alias("terms")).join(known, id_col)
-               .select(F.col(id_col).alias("id"), slots_of(F.col("terms")).alias("slots"),
+    sample = known.orderBy(F.xxhash64(id_col), id_col).limit(most_labels)
+    rows = cut(evidence.select(id_col, text_col).join(F.broadcast(sample), id_col).withColumn("terms", terms_of(F.col(text_col)))
+               .select(slots_of(F.col("terms")).alias("slots"),
                        F.array_sort(F.array_intersect("terms", F.array(*[F.lit(t) for line in IDENTITY_TERMS for t in line]))).alias("identity"), F.col("__y").alias("y")))
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y")).first()
     if not total["n"]:
@@ -140,10 +141,7 @@ def fit_toxicity(evidence: DataFrame, labels: DataFrame, id_col: str = "evidence
     at = {r["t"]: r["slot"] for r in found}
     # a term that stands in for others may move by the penalty's pull, even where no text has it
     scale[list(at.values())] = np.maximum(scale[list(at.values())], 1.0)
-    # the hashes alone tell where the sample ends; only its rows are ordered
-    last = rows.select(F.xxhash64("id").alias("h")).orderBy("h").limit(most_labels).agg(F.max("h")).first()[0]
-    sample = cut(rows.where(F.xxhash64("id") <= last))
-    fitted = sample.orderBy(F.xxhash64("id"), "id", "slots", "y").limit(most_labels).select("slots", "identity", "y").toPandas()
+    fitted = rows.orderBy("slots", "y").toPandas()  # the same sums whatever order the rows arrive in
     swaps = [(k, at[a], at[b]) for k, terms in enumerate(fitted["identity"]) for a, b in swapped(set(terms))]
     sizes, y = np.array([len(x) for x in fitted["slots"]], np.int64), fitted["y"].to_numpy(float)
     flat = np.concatenate([np.zeros(0, np.int32), *fitted["slots"]]).astype(np.int32)
