@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import boxes
+from ..session import cut
 from .skew import Sequenced, global_rank
 
 
@@ -68,27 +69,100 @@ def paired(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str) -> DataF
     return left.join(right, list(keys), "full_outer")
 
 
-def box_matches(pred: DataFrame, truth: DataFrame, cell: tuple[float, float], threshold: float = 0.3) -> DataFrame:
+STRIPS = 8
+DEEPEST = 16
+
+
+def _strip(cuts: Column, value: Column) -> Column:
+    """Number of the strip that holds `value`: how many cuts are not above it."""
+    return F.size(F.filter(cuts, lambda c: c <= value))
+
+
+def _split_tiles(rows: DataFrame, crowded: DataFrame) -> DataFrame:
+    """For every crowded tile its better axis, the cuts on it, and whether cutting halves the work at least.
+
+    Cuts are quantiles of the boxes' low corners. The work of an axis is
+    counted, not guessed: per strip the boxes of both sides that reach into
+    it, multiplied, summed over strips.
+    """
+    shares = [i / STRIPS for i in range(1, STRIPS)]
+    cuts = rows.join(crowded, ["item", "tile"]).groupBy("item", "tile").agg(
+        *[F.percentile_approx(F.col(f"box.{a}1"), shares).alias(f"cuts_{a}") for a in "xy"], F.first("p").alias("p"), F.first("t").alias("t"))
+    placed = rows.join(cuts, ["item", "tile"])
+    for a in "xy":
+        placed = placed.withColumn(f"low_{a}", _strip(F.col(f"cuts_{a}"), F.col(f"box.{a}1"))).withColumn(f"high_{a}", _strip(F.col(f"cuts_{a}"), F.col(f"box.{a}2")))
+    inside = {(a, i, s): F.count_if((F.col(f"low_{a}") <= i) & (F.col(f"high_{a}") >= i) & (F.col("predicted") == s)).cast("double")
+              for a in "xy" for i in range(STRIPS) for s in (True, False)}
+    work = {a: sum((inside[a, i, True] * inside[a, i, False] for i in range(STRIPS)), F.lit(0.0)) for a in "xy"}
+    found = placed.groupBy("item", "tile").agg(work["x"].alias("work_x"), work["y"].alias("work_y"),
+                                               *[F.first(c).alias(c) for c in ("cuts_x", "cuts_y", "p", "t")])
+    by_x = F.col("work_x") <= F.col("work_y")
+    return found.select("item", "tile", "p", "t", by_x.alias("by_x"), F.when(by_x, F.col("cuts_x")).otherwise(F.col("cuts_y")).alias("cuts"),
+                        (2 * F.least("work_x", "work_y") <= F.col("p") * F.col("t")).alias("split"))
+
+
+def _into_strips(rows: DataFrame, tiles: DataFrame) -> DataFrame:
+    """Boxes of split tiles, once in every strip that they reach into, with the strip's bounds."""
+    by_x, i, cuts = F.col("by_x"), F.col("strip"), F.col("cuts")
+    low, high = F.when(by_x, F.col("box.x1")).otherwise(F.col("box.y1")), F.when(by_x, F.col("box.x2")).otherwise(F.col("box.y2"))
+    out = rows.join(tiles.where("split").select("item", "tile", "by_x", "cuts"), ["item", "tile"]) \
+        .withColumn("strip", F.explode(F.sequence(_strip(cuts, low), _strip(cuts, high))))
+    begin, end = F.get(cuts, i - 1), F.get(cuts, i)  # null at the ends: no cut there
+
+    def bound(name: str, mine: Column, value: Column, pick) -> Column:
+        return F.when(mine, pick(F.col(name), F.coalesce(value, F.col(name)))).otherwise(F.col(name)).alias(name)
+
+    return out.select("item", (F.col("tile") * STRIPS + i + 1).alias("tile"), "box", "predicted",
+                      bound("from_x", by_x, begin, F.greatest), bound("to_x", by_x, end, F.least),
+                      bound("from_y", ~by_x, begin, F.greatest), bound("to_y", ~by_x, end, F.least))
+
+
+def box_matches(pred: DataFrame, truth: DataFrame, threshold: float = 0.3, crowd: int = 1 << 14, block: int = 4096) -> DataFrame:
     """Best overlap of every predicted box with the truth boxes of its item.
 
-    Boxes meet in grid cells of size `cell` (about one box), never item-wide;
-    equal boxes are compared once. A pair is scored only in the cell of its
-    intersection's corner, so no pair is scored twice.
-    Both sides carry item and box (x1, y1, x2, y2); pred also id.
+    Sort, tile, recurse: an item whose boxes form more than `crowd` pairs is
+    cut into strips at quantiles along the axis that saves more, its strips
+    along theirs, until tiles hold fewer pairs or cutting no longer halves
+    them; tiles follow the boxes' density and sizes, whatever these are. Equal boxes
+    are compared once. A pair is scored only in the tile of its intersection's
+    low corner, so no pair is scored twice. Boxes that truly lie on top of
+    each other stay together and are dealt to tasks in blocks of `block`.
+
+    Both sides carry item and box (x1, y1, x2, y2); pred also id. A box
+    without area, with a null or infinite coordinate or a null item overlaps
+    nothing; repeated rows of pred are all returned.
     """
-    def cells(df: DataFrame) -> DataFrame:
-        box = F.col("box")
-        xs = F.sequence(F.floor(box["x1"] / cell[0]), F.floor(box["x2"] / cell[0]))
-        ys = F.sequence(F.floor(box["y1"] / cell[1]), F.floor(box["y2"] / cell[1]))
-        return df.withColumn("cx", F.explode(xs)).withColumn("cy", F.explode(ys))
-
-    p = cells(pred.select("item", "box").distinct()).alias("p")
-    t = cells(truth.select("item", "box").distinct()).alias("t")
-    a, b = F.col("p.box"), F.col("t.box")
-    corner = (F.floor(F.greatest(a["x1"], b["x1"]) / cell[0]) == F.col("cx")) & \
-             (F.floor(F.greatest(a["y1"], b["y1"]) / cell[1]) == F.col("cy"))
-    scored = p.join(t, ["item", "cx", "cy"]).where(corner).select("item", F.col("p.box").alias("box"), boxes.box_iou(a, b).alias("iou"))
-    best = scored.groupBy("item", "box").agg(F.max("iou").alias("best_iou"), F.count_if(F.col("iou") > threshold).alias("matches"))
+    box, inf = F.col("box"), F.lit(float("inf"))
+    solid = (box["x1"] < box["x2"]) & (box["y1"] < box["y2"]) & (box["x1"] > -inf) & (box["y1"] > -inf) & (box["x2"] < inf) & (box["y2"] < inf)
+
+    def side(df: DataFrame, predicted: bool) -> DataFrame:
+        return df.where(F.col("item").isNotNull() & solid).select("item", "box").distinct().select(
+            "item", F.lit(0).cast("long").alias("tile"), "box", F.lit(predicted).alias("predicted"),
+            (-inf).alias("from_x"), inf.alias("to_x"), (-inf).alias("from_y"), inf.alias("to_y"))
+
+    rows, leaves = cut(side(pred, True).unionByName(side(truth, False))), []
+    for level in range(DEEPEST + 1):
+        p, t = F.col("p"), F.col("t")
+        tiles = cut(rows.groupBy("item", "tile").agg(F.count_if("predicted").cast("double").alias("p"), F.count_if(~F.col("predicted")).cast("double").alias("t"))
+                    .where((p > 0) & (t > 0)))
+        crowded = tiles.where(p * t > crowd)
+        if level == DEEPEST or crowded.isEmpty():
+            leaves.append((rows, tiles))
+            break
+        judged = cut(_split_tiles(rows, crowded))
+        leaves.append((rows, tiles.where(p * t <= crowd).unionByName(judged.where("not split").select("item", "tile", "p", "t"))))
+        rows = cut(_into_strips(rows, judged))
+
+    best = None
+    for rows, tiles in leaves:
+        dealt = rows.join(tiles.select("item", "tile", F.ceil(F.col("p") / block).cast("int").alias("pieces")), ["item", "tile"])
+        a = dealt.where("predicted").withColumn("piece", F.pmod(F.xxhash64("box"), F.col("pieces")).cast("int")).drop("predicted", "pieces")
+        b = dealt.where("not predicted").select("item", "tile", F.col("box").alias("other"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
+        x, y = F.greatest(F.col("box.x1"), F.col("other.x1")), F.greatest(F.col("box.y1"), F.col("other.y1"))
+        here = (x >= F.col("from_x")) & (x < F.col("to_x")) & (y >= F.col("from_y")) & (y < F.col("to_y"))
+        scored = a.join(b, ["item", "tile", "piece"]).where(here).select("item", "box", boxes.box_iou(F.col("box"), F.col("other")).alias("iou"))
+        best = scored if best is None else best.unionByName(scored)
+    best = best.groupBy("item", "box").agg(F.max("iou").alias("best_iou"), F.count_if(F.col("iou") > threshold).alias("matches"))
     return pred.join(best, ["item", "box"], "left").select(
         "id", "item", F.coalesce("best_iou", F.lit(0.0)).alias("best_iou"),
         F.coalesce("matches", F.lit(0)).cast("long").alias("matches"),

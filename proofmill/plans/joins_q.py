@@ -237,7 +237,7 @@ select p.event_id as id, p.user_id as item, round(coalesce(max(iou), 0), 6) as b
   coalesce(max(iou), 0) > 0.3 as matched from p left join u on p.event_id = u.event_id group by all""")
 def box_matches(spark, d):
     b = event_boxes(spark, d)
-    out = M.box_matches(b.where(F.col("event_type").isin("view", "click")), b.where(F.col("event_type").isin("purchase", "signup")), (720.0, 40.0))
+    out = M.box_matches(b.where(F.col("event_type").isin("view", "click")), b.where(F.col("event_type").isin("purchase", "signup")))
     return out.withColumn("best_iou", F.round("best_iou", 6))
 
 
