@@ -1,6 +1,7 @@
 """Plain Python versions of the contracts, for comparison on small tables."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -200,3 +201,32 @@ def cross_parse(text, learnt, segment):
             i = max(j - 1, i + 1)
             n += 1
     return n
+
+
+def raked(cells, shares, share, rounds=300):
+    """Plain raking by bisection: {cell: probability} from {(a, b, c): tokens} and one wanted share per value and kind.
+
+    A value that has too little is taken whole; the rest of its margin shares what is missing.
+    """
+    total, probability = sum(cells.values()), {}
+    have = [{v: sum(n for c, n in cells.items() if c[i] == v) / total / share for v in {c[i] for c in cells}} for i in range(3)]
+    want = []
+    for i in range(3):
+        low, high = 0.0, 1e9
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(min(have[i][v], mid * shares[i][v]) for v in have[i]) < 1 else (low, mid)
+        want.append({v: min(have[i][v], high * shares[i][v]) for v in have[i]})
+    factor = [dict.fromkeys(h, 1.0) for h in have]
+    for _ in range(rounds):
+        for i in range(3):
+            for v in have[i]:
+                mine = [(n / total / share, math.prod(factor[j][c[j]] for j in range(3) if j != i)) for c, n in cells.items() if c[i] == v]
+                low, high = 0.0, 1e6
+                for _ in range(100):
+                    mid = (low + high) / 2
+                    low, high = (mid, high) if sum(n * min(1.0, mid * f) for n, f in mine) < want[i][v] else (low, mid)
+                factor[i][v] = high
+    for c in cells:
+        probability[c] = min(1.0, math.prod(factor[i][c[i]] for i in range(3)))
+    return probability

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from proofmill.llm import context_tree as C
 from proofmill.llm import queries as Q
 from proofmill.llm import trusted_text as T
-from proofmill.llm.mixing import mixture
+from proofmill.llm.mixing import fit_mixture, mixture
 from proofmill.llm.near_duplicates import near_duplicates, representatives, superminhash
 from proofmill.llm.repeated_passages import repeated_passages
 from proofmill.llm.toxicity import fit_toxicity, fit_weights, toxicity
@@ -324,6 +324,40 @@ def test_mixture_query(spark):
         assert all(abs(got[k] - want[k] / scale) < 0.01 for k in have if k not in full)
 
 
+MIXED = {("p", "x", "a"): 500, ("p", "y", "a"): 300, ("p", "x", "b"): 20, ("q", "x", "a"): 90, ("q", "y", "b"): 30, ("q", "y", "c"): 8, ("r", "y", "a"): 40, ("r", "x", "c"): 12}
+
+
+def mixed(spark, cells=MIXED):
+    rows = [(n, *c, 1) for c, n in cells.items()]
+    return spark.createDataFrame(rows, "n long, source_platform string, language string, topic string, one int") \
+        .selectExpr("explode(sequence(1, n)) as i", "*").selectExpr("hash(*) as evidence_id", "source_platform", "language", "topic", "1L as n_tokens")
+
+
+@pytest.mark.parametrize("topics", [{"a": 0.8, "b": 0.12, "c": 0.08}, {"a": 0.5, "b": 0.15, "c": 0.35}])
+def test_mixture_equals_plain_raking(spark, topics):
+    """The second targets ask for far more of c than there is: it is taken whole, the others share the rest."""
+    shares_of = [{"p": 0.6, "q": 0.25, "r": 0.15}, {"x": 0.55, "y": 0.45}, topics]
+    want = brute.raked(MIXED, shares_of, 0.3)
+    got = mixture(mixed(spark), dict(zip(("source_platform", "language", "topic"), shares_of)), share=0.3, close=1e-7, rounds=300, strict=True)
+    found = {(r.source_platform, r.language, r.topic): r.p for r in got.groupBy("source_platform", "language", "topic").agg(F.max("probability").alias("p")).collect()}
+    assert found.keys() == want.keys() and all(abs(found[c] - want[c]) < 1e-3 for c in want)
+    if topics["c"] > 0.1:
+        assert found["q", "y", "c"] == found["r", "x", "c"] == 1.0
+
+
+def test_mixture_says_what_cannot_be_met(spark):
+    """Platform q has topic b only, but b shall not be taken: both cannot hold. A target of 0 takes nothing."""
+    cells = {("p", "x", "a"): 600, ("q", "x", "b"): 400}
+    targets = {"source_platform": {"p": 0.5, "q": 0.5}, "topic": {"a": 1.0, "b": 0.0}}
+    fit = fit_mixture(mixed(spark, cells), targets, rounds=3)
+    assert not fit.converged and fit.gaps["platform"] > 0.9 and fit.gaps["language"] > 0.4
+    with pytest.raises(ValueError, match="not met after 3 rounds"):
+        mixture(mixed(spark, cells), targets, rounds=3, strict=True)
+    with pytest.warns(UserWarning, match="platform 1.0000"):
+        rows = mixture(mixed(spark, cells), targets, rounds=3)
+    assert {r.topic for r in rows.where("sampled").select("topic").distinct().collect()} == {"a"}
+
+
 def test_mixture_targets(spark, empty):
     df = spark.createDataFrame([(i, "hot" if i % 3 else "cold", "en" if i % 2 else None, "a" if i % 5 else "b", 10 + i % 7) for i in range(3000)]
                                + [(None, "hot", "en", "a", None), (7, "gone", "xx", "c", 0)], "evidence_id long, source_platform string, language string, topic string, n_tokens long")
