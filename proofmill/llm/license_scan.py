@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -102,9 +103,11 @@ def license_scan(evidence: DataFrame, id_col: str = "evidence_id", text_col: str
 
     The index holds, for each template, the postings (offsets) of its `rare`
     words with the highest IDF among those of its key phrases (of all, without
-    key phrases), the IDF being counted over all records. The places of these
-    words in a record, shifted by the postings, are the candidate starts; as
-    these words must stand, no start that counts is missed. A start counts when the share of template words at their
+    key phrases), the IDF being counted over all records. Each of these words
+    that a record holds is looked up: its places, shifted by its posting, are
+    where the template may start. These lists are intersected; as all the words
+    must stand, no start that counts is missed, and a record without one of
+    them has no start. A start counts when the share of template words at their
     relative place reaches `agreement` and every key phrase stands unchanged.
     Short templates without key phrases must stand unchanged as a whole.
 
@@ -136,7 +139,7 @@ def license_scan(evidence: DataFrame, id_col: str = "evidence_id", text_col: str
         least = agreement if t.mandatory else 1.0
         literal = F.array(*[F.lit(w) for w in text])
         shifted = [_starts(w, o) for w, o in rare_at]
-        starts = F.filter(F.array_distinct(F.concat(*shifted)), lambda s: (s >= 0) & (s < F.size(words)))
+        starts = F.filter(F.array_distinct(reduce(F.array_intersect, shifted)), lambda s: (s >= 0) & (s < F.size(words)))
 
         def judged(s: Column) -> Column:
             here = F.slice(words, s + 1, len(text))

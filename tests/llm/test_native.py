@@ -46,6 +46,13 @@ def test_license_notice_cut_outside_key_phrase(spark):
     assert [(r.labels, r.score) for r in row] == [("mit", 0.8)] * 2
 
 
+def test_license_words_apart(spark):
+    """Rare words of a template that stand, but not at their relative places, give no start; one that does is found among many."""
+    noise = "mozilla license public mozilla mozilla public x license public license mozilla "
+    got = license_scan(texts(spark, noise * 50, noise * 50 + "mozilla public license " + noise, "public license mozilla")).collect()
+    assert [(r.labels, r.score) for r in got] == [("", 0.0), ("mpl", 1.0), ("", 0.0)]
+
+
 def test_license_rows(records, empty):
     assert license_scan(records).count() == records.count() and license_scan(empty).count() == 0
 
